@@ -7,23 +7,49 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
+WINDOW_ROWS = 1_000_000
+
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: list[str], measures: list[str], name: str = "prefix"
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    measures: list[str],
+    name: str = "prefix",
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add ``<m>_before`` (total of the earlier rows) and ``<m>_total`` for every measure.
 
-    ``keys + order`` must be unique, so aggregate first. A plain window would put a whole group
-    in one task; here the rows are range partitioned by ``keys + order``, each slice is summed on
-    its own, and only one row per (group, slice) is needed to add up the earlier slices. The
-    sliced rows are written out first, because slice numbers have to stay the same however often
-    a stage is run again.
+    ``keys + order`` must be unique, so aggregate first. The rows are written and counted: up to
+    ``window_rows`` rows in all, a window per group is safe even if one group holds every row.
+    Beyond that the rows go through :func:`sliced_totals`, which never puts a group in one task.
+    """
+    rows = materialise(df, name)
+    if rows.count() > window_rows:
+        return sliced_totals(rows, keys, order, measures, name)
+    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    return rows.withColumns(
+        {f"{m}_before": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in measures}
+        | {f"{m}_total": F.sum(m).over(whole) for m in measures}
+    )
+
+
+def sliced_totals(
+    rows: DataFrame, keys: list[str], order: list[str], measures: list[str], name: str = "prefix"
+) -> DataFrame:
+    """The same result from range partitions.
+
+    The rows are range partitioned by ``keys + order``, each slice is summed on its own, and one
+    row per (group, slice) is enough to add up the earlier slices. The slices are written out
+    first, because slice numbers must stay the same however often a stage is run again.
     """
     sliced = materialise(
-        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), name
+        rows.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()),
+        f"{name}-sliced",
     )
     slice_sums = sliced.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
-    # One row per slice of a group: at most as many rows as there are shuffle partitions.
+    # One row per slice of a group: no more rows than there are shuffle partitions.
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = slice_sums.select(

@@ -30,9 +30,12 @@ def rank_correlation(pairs: DataFrame, keys: list[str], x: str, y: str, count: s
     when either side is constant.
     """
     cells = materialise(pairs.select(*keys, x, y, F.col(count).alias("n")), "pairs")
-    x_ranks = average_ranks(cells.groupBy(*keys, x).agg(F.sum("n").alias("n")), keys, x)
+    x_counts = cells.groupBy(*keys, x).agg(F.sum("n").alias("n"))
+    # Counted on the way: few distinct scores are broadcast and the pairs stay where they are,
+    # many are shuffled, with AQE splitting a frequent value.
+    x_ranks = average_ranks(x_counts, keys, x).select(*keys, x, F.col("rank").alias("x_rank"))
     by_y = (
-        cells.join(x_ranks.select(*keys, x, F.col("rank").alias("x_rank")), [*keys, x])
+        cells.join(x_ranks, [*keys, x])
         .groupBy(*keys, y)
         .agg(
             F.sum("n").alias("n"),

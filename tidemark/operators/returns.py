@@ -23,7 +23,8 @@ def _whole_ticker():
 def forward_returns(
     prices: DataFrame, horizons: list[int] = fixed.HORIZONS, strict_horizon: bool = False
 ) -> DataFrame:
-    """Add ``ret_<h>`` and ``rows_<h>`` (trading rows really used) for each horizon.
+    """Add ``ret_<h>``, ``rows_<h>`` (trading rows really used) and ``end_<h>`` (the day the
+    outcome is known) for each horizon.
 
     The end row is ``h`` rows on, or the last row when the series ends sooner; with
     ``strict_horizon`` a shortened horizon gives null instead. The last row of a ticker and a
@@ -31,9 +32,16 @@ def forward_returns(
     """
     left = F.count("*").over(_whole_ticker()) - F.row_number().over(_by_ticker())
     last_close = F.last("close").over(_whole_ticker())
-    stage = prices.select("ticker", "date", "close", left.alias("_left"), last_close.alias("_last"), *[
-        F.lead("close", h).over(_by_ticker()).alias(f"_end_{h}") for h in horizons
-    ])
+    stage = prices.select(
+        "ticker",
+        "date",
+        "close",
+        left.alias("_left"),
+        last_close.alias("_last"),
+        F.last("date").over(_whole_ticker()).alias("_last_day"),
+        *[F.lead("close", h).over(_by_ticker()).alias(f"_end_{h}") for h in horizons],
+        *[F.lead("date", h).over(_by_ticker()).alias(f"_day_{h}") for h in horizons],
+    )
     out: dict[str, Column] = {}
     for h in horizons:
         usable = (F.col("_left") > 0) & (F.col("close") != 0)
@@ -42,7 +50,8 @@ def forward_returns(
         end = F.coalesce(F.col(f"_end_{h}"), F.col("_last"))
         out[f"ret_{h}"] = F.when(usable, F.try_divide(end - F.col("close"), F.col("close")))
         out[f"rows_{h}"] = F.when(usable, F.least(F.col("_left"), F.lit(h)).cast("int"))
-    return stage.withColumns(out).drop("_left", "_last", *[f"_end_{h}" for h in horizons])
+        out[f"end_{h}"] = F.when(usable, F.coalesce(F.col(f"_day_{h}"), F.col("_last_day")))
+    return stage.select("ticker", "date", "close", *[c.alias(n) for n, c in out.items()])
 
 
 def first_day(*panels: DataFrame):

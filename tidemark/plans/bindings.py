@@ -110,13 +110,18 @@ def predictions_sql(brands: list[int], name: str = "pred") -> str:
   FROM orders CROSS JOIN (VALUES {values}) b(b))"""
 
 
-def model_predictions(spark: SparkSession, sf_dir: str, brands: list[int]) -> DataFrame:
-    """Three models scoring every order, so that models can be compared on the same article."""
-    base = predictions(spark, sf_dir, brands).drop("config")
+def variant_predictions(spark: SparkSession, sf_dir: str, brands: list[int], config: str = "model") -> DataFrame:
+    """Several scores for every order, so that configurations can be compared.
+
+    ``config='model'`` gives model0..model2, all scoring every article; ``'status'`` gives two
+    variants of each order status, six configurations.
+    """
+    base = predictions(spark, sf_dir, brands)
     number = F.regexp_extract("ticker", r"(\d+)$", 1).cast("long")
-    variant = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_variant")
-    return base.select("*", variant).select(
-        F.concat(F.lit("model"), F.col("_variant")).alias("config"),
+    variants = [0, 1, 2] if config == "model" else [0, 1]
+    prefix = F.lit("model") if config == "model" else F.col("config")
+    return base.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("_variant")).select(
+        F.concat(prefix, F.col("_variant")).alias("config"),
         "article_idx", "date", "source", "ticker",
         (
             ((F.col("article_idx") * 7 + number * 13 + F.col("_variant") * 17) % 41 - 20).cast("double") / 10
@@ -124,14 +129,15 @@ def model_predictions(spark: SparkSession, sf_dir: str, brands: list[int]) -> Da
     )
 
 
-def model_predictions_sql(brands: list[int], name: str = "pred") -> str:
+def variant_predictions_sql(brands: list[int], config: str = "model", name: str = "pred") -> str:
     values = ", ".join(f"({b})" for b in brands)
+    prefix, variants = ("'model'", "(0), (1), (2)") if config == "model" else ("o_orderstatus", "(0), (1)")
     return f"""
 {name} AS (
-  SELECT 'model' || v.v AS config, o_orderkey AS article_idx, CAST(o_orderdate AS DATE) AS date,
+  SELECT {prefix} || v.v AS config, o_orderkey AS article_idx, CAST(o_orderdate AS DATE) AS date,
          o_orderpriority AS source, 'Brand#' || b.b AS ticker,
          CAST((o_orderkey * 7 + b.b * 13 + v.v * 17) % 41 - 20 AS DOUBLE) / 10 AS score
-  FROM orders CROSS JOIN (VALUES {values}) b(b) CROSS JOIN (VALUES (0), (1), (2)) v(v))"""
+  FROM orders CROSS JOIN (VALUES {values}) b(b) CROSS JOIN (VALUES {variants}) v(v))"""
 
 
 def brand_names(brands: list[int]) -> list[str]:
@@ -148,3 +154,53 @@ spearman AS (
   SELECT {keys}, count(*) AS n,
          CASE WHEN min(rx) = max(rx) OR min(ry) = max(ry) THEN NULL ELSE corr(rx, ry) END AS rho
   FROM ranked GROUP BY {keys})"""
+
+
+def rules_sql(source: str, keep: str = "") -> str:
+    """``rules`` from ``source(family, key, correct, total)``, one CASE per column."""
+    fill = lambda text: (
+        "replace(replace(replace('" + text.replace("'", "''") + "', '{key}', key), '{pct}', "
+        "format('{:.0f}', acc * 100)), '{n}', CAST(total AS VARCHAR))"
+    )
+    arms = []
+    for family, fires, bound, least, rule_id, cap, category, text in fixed.RULE_FAMILIES:
+        scope = f"family = 'direction' AND key = '{family}'" if family in ("bullish", "bearish") else f"family = '{family}'"
+        test = f"acc >= {bound}" if fires == "at_least" else f"acc <= {bound}"
+        strength = "acc" if fires == "at_least" else "1 - acc"
+        arms.append((f"{scope} AND total >= {least} AND {test}", fill(rule_id), fill(text), f"least({strength}, {cap})", f"'{category}'"))
+    verdict = (
+        "CASE WHEN acc >= 0.55 AND acc <= 0.70 THEN 'Model is well-calibrated.' "
+        "WHEN acc < 0.50 THEN 'Model tends to be overconfident.' ELSE 'Model has strong predictive power.' END"
+    )
+    arms.append((
+        "family = 'overall' AND total >= 20", "'overall_calibration'", fill(fixed.OVERALL_RULE_TEXT) + " || " + verdict,
+        "0.9", "'calibration'",
+    ))
+    case = lambda i: "CASE " + " ".join(f"WHEN {arm[0]} THEN {arm[i]}" for arm in arms) + " END"
+    return f"""
+rules AS (
+  SELECT * FROM (
+    SELECT {keep} {case(1)} AS rule_id, {case(2)} AS rule_text, round(CAST({case(3)} AS DOUBLE), 6) AS confidence,
+           CAST(total AS BIGINT) AS evidence_count, {case(4)} AS category
+    FROM (SELECT *, correct / total AS acc FROM {source}))
+  WHERE rule_id IS NOT NULL)"""
+
+
+def category_sql(source: str = "episodes", keep: str = "", where: str = "true") -> str:
+    """``counts`` by ticker, source, direction and overall."""
+    parts = [("ticker", "ticker"), ("source", "source"), ("direction", "predicted_direction"), ("overall", "'all'")]
+    selects = " UNION ALL ".join(
+        f"SELECT {keep} '{family}' AS family, {column} AS key, CAST(count_if(was_correct) AS BIGINT) AS correct, "
+        f"count(*) AS total FROM {source} WHERE {where} GROUP BY ALL"
+        for family, column in parts
+    )
+    return f"\ncounts AS ({selects})"
+
+
+EPISODES_SQL = """
+episodes AS (
+  SELECT config, article_idx, date, source, ticker, score AS predicted_score, ret AS actual_return, batch,
+         CASE WHEN score > 0 THEN 'bullish' ELSE 'bearish' END AS predicted_direction,
+         CASE WHEN ret > 0 THEN 'bullish' ELSE 'bearish' END AS actual_direction,
+         (score > 0) = (ret > 0) AS was_correct
+  FROM pairs)"""

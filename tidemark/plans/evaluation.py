@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.operators import metrics
-from tidemark.operators.returns import join_abnormal, join_as_of
+from tidemark.operators.returns import forward_returns, join_abnormal, join_as_of
+from tidemark.operators.rules import batch_of
 from tidemark.plans import bindings as b
 from tidemark.plans.book import BOOK
+from tidemark.session import materialise
 
 PAIRS_SQL = """
 pairs AS (
-  SELECT p.config, p.article_idx, p.ticker, p.score, r.horizon, r.ret
+  SELECT p.config, p.article_idx, p.date, p.source, p.ticker, p.score, r.horizon, r.ret,
+         p.article_idx // 50 AS batch
   FROM (SELECT p.*, m.date AS start_date FROM pred p ASOF JOIN market m
         ON p.ticker = m.ticker AND p.date <= m.date) p
   JOIN ret r ON r.ticker = p.ticker AND r.date = p.start_date
@@ -32,8 +35,10 @@ pairs AS (
   WHERE {where})"""
 
 
-def raw_sql(brands: list[int], where: str = "abs(p.score) >= 0.3", horizons=fixed.HORIZONS, model: bool = False) -> str:
-    pred = b.model_predictions_sql(brands) if model else b.predictions_sql(brands)
+def raw_sql(
+    brands: list[int], where: str = "abs(p.score) >= 0.3", horizons=fixed.HORIZONS, variants: str | None = None
+) -> str:
+    pred = b.variant_predictions_sql(brands, variants) if variants else b.predictions_sql(brands)
     return "WITH " + ",".join(
         [b.MARKET_SQL, b.returns_sql("market", "ret", horizons), pred, PAIRS_SQL.format(where=where)]
     )
@@ -47,10 +52,14 @@ def abnormal_sql(brands: list[int], where: str, horizons) -> str:
 
 
 def raw_returns(
-    spark: SparkSession, sf_dir: str, brands: list[int], horizons: list[int], keys=("config",), model: bool = False
+    spark: SparkSession, sf_dir: str, brands: list[int], horizons: list[int], keys=("config",),
+    variants: str | None = None,
 ) -> DataFrame:
-    source = b.model_predictions if model else b.predictions
-    signals = metrics.conviction(source(spark, sf_dir, brands))
+    if variants:
+        signals = b.variant_predictions(spark, sf_dir, brands, variants)
+    else:
+        signals = b.predictions(spark, sf_dir, brands)
+    signals = metrics.conviction(signals).withColumn("batch", batch_of(F.col("article_idx")))
     panel = b.market_panel(spark, sf_dir, horizons)
     return metrics.signal_returns(signals, panel, horizons, list(keys))
 
@@ -167,8 +176,6 @@ def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ticker, date, horizon, round(ret, 6) + 0.0 AS ret, CAST(eff AS INTEGER) AS rows_used FROM ret""",
 )
 def forward_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.returns import forward_returns
-
     panel = forward_returns(b.market(spark, sf_dir))
     cells = F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.col(f"ret_{h}").alias("ret"), F.col(f"rows_{h}").alias("rows_used"))
@@ -186,8 +193,6 @@ FROM (SELECT article_idx, ticker, date + INTERVAL 40 DAY AS d2, CAST(date + INTE
 ASOF LEFT JOIN market m ON p.ticker = m.ticker AND p.date <= m.date""",
 )
 def asof_next_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.session import materialise
-
     signals = b.predictions(spark, sf_dir, [1, 9, 17, 25])
     events = signals.select("article_idx", "ticker", F.date_add("date", 40).alias("date"))
     panel = materialise(b.market(spark, sf_dir), "panel")
@@ -205,3 +210,113 @@ def abnormal_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = join_abnormal(events, b.market_panel(spark, sf_dir, [5]), b.benchmark_panel(spark, sf_dir, [5]), [5])
     known = joined.filter("ret_5 IS NOT NULL").select("article_idx", "ticker", F.col("ret_5").alias("ret"))
     return rounded(known, "ret")
+
+
+@BOOK.add(
+    "batch_ic",
+    raw_sql(b.FIVE_BRANDS, horizons=[5]) + "," + b.SPEARMAN_SQL.format(keys="config, batch") + """,
+whole AS (
+  SELECT config, count(*) AS n, corr(rx, ry) AS rho FROM (
+    SELECT config, rank() OVER (PARTITION BY config ORDER BY score) + (count(*) OVER (PARTITION BY config, score) - 1) / 2.0 AS rx,
+           rank() OVER (PARTITION BY config ORDER BY ret) + (count(*) OVER (PARTITION BY config, ret) - 1) / 2.0 AS ry
+    FROM pairs) GROUP BY config)
+SELECT config, batch, CASE WHEN n >= 10 THEN round(rho, 6) + 0.0 END AS ic, n FROM spearman
+UNION ALL SELECT config, NULL, CASE WHEN n >= 10 THEN round(rho, 6) + 0.0 END, n FROM whole""",
+)
+def batch_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per batch, and over the whole run (batch null): ranks of a run do not add up from batches."""
+    returns = materialise(raw_returns(spark, sf_dir, b.FIVE_BRANDS, [5], ("config", "batch")), "returns")
+    batches = metrics.information_coefficient(returns, ["config", "batch"])
+    whole = metrics.information_coefficient(returns, ["config"]).withColumn("batch", F.lit(None).cast("long"))
+    return rounded(batches.unionByName(whole), "ic").select("config", "batch", "ic", "n")
+
+
+@BOOK.add(
+    "improvement_check",
+    raw_sql(b.FIVE_BRANDS, horizons=[5]) + "," + b.SPEARMAN_SQL.format(keys="config, batch") + """
+SELECT config, count(*) AS batches, round(arg_min(rho, batch), 6) + 0.0 AS first_ic,
+       round(arg_max(rho, batch), 6) + 0.0 AS last_ic,
+       round(arg_max(rho, batch) - arg_min(rho, batch), 6) + 0.0 AS change,
+       arg_max(rho, batch) > arg_min(rho, batch) AS improved
+FROM spearman WHERE n >= 10 AND rho IS NOT NULL GROUP BY config HAVING count(*) >= 2""",
+)
+def improvement_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returns = raw_returns(spark, sf_dir, b.FIVE_BRANDS, [5], ("config", "batch"))
+    batches = metrics.information_coefficient(returns, ["config", "batch"])
+    return rounded(metrics.improvement(batches, ["config"]), "first_ic", "last_ic", "change")
+
+
+MARGINAL_ROLES = {
+    "small_base": "F0", "small_memory": "F1", "large_base": "O0",
+    "large_memory": "O1", "tuned_base": "P0", "tuned_memory": "P1",
+}
+
+
+@BOOK.add(
+    "marginal_contribution",
+    raw_sql(b.SEVEN_BRANDS, horizons=[5], variants="status") + "," + b.SPEARMAN_SQL.format(keys="config") + """,
+v AS (SELECT max(CASE WHEN config = 'F0' THEN rho END) AS f0, max(CASE WHEN config = 'F1' THEN rho END) AS f1,
+             max(CASE WHEN config = 'O0' THEN rho END) AS o0, max(CASE WHEN config = 'O1' THEN rho END) AS o1,
+             max(CASE WHEN config = 'P0' THEN rho END) AS p0, max(CASE WHEN config = 'P1' THEN rho END) AS p1,
+             max(rho) - min(rho) AS span, arg_max(config, rho) AS best, arg_min(config, rho) AS worst, count(*) AS c
+      FROM spearman)
+SELECT c AS configs, round(f1 - f0, 6) + 0.0 AS memory_small, round(o1 - o0, 6) + 0.0 AS memory_large,
+       round(p1 - p0, 6) + 0.0 AS memory_tuned, round(o0 - f0, 6) + 0.0 AS size,
+       round(p0 - o0, 6) + 0.0 AS fine_tuning, round(span, 6) + 0.0 AS ic_range,
+       best AS best_config, worst AS worst_config FROM v""",
+)
+def marginal_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returns = raw_returns(spark, sf_dir, b.SEVEN_BRANDS, [5], variants="status")
+    ic = metrics.information_coefficient(returns, ["config"])
+    return rounded(
+        metrics.marginal_contributions(ic, MARGINAL_ROLES),
+        "memory_small", "memory_large", "memory_tuned", "size", "fine_tuning", "ic_range",
+    )
+
+
+@BOOK.add(
+    "best_worst_config",
+    raw_sql(b.SEVEN_BRANDS, horizons=[1, 5], variants="model") + "," + b.SPEARMAN_SQL.format(keys="config, horizon") + """
+SELECT horizon, arg_max(config, rho) AS best_config, round(max(rho), 6) + 0.0 AS best_ic,
+       arg_min(config, rho) AS worst_config, round(min(rho), 6) + 0.0 AS worst_ic
+FROM spearman GROUP BY horizon""",
+)
+def best_worst_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returns = raw_returns(spark, sf_dir, b.SEVEN_BRANDS, [1, 5], variants="model")
+    ic = metrics.information_coefficient(returns, ["config", "horizon"])
+    return rounded(metrics.best_and_worst(ic, ["horizon"]), "best_ic", "worst_ic")
+
+
+@BOOK.add(
+    "bullish_bias",
+    raw_sql(b.SEVEN_BRANDS, horizons=[5]) + """
+SELECT config, ticker, count(*) AS n, round(count_if(score > 0) / count(*), 6) AS bullish_share,
+       round(count_if(ret > 0) / count(*), 6) AS rise_share, round(count_if(score < 0) / count(*), 6) AS negative_share
+FROM pairs GROUP BY config, ticker""",
+)
+def bullish_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returns = raw_returns(spark, sf_dir, b.SEVEN_BRANDS, [5])
+    return rounded(metrics.bullish_bias(returns, ["config", "ticker"]), "bullish_share", "rise_share", "negative_share")
+
+
+@BOOK.add(
+    "model_disagreement",
+    raw_sql(b.FIVE_BRANDS, "true", [5], "model") + """
+SELECT a.ticker, count(*) AS disagreements, CAST(count_if((a.score > 0) = (a.ret > 0)) AS BIGINT) AS left_correct,
+       CAST(count_if((c.score > 0) = (a.ret > 0)) AS BIGINT) AS right_correct
+FROM pairs a JOIN pairs c ON a.article_idx = c.article_idx AND a.ticker = c.ticker
+WHERE a.config = 'model0' AND c.config = 'model1' AND a.score * c.score < 0 GROUP BY a.ticker""",
+)
+def model_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = b.variant_predictions(spark, sf_dir, b.FIVE_BRANDS)
+    return metrics.model_disagreement(signals, b.market_panel(spark, sf_dir, [5]), "model0", "model1", 5)
+
+
+@BOOK.add(
+    "strict_forward_return",
+    "WITH " + b.MARKET_SQL + "," + b.returns_sql("market", "ret", [20]) + """
+SELECT ticker, date, round(ret, 6) + 0.0 AS ret_20 FROM ret WHERE eff = 20""",
+)
+def strict_forward_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = forward_returns(b.market(spark, sf_dir), [20], strict_horizon=True)
+    return rounded(panel.filter("ret_20 IS NOT NULL"), "ret_20").select("ticker", "date", "ret_20")
