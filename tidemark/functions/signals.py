@@ -11,6 +11,18 @@ from tidemark.functions.text import strip
 ENTRIES = "array<struct<ticker:string,value:variant>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row. As a generated column it is neither copied
+    into filters below it nor merged into later projections."""
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def json_span(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; null when there is no such span."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
@@ -23,10 +35,12 @@ def parse_span(text: Column) -> Column:
 
 def parse_response(raw: Column) -> Column:
     """A response that may be fenced as code: the fenced text, else the object inside it."""
-    clean = strip(raw)
-    fenced = strip(F.regexp_replace(F.split_part(clean, F.lit("```"), F.lit(2)), r"^json", ""))
-    body = F.when(F.startswith(clean, F.lit("```")), fenced).otherwise(clean)
-    return F.coalesce(F.try_parse_json(body), parse_span(body))
+
+    def body(clean: Column) -> Column:
+        fenced = strip(F.regexp_replace(F.split_part(clean, F.lit("```"), F.lit(2)), r"^json", ""))
+        return F.when(F.startswith(clean, F.lit("```")), fenced).otherwise(clean)
+
+    return let(let(strip(raw), body), lambda t: F.coalesce(F.try_parse_json(t), parse_span(t)))
 
 
 def split_thinking(raw: Column) -> Column:
@@ -42,28 +56,27 @@ def split_thinking(raw: Column) -> Column:
 
 def parse_truncated(content: Column) -> Column:
     """Parse the object span; if it was cut short, close its open braces and try again."""
+
+    def parse(span: Column) -> Column:
+        missing = F.regexp_count(span, F.lit(r"\{")) - F.regexp_count(span, F.lit(r"\}"))
+        closed = F.concat(span, F.repeat(F.lit("}"), F.greatest(missing, F.lit(0))))
+        return F.coalesce(F.try_parse_json(span), F.try_parse_json(closed))
+
     has_open = F.contains(content, F.lit("{"))
-    span = F.when(has_open, json_span(content)).otherwise(content)
-    missing = F.regexp_count(span, F.lit(r"\{")) - F.regexp_count(span, F.lit(r"\}"))
-    closed = F.concat(span, F.repeat(F.lit("}"), F.greatest(missing, F.lit(0))))
-    return F.coalesce(F.try_parse_json(span), F.try_parse_json(closed))
+    return let(F.when(has_open, json_span(content)).otherwise(content), parse)
 
 
 def field(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
-def kind(value: Column) -> Column:
-    """``object, array, text, number, truth, null`` or null when there is no value."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "text")
-        .when(schema == "BOOLEAN", "truth")
-        .when(schema == "VOID", "null")
-        .when(schema.isNotNull(), "number")
-    )
+def is_number(value: Column) -> Column:
+    """A number or a truth value."""
+    return F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
+
+
+def is_null_or_list(value: Column) -> Column:
+    return F.is_variant_null(value) | F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def container(signal: Column) -> Column:
@@ -94,10 +107,13 @@ def entries(vector: Column, lists: bool = True) -> Column:
         ),
         lambda e: e["ticker"].isNotNull(),
     )
-    names = F.transform(items, lambda e: e["ticker"])
-    last = F.filter(
+    later = lambda all_items, i: F.slice(all_items, i + 2, F.size(all_items))
+    last = let(
         items,
-        lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["ticker"]),
+        lambda all_items: F.filter(
+            all_items,
+            lambda e, i: ~F.exists(later(all_items, i), lambda other: other["ticker"] == e["ticker"]),
+        ),
     )
     return F.coalesce(pairs, last, none)
 
@@ -107,14 +123,9 @@ def served_entries(signal: Column, universe: list[str] = fixed.TICKERS) -> Colum
     that hold a number."""
     named = entries(F.coalesce(field(signal, "$.signal_vector"), field(signal, "$.signals")), lists=False)
     flat = F.filter(
-        entries(signal, lists=False),
-        lambda e: e["ticker"].isin(universe) & kind(e["value"]).isin("number", "truth"),
+        entries(signal, lists=False), lambda e: e["ticker"].isin(universe) & is_number(e["value"])
     )
-    return F.when(F.size(named) > 0, named).otherwise(flat)
-
-
-def number_or_null(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+    return let(named, lambda found: F.when(F.size(found) > 0, found).otherwise(flat))
 
 
 def strict_score(value: Column) -> Column:
@@ -123,51 +134,48 @@ def strict_score(value: Column) -> Column:
     Numbers and truth values count as numbers, text as a number if it is one and else as 0,
     ``{score}`` must hold something readable (a missing score is 0), anything else is 0.
     """
-    inner = field(value, "$.score")
-    of_kind = kind(value)
-    return (
-        F.when(of_kind.isin("number", "truth"), number_or_null(value))
-        .when(of_kind == "object", F.when(inner.isNull(), 0.0).otherwise(number_or_null(inner)))
-        .when(of_kind == "text", F.coalesce(number_or_null(value), F.lit(0.0)))
-        .otherwise(0.0)
-    )
+    number = F.try_variant_get(value, "$", "double")
+    inner = F.try_variant_get(value, "$.score", "double")
+    return F.coalesce(number, F.when(field(value, "$.score").isNotNull(), inner).otherwise(0.0))
 
 
 def word_score(text: Column) -> Column:
     """Score of a label: an exact known label, else the first number in it, else the first known
     label contained in it, else 0."""
-    lowered = F.lower(strip(text))
     labels = F.create_map(*[F.lit(x) for pair in fixed.SCORE_WORDS for x in pair])
+    names = F.array(*[F.lit(label) for label, _ in fixed.SCORE_WORDS])
     number = F.nullif(F.regexp_extract(text, fixed.NUMBER_PATTERN, 0), F.lit(""))
-    partial = F.lit(0.0)
-    for label, score in reversed(fixed.SCORE_WORDS):
-        partial = F.when(F.contains(lowered, F.lit(label)), score).otherwise(partial)
-    return F.coalesce(F.try_element_at(labels, lowered), number.try_cast("double"), partial)
+
+    def score(lowered: Column) -> Column:
+        part = F.get(F.filter(names, lambda name: F.contains(lowered, name)), 0)
+        return F.coalesce(
+            F.try_element_at(labels, lowered),
+            number.try_cast("double"),
+            F.try_element_at(labels, part),
+            F.lit(0.0),
+        )
+
+    return let(F.lower(strip(text)), score)
 
 
 def lenient_score(value: Column) -> Column:
-    """Score of a value where labels are allowed; other kinds give 0."""
-    of_kind = kind(value)
-    return (
-        F.when(of_kind.isin("number", "truth"), number_or_null(value))
-        .when(of_kind == "text", word_score(F.try_variant_get(value, "$", "string")))
-        .otherwise(0.0)
-    )
+    """Score of a value where labels are allowed; an object is read by ``score``, else by
+    ``signal``; other kinds give 0."""
 
+    def score(inner: Column) -> Column:
+        text = F.try_variant_get(inner, "$", "string")
+        number = F.coalesce(F.try_variant_get(inner, "$", "double"), F.lit(0.0))
+        return F.when(F.schema_of_variant(inner) == "STRING", word_score(text)).otherwise(number)
 
-def lenient_scores(signal: Column) -> Column:
-    """(ticker, score) entries with labels allowed; objects are read by ``score``, else
-    ``signal``; null and list values are left out."""
-    kept = F.filter(
-        entries(container(signal), lists=False),
-        lambda e: kind(e["value"]).isin("number", "truth", "text", "object"),
-    )
+    return let(F.coalesce(field(value, "$.score"), field(value, "$.signal"), value), score)
 
-    def score(value: Column) -> Column:
-        inner = F.coalesce(field(value, "$.score"), field(value, "$.signal"), F.parse_json(F.lit("0")))
-        return F.when(kind(value) == "object", lenient_score(inner)).otherwise(lenient_score(value))
 
-    return F.transform(kept, lambda e: F.struct(e["ticker"].alias("ticker"), score(e["value"]).alias("score")))
+def lenient_scores(signal: Column) -> Column:
+    """(ticker, score) entries with labels allowed; null and list values are left out."""
+    kept = F.filter(entries(container(signal), lists=False), lambda e: ~is_null_or_list(e["value"]))
+    return F.transform(
+        kept, lambda e: F.struct(e["ticker"].alias("ticker"), lenient_score(e["value"]).alias("score"))
+    )
 
 
 def strict_scores(signal: Column, unknown: str = "zero") -> Column:
@@ -177,7 +185,7 @@ def strict_scores(signal: Column, unknown: str = "zero") -> Column:
     """
     found = entries(container(signal))
     if unknown == "drop":
-        found = F.filter(found, lambda e: kind(e["value"]).isin("number", "truth", "text", "object"))
+        found = F.filter(found, lambda e: ~is_null_or_list(e["value"]))
     return F.transform(
         found,
         lambda e: F.struct(e["ticker"].alias("ticker"), strict_score(e["value"]).alias("score")),
@@ -188,7 +196,7 @@ def clean_predictions(predictions: DataFrame, unknown: str = "zero") -> DataFram
     """Add ``scores`` and set ``status`` to error (with its text) where a score is unreadable."""
     scores = strict_scores(F.col("signal"), unknown)
     failed = F.exists("scores", lambda e: e["score"].isNull()) & (F.col("status") == "success")
-    return predictions.withColumn("scores", scores).withColumns(
+    return once(predictions, "scores", scores).withColumns(
         {
             "error": F.when(failed, fixed.FLOAT_ERROR_TEXT).otherwise(F.col("error")),
             "status": F.when(failed, "error").otherwise(F.col("status")),
@@ -208,7 +216,7 @@ def recover_predictions(predictions: DataFrame) -> DataFrame:
     )
     recovered = text_error & F.exists("scores", lambda e: e["score"] != 0)
     return (
-        predictions.withColumn("scores", scores)
+        once(predictions, "scores", scores)
         .withColumn("status", F.when(recovered, "recovered").otherwise(F.col("status")))
         .withColumn("scores", F.when(F.col("status").isin("success", "recovered"), F.col("scores")))
     )

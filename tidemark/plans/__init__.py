@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "learning"]
+MODULES = ["evaluation", "learning", "parsing"]
 
 
 def load_queries():
