@@ -6,23 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
+from tidemark.functions.columns import let, once
 from tidemark.functions.text import strip
 
 ENTRIES = "array<struct<ticker:string,value:variant>>"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once per row. As a generated column it is neither copied
-    into filters below it nor merged into later projections."""
-    kept = [c for c in df.columns if c != name]
-    return df.select(*kept, F.explode(F.array(value)).alias(name))
-
-
 def json_span(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; null when there is no such span."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

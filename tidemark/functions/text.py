@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
+from tidemark.functions.columns import let
 
 
 def strip(text: Column) -> Column:
@@ -33,10 +34,13 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.lower(t), r"^\$+", "")))
 
 
+def ticker_tags_in_order(text_tokens: Column, members: Column) -> Column:
+    return let(text_tokens, lambda found: F.filter(members, lambda t: F.array_contains(found, F.lower(t))))
+
+
 def ticker_tags(text_tokens: Column, universe: list[str]) -> Column:
     """Sorted universe members whose lower-case form is one of the tokens."""
-    members = F.array(*[F.lit(t) for t in sorted(universe)])
-    return F.filter(members, lambda t: F.array_contains(text_tokens, F.lower(t)))
+    return ticker_tags_in_order(text_tokens, F.array(*[F.lit(t) for t in sorted(universe)]))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -55,19 +59,21 @@ def mentioned_tickers(
     ``mode='token'`` needs the ticker as a token of its own. ``mode='substring'`` looks for the
     letters anywhere in the upper-case text, so 'python' mentions HON.
     """
+    members = F.array(*[F.lit(t) for t in universe])
     if mode == "substring":
-        upper = F.upper(text)
-        hit = lambda t: F.contains(upper, t)
+        direct = let(F.upper(text), lambda upper: F.filter(members, lambda t: F.contains(upper, t)))
     else:
-        words = tokens(text)
-        hit = lambda t: F.array_contains(words, F.lower(t))
-    direct = F.filter(F.array(*[F.lit(t) for t in universe]), hit)
-    lowered = F.lower(text)
-    named = F.array_compact(
-        F.array(*[F.when(F.contains(lowered, F.lit(name)), F.lit(t)) for name, t in aliases])
-    ) if aliases else F.array().cast("array<string>")
-    found = F.array_distinct(F.concat(direct, F.filter(named, lambda t: ~F.array_contains(direct, t))))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*[F.lit(t) for t in default]))
+        direct = ticker_tags_in_order(tokens(text), members)
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("ticker")) for n, t in aliases])
+    named = let(
+        F.lower(text),
+        lambda lowered: F.transform(
+            F.filter(names, lambda a: F.contains(lowered, a["name"])), lambda a: a["ticker"]
+        ),
+    )
+    found = F.array_distinct(F.concat(direct, named)) if aliases else direct
+    fallback = F.array(*[F.lit(t) for t in default])
+    return let(found, lambda tickers: F.when(F.size(tickers) > 0, tickers).otherwise(fallback))
 
 
 def first_keyword_ticker(

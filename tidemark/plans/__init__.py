@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "learning", "parsing"]
+MODULES = ["evaluation", "learning", "parsing", "lexical"]
 
 
 def load_queries():

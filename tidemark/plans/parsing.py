@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions import signals as sg
+from tidemark.functions.columns import once
 from tidemark.functions.text import direction
 from tidemark.operators import metrics
 from tidemark.operators.views import with_seconds
@@ -78,9 +79,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def response_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed responses as prediction rows."""
-    rows = sg.once(responses(spark, sf_dir), "raw", F.col("raw"))
-    split = sg.once(rows, "parts", sg.split_thinking(F.col("raw")))
-    parsed = sg.once(split, "signal", sg.parse_response(F.col("parts.content")))
+    rows = once(responses(spark, sf_dir), "raw", F.col("raw"))
+    split = once(rows, "parts", sg.split_thinking(F.col("raw")))
+    parsed = once(split, "signal", sg.parse_response(F.col("parts.content")))
     unread = F.col("signal").isNull()
     return parsed.select(
         F.col("o_orderstatus").alias("config"), F.col("o_orderkey").alias("article_idx"), "shape", "date",
