@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "learning", "parsing", "lexical"]
+MODULES = ["evaluation", "learning", "parsing", "lexical", "facts", "feeds"]
 
 
 def load_queries():
