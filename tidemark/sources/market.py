@@ -20,10 +20,10 @@ def read_market(spark: SparkSession, folder: str, date_column: str = "Date") ->
     A file with adjusted closes uses those, any other its closes; rows without a price are left
     out. Files may differ in their columns.
     """
-    raw = spark.read.option("mergeSchema", "true").parquet(folder)
+    raw = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(folder)
     pick = lambda name: F.coalesce(*cols) if (cols := _named(raw.columns, name)) else F.lit(None).cast("double")
     rows = raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.parquet)?(/part-[^/]*)?$", 1).alias("ticker"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+?)(\.parquet)?(/part-[^/]*)?$", 1).alias("ticker"),
         F.col(date_column).cast("date").alias("date"),
         pick("Adj Close").alias("adjusted"),
         pick("Close").alias("plain"),
