@@ -46,13 +46,18 @@ def signal_returns(
     keys: list[str],
     benchmark: DataFrame | None = None,
 ) -> DataFrame:
-    """Counted (keys, horizon, ticker, score, ret) rows; abnormal returns when a benchmark is given."""
+    """Counted (keys, horizon, ticker, score, ret) rows; abnormal returns when a benchmark is given.
+
+    Written once with a column per horizon; the long form is made on reading.
+    """
     counted = count_signals(usable_rows(signals), keys)
     if benchmark is None:
         joined = join_as_of(counted, panel, [f"ret_{h}" for h in horizons])
     else:
         joined = join_abnormal(counted, panel, benchmark, horizons)
-    return unpivot_horizons(joined, horizons, [*keys, "ticker", "score", "n"])
+    keep = [*keys, "ticker", "score", "n"]
+    wide = materialise(joined.select(*keep, *[f"ret_{h}" for h in horizons]), "signal-returns")
+    return unpivot_horizons(wide, horizons, keep)
 
 
 def information_coefficient(

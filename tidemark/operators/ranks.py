@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.prefix import running_totals
-from tidemark.session import materialise
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, count: str = "n") -> DataFrame:
@@ -24,12 +23,12 @@ def average_ranks(counts: DataFrame, keys: list[str], value: str, count: str = "
 def rank_correlation(pairs: DataFrame, keys: list[str], x: str, y: str, count: str = "n") -> DataFrame:
     """Spearman correlation of ``x`` and ``y`` per group: one row ``keys, ic, n``.
 
-    ``pairs`` holds counted (x, y) pairs. Only their distinct values are ranked: the ranks of
-    ``x`` are joined once, and ``y`` is ranked in its already summed form, so both sides shuffle
-    partial sums per value and a frequent value weighs no more than a rare one. ``ic`` is null
-    when either side is constant.
+    ``pairs`` holds counted (x, y) pairs; it is read twice, so pass a written or cheap frame.
+    Only distinct values are ranked: the ranks of ``x`` are joined once, and ``y`` is ranked in
+    its already summed form, so both sides shuffle partial sums per value and a frequent value
+    weighs no more than a rare one. ``ic`` is null when either side is constant.
     """
-    cells = materialise(pairs.select(*keys, x, y, F.col(count).alias("n")), "pairs")
+    cells = pairs.select(*keys, x, y, F.col(count).alias("n"))
     x_counts = cells.groupBy(*keys, x).agg(F.sum("n").alias("n"))
     # Counted on the way: few distinct scores are broadcast and the pairs stay where they are,
     # many are shuffled, with AQE splitting a frequent value.

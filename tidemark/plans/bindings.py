@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.operators.returns import forward_returns
-from tidemark.session import materialise
+from tidemark.session import materialise, spread
 
 TEN_BRANDS = list(range(1, 11))
 SEVEN_BRANDS = list(range(1, 8))
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table whose rows are expanded or parsed next, over all cores; only ``columns`` move."""
+    rows = table(spark, sf_dir, name)
+    return spread(rows.select(key, *columns) if columns else rows, key)
+
+
 # --- prices -----------------------------------------------------------------------------------
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
@@ -85,7 +91,9 @@ def returns_sql(source: str, name: str, horizons: list[int] = fixed.HORIZONS) ->
 # --- predictions ------------------------------------------------------------------------------
 def predictions(spark: SparkSession, sf_dir: str, brands: list[int]) -> DataFrame:
     """One row per order and brand: config = order status, source = priority, score in [-2, 2]."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread_table(
+        spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+    ).select(
         F.col("o_orderstatus").alias("config"),
         F.col("o_orderkey").alias("article_idx"),
         F.col("o_orderdate").cast("date").alias("date"),

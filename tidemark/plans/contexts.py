@@ -122,11 +122,10 @@ SELECT query_id, md5(CASE WHEN length(context) > 600 THEN left(context, 600) ||
 def full_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, experiences, semantic memory and track record for every benchmark text."""
     asked = materialise(questions(spark, sf_dir), "questions")
-    seen = materialise(
-        loop_episodes(spark, sf_dir).withColumns({"ticker": word_of_brand(), "lesson": F.lit(None).cast("string")}), "episodes"
-    )
-    counts = ep.category_counts(loop_episodes(spark, sf_dir))
-    rules = rounded(ru.generate_rules(loop_episodes(spark, sf_dir), F.current_date()), "confidence")
+    by_brand = materialise(loop_episodes(spark, sf_dir), "episodes")
+    seen = by_brand.withColumns({"ticker": word_of_brand(), "lesson": F.lit(None).cast("string")})
+    counts = ep.category_counts(by_brand)
+    rules = rounded(ru.generate_rules(by_brand, F.current_date()), "confidence")
     meaning = semantic(spark, sf_dir, asked, 4000)
     built = cx.full_context(asked, rules, seen, counts, meaning, [F.asc("article_idx")], max_tokens=150)
     suffix = "\n[... memory truncated to fit context window]"

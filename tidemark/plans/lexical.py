@@ -26,7 +26,7 @@ TOKEN_SQL = (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "documents")
+    return b.spread_table(spark, sf_dir, "documents", "doc_id")
 
 
 def observed(doc_id: Column) -> Column:

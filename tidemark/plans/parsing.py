@@ -43,7 +43,7 @@ def _object(*pairs) -> Column:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model answer per order in one of twelve shapes (``shape`` = order key modulo 12)."""
-    orders = b.table(spark, sf_dir, "orders").select(
+    orders = b.spread_table(spark, sf_dir, "orders", "o_orderkey").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date").alias("date"), "o_totalprice"
     )
     text = [_score(i).cast("string") for i in (1, 2, 3)]
@@ -186,7 +186,7 @@ LABEL_VALUES = ", ".join(f"({i}, '{label}', {score})" for i, (label, score) in e
 SELECT o_orderkey AS article_idx, label, CAST(score AS DOUBLE) AS score FROM orders JOIN l ON o_orderkey % {len(LABELS)} = i""",
 )
 def label_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = b.table(spark, sf_dir, "orders")
+    orders = b.spread_table(spark, sf_dir, "orders", "o_orderkey")
     return orders.select(
         F.col("o_orderkey").alias("article_idx"), _label().alias("label"), sg.word_score(_label()).alias("score")
     )
