@@ -22,9 +22,12 @@ def read_market(spark: SparkSession, folder: str, date_column: str = "Date") ->
     """
     raw = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(folder)
     pick = lambda name: F.coalesce(*cols) if (cols := _named(raw.columns, name)) else F.lit(None).cast("double")
+    day = F.col(date_column)
+    if dict(raw.dtypes)[date_column] == "bigint":
+        day = F.timestamp_micros(F.floor(day / 1000))
     rows = raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+?)(\.parquet)?(/part-[^/]*)?$", 1).alias("ticker"),
-        F.col(date_column).cast("date").alias("date"),
+        day.cast("date").alias("date"),
         pick("Adj Close").alias("adjusted"),
         pick("Close").alias("plain"),
     )
