@@ -18,8 +18,10 @@ def read_market(spark: SparkSession, folder: str, date_column: str = "Date") ->
     """``ticker, date, close`` from files named after their ticker.
 
     A file with adjusted closes uses those, any other its closes; rows without a price are left
-    out. Files may differ in their columns.
+    out. Files may differ in their columns, and their times may have been written in
+    nanoseconds, which Spark reads only as integers.
     """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     raw = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(folder)
     pick = lambda name: F.coalesce(*cols) if (cols := _named(raw.columns, name)) else F.lit(None).cast("double")
     day = F.col(date_column)
