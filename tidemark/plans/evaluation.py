@@ -188,7 +188,7 @@ def forward_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add(
     "asof_next_price",
     "WITH " + b.MARKET_SQL + "," + b.predictions_sql([1, 9, 17, 25]) + """
-SELECT p.article_idx, p.ticker, p.date, m.date AS start_date, round(m.close, 9) AS close
+SELECT p.article_idx, p.ticker, p.date, m.date AS start_date, round(m.close + 1e-9, 6) AS close
 FROM (SELECT article_idx, ticker, date + INTERVAL 40 DAY AS d2, CAST(date + INTERVAL 40 DAY AS DATE) AS date FROM pred) p
 ASOF LEFT JOIN market m ON p.ticker = m.ticker AND p.date <= m.date""",
 )
@@ -197,7 +197,8 @@ def asof_next_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = signals.select("article_idx", "ticker", F.date_add("date", 40).alias("date"))
     panel = materialise(b.market(spark, sf_dir), "panel")
     joined = join_as_of(events, panel, ["close"], how="left")
-    return rounded(joined, "close", digits=9).select("article_idx", "ticker", "date", "start_date", "close")
+    # The shift keeps exact halves off the rounding boundary, where engines differ.
+    return rounded(joined.withColumn("close", F.col("close") + 1e-9), "close").select("article_idx", "ticker", "date", "start_date", "close")
 
 
 @BOOK.add(
