@@ -46,12 +46,12 @@ def lexical_search(
     ``record_id, observed_at, seq`` and the text.
 
     Tokens that occur in more than ``common_share`` of the records would pair every query with
-    almost every record. They do not propose records: only rarer tokens do, and the common ones
-    are added to the records so proposed. That is exact for a query whose k-th score beats all
-    its common tokens together, as no other record can reach it. The remaining queries are
-    scored over all their tokens.
+    almost every record. They do not propose records: only rarer tokens do. Of the records so
+    proposed, those are scored in full that can still reach the k-th score of a few already
+    scored ones. That is exact for a query whose k-th score beats all its common tokens
+    together, as no record without a rare token can reach it. The remaining queries are scored
+    over all their tokens.
     """
-    # Kept on disk: read by the frequency count, the proposals and the complete scoring.
     wanted = materialise(query_terms(queries, universe), "query-terms")
     vocabulary = wanted.select("token").distinct()
     found = materialise(
@@ -64,40 +64,43 @@ def lexical_search(
         wanted.join(frequency, "token").withColumn("common", F.col("records") > bound).drop("records"),
         "weighted-terms",
     )
-    proposed = (
+    proposed = materialise(
         found.join(terms.filter("NOT common"), "token")
         .groupBy("query_id", "record_id")
-        .agg(F.sum("weight").alias("rare_score"))
+        .agg(F.sum("weight").alias("rare_score")),
+        "proposed",
     )
-    # The number of common tokens is at most (mean tokens per record) / common_share, so these
-    # arrays stay short whatever the number of records.
-    common_of_query = (
-        terms.filter("common")
-        .groupBy("query_id")
-        .agg(
-            F.collect_list("token").alias("query_common"),
-            F.collect_list(F.when(F.col("weight") > 1, F.col("token"))).alias("query_tickers"),
-            F.sum("weight").alias("ceiling"),
+    common = terms.filter("common").select("query_id", "token", "weight")
+    ceilings = common.groupBy("query_id").agg(F.sum("weight").alias("ceiling"))
+
+    def scored(candidates: DataFrame) -> DataFrame:
+        """Add the common tokens a candidate really shares: (query tokens) lookups each."""
+        shared = candidates.join(common, "query_id").join(found, ["record_id", "token"], "left_semi")
+        return (
+            candidates.select("query_id", "record_id", F.col("rare_score").alias("part"))
+            .unionByName(shared.select("query_id", "record_id", F.col("weight").alias("part")))
+            .groupBy("query_id", "record_id")
+            .agg(F.sum("part").alias("score"))
         )
-    )
-    common_of_record = (
-        found.join(terms.filter("common").select("token").distinct(), "token", "left_semi")
-        .groupBy("record_id")
-        .agg(F.collect_list("token").alias("record_common"))
-    )
-    shared = lambda side: F.coalesce(
-        F.size(F.array_intersect(side, "record_common")).cast("long"), F.lit(0).cast("long")
-    )
+
     order = [F.desc("score"), F.desc("observed_at"), F.asc("seq")]
     identity = records.select("record_id", "observed_at", "seq")
+    leaders = top_k(proposed, ["query_id"], [F.desc("rare_score"), F.asc("record_id")], k).drop("pos")
+    floors = materialise(
+        scored(leaders)
+        .groupBy("query_id")
+        .agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).alias("floor"))
+        .join(ceilings, "query_id", "left")
+        .select("query_id", "floor", F.coalesce("ceiling", F.lit(0)).alias("ceiling")),
+        "floors",
+    )
+    contenders = materialise(
+        proposed.join(floors, "query_id").filter(F.col("rare_score") + F.col("ceiling") >= F.col("floor")),
+        "contenders",
+    )
     best = materialise(
-        top_k(
-            proposed.join(common_of_query, "query_id", "left")
-            .join(common_of_record, "record_id", "left")
-            .withColumn("score", F.col("rare_score") + shared("query_common") + TICKER_BONUS * shared("query_tickers"))
-            .select("query_id", "record_id", "score", F.coalesce("ceiling", F.lit(0)).alias("ceiling"))
-            .join(identity, "record_id"),
-            ["query_id"], order, k,
+        top_k(scored(contenders).join(identity, "record_id"), ["query_id"], order, k).join(
+            floors.select("query_id", "ceiling"), "query_id"
         ),
         "best-proposed",
     )
