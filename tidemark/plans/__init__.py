@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "learning", "parsing", "lexical", "facts", "feeds", "records", "dashboard", "contexts"]
+MODULES = ["evaluation", "learning", "parsing", "lexical", "facts", "feeds", "records", "dashboard", "contexts", "loops"]
 
 
 def load_queries():
