@@ -233,6 +233,14 @@ EXPERIENCES_HEADER = "[PAST EXPERIENCES]"
 TRACK_RECORD_PREFIX = "[YOUR TRACK RECORD] "
 TRUNCATION_SUFFIX = "\n[... memory truncated to fit context window]"
 NO_MEMORY_TEXT = "No related memory found."
+ACCURACY_LABEL = "Accuracy: "
+OVERALL_ACCURACY_LABEL = "Overall accuracy: "
+PROMPT_PARTS = [
+    "Source type: ",
+    "\n\nRetrieved memory:\n",
+    "\n\nCurrent input:\n",
+    "\n\nAnalyze the current input using the retrieved memory only where relevant.",
+]
 CHARS_PER_TOKEN = 4
 RULE_CONFIDENCE_LABELS = [(0.8, "HIGH"), (0.6, "MEDIUM")]
 RULE_CONFIDENCE_LOW = "LOW"
@@ -242,3 +250,23 @@ TRADE_SIDES = ["buy", "sell", "short", "cover"]
 EVAL_STATUSES = ["pass", "fail", "warn", "skip"]
 COLLECTIONS = {"trades": "trade", "evals": "eval", "backtests": "backtest"}
 LEDGER_LIST_LIMIT = 20
+BAD_SIDE = "side must be one of: buy, sell, short, cover"
+BAD_QUANTITY = "quantity must be positive"
+BAD_PRICE = "price must be non-negative"
+BAD_STATUS = "status must be one of: pass, fail, warn, skip"
+BAD_METRICS = "metrics must be a JSON object"
+EMPTY_METRICS = "metrics must not be empty"
+UNKNOWN_COLLECTION = "Unknown collection: "
+
+# --- fixed values: event texts and addresses --------------------------------------------------
+PATENT_TITLE = "Patent: "
+PATENT_URL = "https://patents.google.com/patent/US"
+FILING_TITLE = "Insider transaction: "
+FILING_CONTENT = "Form 4 filing by "
+FILING_URL = "https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK="
+JOB_TITLE = "Hiring signal: "
+REPOSITORY_TITLE = "GitHub: "
+REPOSITORY_URL = "https://github.com/"
+RELEASE_TEXT = "Latest release: "
+CONFERENCE_TITLE = "Conference paper ("
+ARXIV_TITLE = "arXiv: "

@@ -74,7 +74,7 @@ def track_record(accuracy: DataFrame) -> DataFrame:
     decided = F.col("correct") + F.col("incorrect")
     percent = F.format_string("%.1f%%", F.bround(F.col("accuracy") * 100, 1))
     text = F.concat(
-        F.lit(fixed.TRACK_RECORD_PREFIX + "Accuracy: "), percent, F.lit(" ("), F.col("correct").cast("string"),
+        F.lit(fixed.TRACK_RECORD_PREFIX + fixed.ACCURACY_LABEL), percent, F.lit(" ("), F.col("correct").cast("string"),
         F.lit("/"), decided.cast("string"), F.lit(" correct predictions)"),
     )
     return accuracy.filter(decided > 0).select(text.alias("section"))
@@ -145,7 +145,7 @@ def episode_prompt_lines(episodes: DataFrame, tie: list[Column], limit: int = 30
 def overall_record(counts: DataFrame) -> DataFrame:
     """``[YOUR TRACK RECORD] Overall accuracy ..`` from category counts; empty without episodes."""
     text = F.concat(
-        F.lit(fixed.TRACK_RECORD_PREFIX + "Overall accuracy: "),
+        F.lit(fixed.TRACK_RECORD_PREFIX + fixed.OVERALL_ACCURACY_LABEL),
         whole_percent(F.try_divide("correct", "total")), F.lit("% ("), F.col("correct").cast("string"),
         F.lit("/"), F.col("total").cast("string"), F.lit(" correct)"),
     )
@@ -198,9 +198,6 @@ def memory_block(hits: DataFrame, records: DataFrame, chars: int = 800) -> DataF
 def prompts(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """``query_id, prompt`` with the retrieved memory, or a note that there is none."""
     memory = F.coalesce("memory_block", F.lit(fixed.NO_MEMORY_TEXT))
-    prompt = F.concat(
-        F.lit("Source type: "), F.col("source"), F.lit("\n\nRetrieved memory:\n"), memory,
-        F.lit("\n\nCurrent input:\n"), F.col("text"),
-        F.lit("\n\nAnalyze the current input using the retrieved memory only where relevant."),
-    )
+    head, before_memory, before_text, closing = [F.lit(part) for part in fixed.PROMPT_PARTS]
+    prompt = F.concat(head, F.col("source"), before_memory, memory, before_text, F.col("text"), closing)
     return queries.join(blocks, "query_id", "left").select("query_id", prompt.alias("prompt"))

@@ -29,12 +29,22 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns
 
 
 # --- prices -----------------------------------------------------------------------------------
-def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
+def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part, ship day and unit price of every line."""
+    lines = spread_table(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity"
+    )
+    return lines.select(
         "l_partkey",
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )
+
+
+def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit prices by brand. Parts are broadcast if their files are small; otherwise both sides
+    are shuffled by part and AQE splits a part that holds much of the lines."""
+    lines = unit_prices(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select("ticker", "date", "price")
 
@@ -46,11 +56,8 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole market's mean unit price per day as one benchmark series."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_shipdate").cast("date").alias("date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-    )
-    return lines.groupBy("date").agg(F.avg("price").alias("close")).select(F.lit("ALL").alias("ticker"), "date", "close")
+    days = unit_prices(spark, sf_dir).groupBy("date").agg(F.avg("price").alias("close"))
+    return days.select(F.lit("ALL").alias("ticker"), "date", "close")
 
 
 def market_panel(spark: SparkSession, sf_dir: str, horizons: list[int] = fixed.HORIZONS, **options) -> DataFrame:

@@ -85,6 +85,25 @@ def event_price_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), "low", "high")
 
 
+@BOOK.add(
+    "benchmark_window",
+    "WITH " + b.BENCHMARK_SQL + """,
+w AS (SELECT date, count(*) OVER f AS n, last_value(date) OVER f AS last
+      FROM bench WINDOW f AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING))
+SELECT o_orderkey AS article_idx, w.date AS start_date, w.last AS last_date, CAST(w.n AS INTEGER) AS n_rows
+FROM orders ASOF JOIN w ON CAST(o_orderdate AS DATE) <= w.date""",
+)
+def benchmark_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's window after every event."""
+    events = b.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("article_idx"), F.col("o_orderdate").cast("date").alias("date"), F.lit("ALL").alias("ticker")
+    )
+    windows = materialise(views.price_windows(b.benchmark(spark, sf_dir)), "windows")
+    return views.event_price_windows(events, windows).select(
+        "article_idx", "start_date", F.element_at("dates", -1).alias("last_date"), F.size("closes").alias("n_rows")
+    )
+
+
 @BOOK.add(
     "prediction_index",
     """SELECT o_orderstatus AS config, o_orderkey AS article_idx,

@@ -23,9 +23,9 @@ def answer(frame: pd.DataFrame) -> pd.Series:
 
 
 ARTICLES_SQL = """
-a AS (SELECT doc_id, left(text, 100) AS k, length(text || '. ' || source) AS n FROM documents),
+a AS (SELECT doc_id, source, left(text, 100) AS k, length(text || '. ' || source) AS n FROM documents),
 fresh AS (SELECT arg_min(n, doc_id) AS n, min(doc_id) AS doc_id FROM a
-          WHERE k NOT IN (SELECT k FROM a WHERE doc_id % 4 = 0) GROUP BY k)"""
+          WHERE k NOT IN (SELECT k FROM a WHERE source < 'src13') GROUP BY k)"""
 
 
 @BOOK.add(
@@ -44,7 +44,7 @@ def feed_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     articles = b.spread_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("seq"), F.col("text").alias("title"), F.col("source").alias("description"), "source"
     )
-    return articles, articles.filter("seq % 4 = 0").select(F.col("title").alias("article_title"))
+    return articles, articles.filter("source < 'src13'").select(F.col("title").alias("article_title"))
 
 
 @BOOK.add(

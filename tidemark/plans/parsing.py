@@ -146,7 +146,7 @@ SELECT o_orderkey AS article_idx, 'Brand#' || b AS ticker, v AS score FROM s WHE
 )
 def truncated_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers cut before their last brace, closed and read."""
-    cut = response_predictions(spark, sf_dir).filter("shape = 10")
+    cut = response_predictions(spark, sf_dir).filter("signal IS NULL")
     repaired = cut.withColumn("signal", sg.parse_truncated(F.col("raw")))
     return sg.long_signals(sg.clean_predictions(repaired.withColumn("status", F.lit("success"))), ["article_idx"])
 
@@ -312,15 +312,16 @@ def resume_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     "experiment_grid",
     """WITH g(config) AS (VALUES ('base_t0.5'), ('base_t0.7'), ('base_t1.0'), ('fine_tuned_t0.5'), ('fine_tuned_t0.7'), ('fine_tuned_t1.0'))
 SELECT config, count(*) AS pending FROM orders CROSS JOIN g
-WHERE NOT (config = 'base_t0.5' AND o_orderkey % 2 = 0) GROUP BY config""",
+WHERE NOT (config = 'base_t0.5' AND o_orderstatus = 'F') GROUP BY config""",
 )
 def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left to score for each model and temperature, given what one of them has done."""
     grid = [f"{m}_t{t}" for m in fixed.GRID_MODELS for t in fixed.GRID_TEMPERATURES]
-    articles = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_idx"))
-    done = articles.filter("article_idx % 2 = 0").select(
+    articles = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_idx"), "o_orderstatus")
+    done = articles.filter("o_orderstatus = 'F'").select(
         F.lit("base_t0.5").alias("config"), "article_idx", F.lit("success").alias("status")
     )
+    articles = articles.drop("o_orderstatus")
     return pr.pending_work(articles, grid, done).groupBy("config").agg(F.count("*").alias("pending"))
 
 

@@ -63,9 +63,9 @@ def patent_events(payloads: DataFrame, since: Column, assignees: dict[str, str],
     )
     return rows.filter(matches).select(*_event(
         "patent", F.col("ticker"), item("patent_date"),
-        F.concat(F.lit("Patent: "), _or(item("patent_title"), "Unknown")),
+        F.concat(F.lit(fixed.PATENT_TITLE), _or(item("patent_title"), "Unknown")),
         F.left(_or(item("patent_abstract"), ""), F.lit(500)), F.lit("medium"),
-        F.concat(F.lit("https://patents.google.com/patent/US"), _or(item("patent_number"), "")),
+        F.concat(F.lit(fixed.PATENT_URL), _or(item("patent_number"), "")),
         patent_number=item("patent_number"),
     ))
 
@@ -78,10 +78,10 @@ def filing_events(payloads: DataFrame, first: int = 10) -> DataFrame:
     filed = _or(F.col("item._source.file_date"), "")
     return rows.select(*_event(
         "insider", F.col("ticker"), filed,
-        F.concat(F.lit("Insider transaction: "), filer, F.lit(" at "), F.col("company")),
-        F.concat(F.lit("Form 4 filing by "), filer, F.lit(". Filed "), filed, F.lit(".")),
+        F.concat(F.lit(fixed.FILING_TITLE), filer, F.lit(" at "), F.col("company")),
+        F.concat(F.lit(fixed.FILING_CONTENT), filer, F.lit(". Filed "), filed, F.lit(".")),
         F.lit("medium"),
-        F.concat(F.lit("https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK="), F.col("cik"), F.lit("&type=4")),
+        F.concat(F.lit(fixed.FILING_URL), F.col("cik"), F.lit("&type=4")),
         filer=filer, form_type=F.lit("4"),
     ))
 
@@ -109,7 +109,7 @@ def job_events(payloads: DataFrame, as_of: Column, first: int = 5) -> DataFrame:
     title = _or(F.col("title"), "")
     return rows.filter(t.contains_any(F.lower(title), fixed.JOB_WORDS)).select(*_event(
         "job", F.col("ticker"), t.feed_date(F.col("pubDate"), as_of),
-        F.concat(F.lit("Hiring signal: "), F.left(title, F.lit(80))), title,
+        F.concat(F.lit(fixed.JOB_TITLE), F.left(title, F.lit(80))), title,
         t.job_significance(title), _or(F.col("link"), ""),
     ))
 
@@ -133,7 +133,7 @@ def repository_events(activity: DataFrame, as_of: Column, days_back: int = 30) -
     release = F.coalesce(
         F.when(
             F.col("tag_name").isNotNull(),
-            F.concat(F.lit("Latest release: "), F.col("tag_name"), F.lit(" ("),
+            F.concat(F.lit(fixed.RELEASE_TEXT), F.col("tag_name"), F.lit(" ("),
                      F.left(_or(F.col("published_at"), ""), F.lit(10)), F.lit(")")),
         ),
         F.lit(""),
@@ -143,11 +143,11 @@ def repository_events(activity: DataFrame, as_of: Column, days_back: int = 30) -
         "github",
         _or(F.try_element_at(orgs, F.split_part("repo", F.lit("/"), F.lit(1))), ""),
         as_of,
-        F.concat(F.lit("GitHub: "), F.col("repo"), F.lit(" - "), F.col("commits"), F.lit(f" commits in {days_back}d")),
+        F.concat(F.lit(fixed.REPOSITORY_TITLE), F.col("repo"), F.lit(" - "), F.col("commits"), F.lit(f" commits in {days_back}d")),
         F.concat(F.lit("Repository "), F.col("repo"), F.lit(" had "), F.col("commits"),
                  F.lit(f" commits in the last {days_back} days. "), release),
         t.commit_significance(F.col("commits")),
-        F.concat(F.lit("https://github.com/"), F.col("repo")),
+        F.concat(F.lit(fixed.REPOSITORY_URL), F.col("repo")),
         repo=F.col("repo"), commits=F.col("commits"),
     ))
 
@@ -169,7 +169,7 @@ def conference_events(payloads: DataFrame, first: int | None = 5) -> DataFrame:
     return rows.select(*_event(
         "conference", t.first_keyword_ticker(F.concat_ws(" ", "title", "summary")),
         F.col("published").try_cast("date"),
-        F.concat(F.lit("Conference paper ("), F.col("conference"), F.lit("): "), F.left("title", F.lit(80))),
+        F.concat(F.lit(fixed.CONFERENCE_TITLE), F.col("conference"), F.lit("): "), F.left("title", F.lit(80))),
         F.col("summary"), F.lit("medium"), F.col("link"), conference=F.col("conference"),
     ))
 
@@ -180,7 +180,7 @@ def arxiv_events(payloads: DataFrame, max_results: int = 20) -> DataFrame:
     return rows.select(*_event(
         "arxiv", t.first_keyword_ticker(F.concat_ws(" ", "title", "summary")),
         F.col("published").try_cast("date"),
-        F.concat(F.lit("arXiv: "), F.left("title", F.lit(80))), F.col("summary"),
+        F.concat(F.lit(fixed.ARXIV_TITLE), F.left("title", F.lit(80))), F.col("summary"),
         t.paper_significance(F.col("title")), F.col("link"),
     ))
 

@@ -18,9 +18,9 @@ def with_trade_fields(trades: DataFrame) -> DataFrame:
     """Normalised symbol, side and notional, and ``reject_reason`` (null for a valid trade)."""
     side = F.lower("side")
     reason = (
-        F.when(~side.isin(fixed.TRADE_SIDES) | side.isNull(), "side must be one of: buy, sell, short, cover")
-        .when(~(F.col("quantity") > 0) | F.col("quantity").isNull(), "quantity must be positive")
-        .when(~(F.col("price") >= 0) | F.col("price").isNull(), "price must be non-negative")
+        F.when(~side.isin(fixed.TRADE_SIDES) | side.isNull(), fixed.BAD_SIDE)
+        .when(~(F.col("quantity") > 0) | F.col("quantity").isNull(), fixed.BAD_QUANTITY)
+        .when(~(F.col("price") >= 0) | F.col("price").isNull(), fixed.BAD_PRICE)
     )
     return trades.withColumns(
         {
@@ -36,16 +36,16 @@ def with_trade_fields(trades: DataFrame) -> DataFrame:
 def with_eval_fields(evals: DataFrame) -> DataFrame:
     status = F.lower("status")
     reason = F.when(
-        ~status.isin(fixed.EVAL_STATUSES) | status.isNull(), "status must be one of: pass, fail, warn, skip"
-    ).when(~is_json_object(F.col("metrics")), "metrics must be a JSON object")
+        ~status.isin(fixed.EVAL_STATUSES) | status.isNull(), fixed.BAD_STATUS
+    ).when(~is_json_object(F.col("metrics")), fixed.BAD_METRICS)
     return evals.withColumns({"kind": F.lit("eval"), "reject_reason": reason, "status": status})
 
 
 def with_backtest_fields(backtests: DataFrame) -> DataFrame:
     """Backtests need a metrics object with at least one entry."""
     size = F.size(F.map_keys(F.try_variant_get(F.try_parse_json("metrics"), "$", "map<string,variant>")))
-    reason = F.when(~is_json_object(F.col("metrics")), "metrics must be a JSON object").when(
-        size == 0, "metrics must not be empty"
+    reason = F.when(~is_json_object(F.col("metrics")), fixed.BAD_METRICS).when(
+        size == 0, fixed.EMPTY_METRICS
     )
     return backtests.withColumns({"kind": F.lit("backtest"), "reject_reason": reason})
 
@@ -55,7 +55,7 @@ def with_collection(records: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     for name, value in fixed.COLLECTIONS.items():
         kind = F.when(F.col("collection") == name, value).otherwise(kind)
-    reason = F.when(kind.isNull(), F.concat(F.lit("Unknown collection: "), F.col("collection")))
+    reason = F.when(kind.isNull(), F.concat(F.lit(fixed.UNKNOWN_COLLECTION), F.col("collection")))
     return records.withColumns({"kind": kind, "reject_reason": reason})
 
 
