@@ -12,45 +12,41 @@ from tidemark.operators.prefix import running_totals
 from tidemark.operators.topk import joined_text, top_k
 
 
-def _filled(template: str, accuracy: Column) -> Column:
-    out = F.lit(template)
+def _filled(template: Column) -> Column:
+    """The template with the row's key, percentage and count in place."""
     for name, value in (
         ("{key}", F.col("key")),
-        ("{pct}", whole_percent(accuracy)),
+        ("{pct}", whole_percent(F.col("accuracy"))),
         ("{n}", F.col("total").cast("string")),
     ):
-        out = F.replace(out, F.lit(name), value)
-    return out
+        template = F.replace(template, F.lit(name), value)
+    return template
 
 
-def _rule(rule_id: Column, text: Column, confidence: Column, category: str) -> Column:
-    return F.struct(
-        rule_id.alias("rule_id"),
-        text.alias("rule_text"),
-        confidence.alias("confidence"),
-        F.col("total").alias("evidence_count"),
-        F.lit(category).alias("category"),
-    )
+def _chosen(values: list) -> Column:
+    """The value that belongs to the row's rule number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_rule"))
 
 
 def rules_from_counts(counts: DataFrame, keep: list[str] = []) -> DataFrame:
     """Rules that hold for category counts (``family, key, correct, total``).
 
-    At most one rule per row: the strong bound is tried before the weak one.
+    At most one rule per row: the strong bound is tried before the weak one. The rule is first
+    settled as a number, then its fields are looked up and filled once.
     """
     accuracy = F.col("accuracy")
-    rule = F.when(F.lit(False), _rule(F.lit(""), F.lit(""), F.lit(0.0), ""))
-    for family, fires, bound, least, rule_id, cap, category, text in fixed.RULE_FAMILIES:
+    overall = len(fixed.RULE_FAMILIES) + 1
+    rule = F.when(
+        (F.col("family") == "overall") & (F.col("total") >= fixed.OVERALL_RULE_MIN), F.lit(overall)
+    )
+    families, fires, bounds, least, rule_ids, caps, categories, texts = zip(*fixed.RULE_FAMILIES)
+    for number, (family, kind, bound, needed) in enumerate(zip(families, fires, bounds, least), start=1):
         of_direction = family in ("bullish", "bearish")
         applies = F.col("family") == ("direction" if of_direction else family)
         if of_direction:
             applies = applies & (F.col("key") == family)
-        held = accuracy >= bound if fires == "at_least" else accuracy <= bound
-        strength = accuracy if fires == "at_least" else 1 - accuracy
-        rule = rule.when(
-            applies & (F.col("total") >= least) & held,
-            _rule(_filled(rule_id, accuracy), _filled(text, accuracy), F.least(strength, F.lit(cap)), category),
-        )
+        held = accuracy >= bound if kind == "at_least" else accuracy <= bound
+        rule = rule.when(applies & (F.col("total") >= needed) & held, F.lit(number))
     low, high, calibrated = fixed.OVERALL_WELL_CALIBRATED
     below, overconfident = fixed.OVERALL_OVERCONFIDENT
     verdict = (
@@ -58,20 +54,24 @@ def rules_from_counts(counts: DataFrame, keep: list[str] = []) -> DataFrame:
         .when(accuracy < below, overconfident)
         .otherwise(fixed.OVERALL_STRONG)
     )
-    rule = rule.when(
-        (F.col("family") == "overall") & (F.col("total") >= fixed.OVERALL_RULE_MIN),
-        _rule(
-            F.lit(fixed.OVERALL_RULE_ID),
-            F.concat(_filled(fixed.OVERALL_RULE_TEXT, accuracy), verdict),
-            F.lit(fixed.OVERALL_RULE_CONFIDENCE),
-            fixed.OVERALL_RULE_CATEGORY,
-        ),
-    )
+    is_overall = F.col("_rule") == overall
+    strength = F.when(_chosen([k == "at_least" for k in fires] + [True]), accuracy).otherwise(1 - accuracy)
     return (
         counts.withColumn("accuracy", F.try_divide("correct", "total"))
         .withColumn("_rule", rule)
         .filter("_rule IS NOT NULL")
-        .select(*keep, "_rule.*")
+        .select(
+            *keep,
+            _filled(_chosen([*rule_ids, fixed.OVERALL_RULE_ID])).alias("rule_id"),
+            F.concat(
+                _filled(_chosen([*texts, fixed.OVERALL_RULE_TEXT])), F.when(is_overall, verdict).otherwise("")
+            ).alias("rule_text"),
+            F.when(is_overall, fixed.OVERALL_RULE_CONFIDENCE)
+            .otherwise(F.least(strength, _chosen([*caps, 1.0])))
+            .alias("confidence"),
+            F.col("total").alias("evidence_count"),
+            _chosen([*categories, fixed.OVERALL_RULE_CATEGORY]).alias("category"),
+        )
     )
 
 

@@ -31,10 +31,7 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns
 # --- prices -----------------------------------------------------------------------------------
 def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part, ship day and unit price of every line."""
-    lines = spread_table(
-        spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity"
-    )
-    return lines.select(
+    return table(spark, sf_dir, "lineitem").select(
         "l_partkey",
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
