@@ -122,3 +122,17 @@ def test_resume_retries_errors_unless_told_not_to(spark):
     left = lambda **k: sorted(r.article_idx for r in pr.remaining(articles, written, **k).collect())
     assert left() == [1, 2, 3]
     assert left(errors_count_as_done=True) == [2, 3]
+
+
+def test_articles_and_appended_predictions(spark, tmp_path):
+    articles = tmp_path / "articles.jsonl"
+    articles.write_text("".join(f'{{"article_idx": {i}, "title": "t{i}", "date": "2024-01-0{i + 1}"}}\n' for i in range(4)))
+    first = pr.read_articles(spark, str(articles), first=3)
+    assert sorted(r.article_idx for r in first.collect()) == [0, 1, 2]
+    out = str(tmp_path / "written")
+    for status in ("success", "error"):
+        rows = first.filter("article_idx = 0" if status == "success" else "article_idx = 1")
+        pr.append_predictions(rows.select(F.lit("c").alias("config"), "article_idx", F.lit(status).alias("status")), out)
+    written = spark.read.schema("config string, article_idx long, status string").json(out)
+    left = pr.pending_work(first.drop("config"), ["c", "d"], written)
+    assert sorted((r.config, r.article_idx) for r in left.collect()) == [("c", 1), ("c", 2), ("d", 0), ("d", 1), ("d", 2)]
