@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from tidemark.plans import load_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are absent")
@@ -23,10 +24,11 @@ def test_entry_has_rows_and_schema(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    book = load_queries()
+    assert set(book.queries) == set(book.sql)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(load_queries().queries))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     rows = [tuple(r) for r in df.collect()]
