@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import personal_data, sharding
+from tidemark.llm import personal_data, sentence_pieces, sharding, token_counts
 from tidemark.llm.book import BOOK
 
 SHARDS = 16
+TOKEN_LIMIT = 512
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@BOOK.add("op3_sentence_pieces")
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip"
+    )
+
+
+@BOOK.add("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
+    return counted.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    )
+
+
 @BOOK.add("op9_personal_data")
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find_spans(table(spark, sf_dir, "documents")))
