@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import personal_data, sentence_pieces, sharding, token_counts
+from tidemark.llm import decontamination, personal_data, sentence_pieces, sharding, token_counts, warc
 from tidemark.llm.book import BOOK
 
 SHARDS = 16
@@ -42,6 +42,57 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = """
+WITH words AS (
+  SELECT 'doc' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'item', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') FROM benchmark
+), runs AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run
+  FROM words WHERE len(w) >= 5
+), sizes AS (
+  SELECT id, count(*) AS n FROM runs WHERE side = 'item' GROUP BY id
+), shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared
+  FROM runs d JOIN runs i ON d.run = i.run AND d.side = 'doc' AND i.side = 'item' GROUP BY ALL
+)
+SELECT doc_id, item_id, n AS n_shingles, shared AS n_shared
+FROM shared JOIN sizes ON item_id = id WHERE shared * 100 >= n * 80
+"""
+
+
+@BOOK.add("op7_decontamination", OP7_SQL)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("n").alias("n_shingles"), F.col("shared").alias("n_shared")
+    )
+
+
+OP8_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), known AS (
+  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest
+  FROM payloads
+), kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept_id FROM known
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN kept_id END AS refers_to
+FROM kept
+"""
+
+
+@BOOK.add("op8_warc", OP8_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archived(table(spark, sf_dir, "pages"))
+    return warc.read_records(index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @BOOK.add("op9_personal_data")
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find_spans(table(spark, sf_dir, "documents")))
