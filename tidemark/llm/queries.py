@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, personal_data, sentence_pieces, sharding, token_counts, warc
+from tidemark.llm import decontamination, main_text, personal_data, quality, sentence_pieces, sharding, token_counts, warc
 from tidemark.llm.book import BOOK
 
 SHARDS = 16
@@ -42,6 +42,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.add("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = main_text.extract(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@BOOK.add("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "n_lines", "rejected_by",
+    )
+
+
 OP7_SQL = """
 WITH words AS (
   SELECT 'doc' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents
