@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, main_text, personal_data, quality, sentence_pieces, sharding, token_counts, warc
+from tidemark.llm import decontamination, main_text, near_duplicates, personal_data, quality, sentence_pieces, sharding, token_counts, warc
 from tidemark.llm.book import BOOK
 
 SHARDS = 16
@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@BOOK.add("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.find_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=85)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 @BOOK.add("op3_sentence_pieces")
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
