@@ -16,16 +16,20 @@ NEVER = 1 << 60
 
 
 class Bounded(dict):
-    """A memo: a missing key is computed, and the memo starts anew when it holds too many."""
+    """A memo of at most ``most`` entries: a missing key is computed. When half of them are used
+    the memo starts anew, and takes over what is asked for again from the half before."""
 
     def __init__(self, compute: Callable, most: int, longest: int = 64) -> None:
         super().__init__()
-        self.compute, self.most, self.longest = compute, most, longest
+        self.compute, self.half, self.longest, self.older = compute, most // 2, longest, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -52,6 +52,20 @@ def streamed(chars: Iterable[str], merges: Merges) -> Iterator[str]:
     yield from path(window[-1], root)
 
 
+def pieces_of(text: str, merges: Merges) -> list[str]:
+    """The pieces of a text; one that fits the window needs no window."""
+    if len(text) > merges.longest:
+        return list(streamed(text, merges))
+    lasts = [""]
+    for end in range(1, len(text) + 1):
+        lasts.append(merges.last_piece(text, end, lasts))
+    pieces, end = [], len(text)
+    while end:
+        pieces.append(lasts[end])
+        end -= len(lasts[end])
+    return pieces[::-1]
+
+
 def met(nodes: list[tuple]) -> tuple:
     """The last node that the paths of all nodes go through."""
     open_nodes = {id(n): n for n in nodes}
@@ -86,10 +100,27 @@ def rebased(window: list[tuple], meeting: tuple, root: tuple) -> list[tuple]:
     return [copied(n) for n in window]
 
 
+def unit_pattern(pieces: Iterable[str]) -> str:
+    """A pattern that cuts a text where no piece of the vocabulary reaches across, so that each
+    part can be encoded, and remembered, alone: before white space, at line ends, and between a
+    letter and the marks that no piece has after a letter."""
+    before: dict[str, set[str]] = {}
+    for piece in pieces:
+        for left, char in zip(piece, piece[1:]):
+            before.setdefault(char, set()).add(left)
+    if before.get(SPACE, set()) - {SPACE}:
+        return r"(?s).+"
+    lines = "" if any("\n" in p and len(p) > 1 for p in pieces) else "\n"
+    plain = f"{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + ("|\n" if lines else "")
+    marks = [m for m in ",.;:!?" if not any(c.isalpha() for c in before.get(m, ()))]
+    odd = "".join(sorted(c for m in marks for c in before.get(m, ()) if c.isalnum()))
+    return f"{SPACE}*[^\\W\\d_{re.escape(odd)}]+(?=[{''.join(marks)}])|{plain}" if marks else plain
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file, which is read once per worker."""
 
-    def __init__(self, model_path: str, memo: int = 400_000) -> None:
+    def __init__(self, model_path: str, memo: int = 600_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -107,17 +138,12 @@ class Codec:
             shown.get(i, "" if model.is_control(i) else " ⁇ " if model.is_unknown(i) else names[i])
             for i in every
         ]
-        # Text can be cut where no piece reaches across: before white space, and at line ends.
-        cut_at_space = not any(SPACE in p[1:].lstrip(SPACE) for p in self.ids)
-        cut_at_line = not any("\n" in p for p in born)
-        line = "\n" if cut_at_line else ""
-        units = rf"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + ("|\n" if line else "")
-        self.units = re.compile(units if cut_at_space else r"(?s).+").findall
+        self.units = re.compile(unit_pattern(self.ids)).findall
         self.memo = Bounded(self.unit_ids, memo)
 
     def unit_ids(self, unit: str) -> list[int]:
         out = []
-        for piece in streamed(unit, self.merges):
+        for piece in pieces_of(unit, self.merges):
             known = self.ids.get(piece)
             if known is not None:
                 out.append(known)
