@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, main_text, near_duplicates, personal_data, quality, sentence_pieces, sharding, token_counts, warc
+from tidemark.llm import decontamination, main_text, near_duplicates, personal_data, quality, sentence_pieces, sharding, token_counts, toxicity, warc
 from tidemark.llm.book import BOOK
 
 SHARDS = 16
@@ -31,6 +31,16 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.add("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @BOOK.add("op3_sentence_pieces")
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
