@@ -30,10 +30,7 @@ def expected(rows):
     }
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_rank_correlation_matches_pandas(spark, monkeypatch, sliced):
-    if sliced:
-        monkeypatch.setattr("tidemark.operators.ranks.running_totals", lambda *a, **k: running_totals(*a, **k, window_rows=0))
+def test_rank_correlation_matches_pandas(spark):
     rows = pairs(random.Random(3), 400)
     got = {r.g: (r.ic, r.n) for r in rank_correlation(frame(spark, rows), ["g"], "x", "y").collect()}
     for g, (ic, n) in expected(rows).items():
@@ -75,11 +72,11 @@ def test_running_totals_both_ways(spark):
         seen[k] = seen.get(k, 0) + m
 
 
-def test_large_input_takes_the_sliced_way(spark, monkeypatch):
+def test_every_size_takes_the_sliced_way(spark, monkeypatch):
     monkeypatch.setattr(prefix, "sliced_totals", lambda *a: "sliced")
-    df = spark.range(20).select(F.lit(1).alias("k"), "id", F.lit(1).alias("m"))
-    assert running_totals(df, ["k"], ["id"], ["m"], window_rows=10) == "sliced"
-    assert running_totals(df, ["k"], ["id"], ["m"], window_rows=20) != "sliced"
+    for n in (0, 1, 20):
+        df = spark.range(n).select(F.lit(1).alias("k"), "id", F.lit(1).alias("m"))
+        assert running_totals(df, ["k"], ["id"], ["m"]) == "sliced"
 
 
 @pytest.mark.parametrize("values,median", [([1.0], 1.0), ([1.0, 2.0], 1.5), ([0.0, 0.0, 0.0, 9.0], 0.0), ([3.0, 1.0, 2.0], 2.0)])

@@ -99,6 +99,15 @@ def test_stream_dedup_restarts_where_it_stopped(spark, tmp_path):
         assert sorted(r.key for r in got.collect()) == sorted(set(range(i + 1)) | {k for k in range(10) if k % 2 <= i})
 
 
+def test_stream_dedup_keeps_each_key_once_however_late(spark, tmp_path):
+    rows = spark.range(600).select(
+        F.floor(F.col("id") / 100).alias("part"), F.timestamp_seconds(1704067200 + F.floor(F.col("id") / 100) * 864000).alias("ts"), (F.col("id") % 100).alias("key")
+    )
+    stream = runs.file_stream(spark, landed(rows, tmp_path, "in", 6), rows.schema, files_per_trigger=1)
+    got = runs.run_to_table(runs.deduplicated(stream, ["key"]), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r.key for r in got.collect()) == list(range(100))
+
+
 def test_stream_ledger_batch_replay_replaces_its_output(spark, tmp_path):
     write = runs.ledger_writer(str(tmp_path), ID)
     batch = spark.createDataFrame([trade(1), trade(2, "hold")], TRADE)
@@ -109,7 +118,7 @@ def test_stream_ledger_batch_replay_replaces_its_output(spark, tmp_path):
     assert runs.batches(spark, f"{tmp_path}/rejected").count() == 1
 
 
-def test_stream_facts_forget_per_batch(spark, tmp_path):
+def test_stream_facts_append_and_forget_on_reading(spark, tmp_path):
     from tests.test_memory import FACT, fact
 
     df = spark.createDataFrame(
@@ -119,20 +128,25 @@ def test_stream_facts_forget_per_batch(spark, tmp_path):
     folder = landed(df, tmp_path, "facts", 3)
     schema = spark.createDataFrame([], FACT).schema
     stream = runs.file_stream(spark, folder, df.schema, files_per_trigger=1)
-    keeper = runs.fact_keeper(str(tmp_path / "state"), schema, lambda batch: batch.agg(F.max("created_at")).scalar())
+    keeper = runs.fact_keeper(str(tmp_path / "state"), schema)
     query = runs.run_batches(stream, keeper, str(tmp_path / "cp"))
-    last = query.lastProgress["batchId"]
-    assert last == 2
-    kept = runs.latest_version(spark, str(tmp_path / "state"), schema, last)
-    assert [r.id for r in kept.collect()] == [3]
+    assert query.lastProgress["batchId"] == 2
+    now = F.lit("2024-06-01").cast(schema["created_at"].dataType)
+    assert [r.id for r in runs.current_facts(spark, str(tmp_path / "state"), schema, now).collect()] == [3]
 
 
 def test_stream_outcomes_split_by_known_day(spark, tmp_path):
     days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(10)]
     prices = spark.createDataFrame([("A", d, float(i + 1)) for i, d in enumerate(days)], "ticker string, date date, close double")
     panel = materialise(forward_returns(prices, [2]), "t")
-    write = runs.outcome_writer(str(tmp_path), panel, 2, F.lit("2024-01-05").cast("date"))
-    write(spark.createDataFrame([("A", d) for d in days + [dt.date(2025, 1, 1)]], "ticker string, date date"), 0)
-    known = runs.batches(spark, f"{tmp_path}/known").collect()
-    assert sorted(r.date.day for r in known) == [1, 2, 3]
-    assert runs.batches(spark, f"{tmp_path}/open").count() == 8
+    until = ["2024-01-05", "2024-01-08"]
+    write = runs.outcome_writer(str(tmp_path), panel, 2, lambda batch: F.lit(until[batch]).cast("date"))
+    signals = spark.createDataFrame([("A", d) for d in days + [dt.date(2025, 1, 1)]], "ticker string, date date")
+    write(signals, 0)
+    known = lambda: sorted((r.batch, r.date.day) for r in runs.batches(spark, f"{tmp_path}/known").collect())
+    assert known() == [(0, 1), (0, 2), (0, 3)]
+    assert runs.open_signals(spark, str(tmp_path), signals.schema, 0).count() == 8
+    for _ in range(2):
+        write(signals.limit(1), 1)
+        assert known() == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 4), (1, 5), (1, 6)]
+        assert runs.open_signals(spark, str(tmp_path), signals.schema, 1).count() == 5

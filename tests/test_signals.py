@@ -112,6 +112,21 @@ def test_files_skip_or_fail(spark, tmp_path):
     assert {r.config for r in models.collect()} == {"a"}
 
 
+def test_lines_of_other_types_stay(spark, tmp_path):
+    lines = [
+        '{"status":"success","article_idx":"2","time_seconds":"1.5"}', '{"status":"success","article_idx":5.0}',
+        '{"status":"success","article_idx":[1],"date":7}', '{"status":"success","success":"yes"}', "5", '"text"', "{broken",
+    ]
+    (tmp_path / "predictions_x.jsonl").write_text("\n".join(lines))
+    (tmp_path / "predictions_xb.jsonl").write_text(lines[0])
+    rows = pr.read_predictions(spark, str(tmp_path / "predictions_x.jsonl"))
+    assert [r.article_idx for r in rows.collect()] == [2, 5, None, None]
+    assert rows.count() == rows.select("article_idx").count() == rows.select("error").count() == 4
+    assert rows.collect()[0].time_seconds == 1.5
+    models = pr.read_models(spark, str(tmp_path), {"x": "predictions_x", "b": "predictions_xb"})
+    assert {r.config: r["count"] for r in models.groupBy("config").count().collect()} == {"x": 4, "b": 1}
+
+
 def test_metrics_file_absent(spark, tmp_path):
     assert pr.read_metrics(spark, str(tmp_path / "none")).count() == 0
 

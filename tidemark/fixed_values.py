@@ -270,3 +270,14 @@ REPOSITORY_URL = "https://github.com/"
 RELEASE_TEXT = "Latest release: "
 CONFERENCE_TITLE = "Conference paper ("
 ARXIV_TITLE = "arXiv: "
+
+#: Items per payload and widths of texts that a reader of feeds may ask for.
+FEED_LIMITS = {
+    "patent": {"per_page": 25, "abstract_chars": 500},
+    "insider": {"first": 10},
+    "rss": {"first": 5},
+    "job": {"first": 5, "title_chars": 80},
+    "news": {"first": 10, "title_chars": 100},
+    "conference": {"first": 5, "title_chars": 80, "summary_chars": 300},
+    "arxiv": {"first": 20, "title_chars": 80, "summary_chars": 400},
+}

@@ -18,11 +18,15 @@ def conviction(signals: DataFrame, min_score: float = fixed.MIN_SCORE) -> DataFr
 
 
 def usable_rows(signals: DataFrame) -> DataFrame:
-    """Rows with a date and a score; text scores are read as numbers, others are skipped."""
+    """Rows with a date and a score; text scores are read as numbers, others are skipped, and an
+    empty text is no date."""
     score = F.col("score")
     if dict(signals.dtypes)["score"] == "string":
         score = F.expr("try_cast(score AS DOUBLE)")
-    return signals.withColumn("score", score).filter("date IS NOT NULL AND score IS NOT NULL")
+    dated = F.col("date").isNotNull()
+    if dict(signals.dtypes)["date"] == "string":
+        dated = dated & (F.trim("date") != "")
+    return signals.withColumn("score", score).filter(dated & F.col("score").isNotNull())
 
 
 def in_universe(signals: DataFrame, tickers: list[str]) -> DataFrame:
@@ -160,8 +164,8 @@ def marginal_contributions(ic: DataFrame, roles: dict[str, str], min_configs: in
             (get("large_base") - get("small_base")).alias("size"),
             (get("tuned_base") - get("large_base")).alias("fine_tuning"),
             (F.max("ic") - F.min("ic")).alias("ic_range"),
-            F.max_by("config", "ic").alias("best_config"),
-            F.min_by("config", "ic").alias("worst_config"),
+            F.min_by("config", F.struct(-F.col("ic"), "config")).alias("best_config"),
+            F.min_by("config", F.struct("ic", "config")).alias("worst_config"),
         )
         .filter(F.col("configs") >= min_configs)
     )
@@ -225,10 +229,10 @@ def model_disagreement(signals: DataFrame, panel: DataFrame, left: str, right: s
 
 
 def best_and_worst(ic: DataFrame, keys: list[str]) -> DataFrame:
-    """Configuration with the highest and the lowest IC per group."""
+    """Configuration with the highest and the lowest IC per group; of equal ones the first by name."""
     return ic.filter("ic IS NOT NULL").groupBy(*keys).agg(
-        F.max_by("config", "ic").alias("best_config"),
+        F.min_by("config", F.struct(-F.col("ic"), "config")).alias("best_config"),
         F.max("ic").alias("best_ic"),
-        F.min_by("config", "ic").alias("worst_config"),
+        F.min_by("config", F.struct("ic", "config")).alias("worst_config"),
         F.min("ic").alias("worst_ic"),
     )

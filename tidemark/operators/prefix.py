@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-WINDOW_ROWS = 1_000_000
-
 
 def running_totals(
     df: DataFrame,
@@ -16,23 +14,13 @@ def running_totals(
     order: list[str],
     measures: list[str],
     name: str = "prefix",
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add ``<m>_before`` (total of the earlier rows) and ``<m>_total`` for every measure.
 
-    ``keys + order`` must be unique, so aggregate first. The rows are written and counted: up to
-    ``window_rows`` rows in all, a window per group is safe even if one group holds every row.
-    Beyond that the rows go through :func:`sliced_totals`, which never puts a group in one task.
+    ``keys + order`` must be unique, so aggregate first. The rows are written, since a range
+    partitioning reads them twice, and no group has to fit a task, whatever its size.
     """
-    rows = materialise(df, name)
-    if rows.count() > window_rows:
-        return sliced_totals(rows, keys, order, measures, name)
-    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    return rows.withColumns(
-        {f"{m}_before": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in measures}
-        | {f"{m}_total": F.sum(m).over(whole) for m in measures}
-    )
+    return sliced_totals(materialise(df, name), keys, order, measures, name)
 
 
 def sliced_totals(

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
 
-BROADCAST_ROWS = 250_000
-
 
 def _by_ticker():
     return Window.partitionBy("ticker").orderBy("date")
@@ -58,16 +56,10 @@ def forward_returns(
     return stage.select("ticker", "date", "close", *[c.alias(n) for n, c in out.items()])
 
 
-def panel_span(*panels: DataFrame):
-    """First and last date and number of tickers of written panels: one small row each."""
-    rows = [
-        p.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.countDistinct("ticker").alias("tickers")).first()
-        for p in panels
-    ]
-    known = [r for r in rows if r["first"] is not None]
-    first = min((r["first"] for r in known), default=date(1970, 1, 1))
-    last = max((r["last"] for r in known), default=first)
-    return first, last, max(r["tickers"] for r in rows)
+def panel_start(*panels: DataFrame):
+    """First date of written panels."""
+    firsts = [p.agg(F.min("date")).first()[0] for p in panels]
+    return min((f for f in firsts if f is not None), default=date(1970, 1, 1))
 
 
 def calendar(panel: DataFrame, start) -> DataFrame:
@@ -85,20 +77,17 @@ def calendar(panel: DataFrame, start) -> DataFrame:
     )
 
 
-def join_calendar(events: DataFrame, days: DataFrame, span, how: str = "inner") -> DataFrame:
+def join_calendar(events: DataFrame, days: DataFrame, first, how: str = "inner") -> DataFrame:
     """Attach to each event the calendar row of its ticker and day.
 
-    Events after the last price find nothing. A calendar of at most ``BROADCAST_ROWS`` rows by
-    its bound (tickers x days) is broadcast. A larger one is shuffled by (ticker, day), which
-    spreads a hot ticker over its days and lets AQE split a hot day; events are never sorted
-    per ticker.
+    Events after the last price find nothing. The join has no hint: the calendar comes from a
+    written panel, so Spark knows its size and broadcasts it only below its own threshold. A larger
+    one is shuffled by (ticker, day), which spreads a hot ticker over its days and lets AQE split
+    a hot day; events are never sorted per ticker.
     """
-    first, last, tickers = span
-    bound = tickers * ((last - first).days + 1)
-    sided = F.broadcast(days) if bound <= BROADCAST_ROWS else days.hint("merge")
     return (
         events.withColumn("as_of_day", F.greatest(F.col("date"), F.lit(first)))
-        .join(sided, ["ticker", "as_of_day"], how)
+        .join(days, ["ticker", "as_of_day"], how)
         .drop("as_of_day")
     )
 
@@ -106,9 +95,9 @@ def join_calendar(events: DataFrame, days: DataFrame, span, how: str = "inner")
 def join_as_of(events: DataFrame, panel: DataFrame, keep: list[str], how: str = "inner") -> DataFrame:
     """Attach the first panel row of the ticker on or after the event date, as ``start_date``
     and the panel columns in ``keep``."""
-    span = panel_span(panel)
-    days = calendar(panel, span[0]).select("ticker", "as_of_day", "start_date", *keep)
-    return join_calendar(events, days, span, how)
+    start = panel_start(panel)
+    days = calendar(panel, start).select("ticker", "as_of_day", "start_date", *keep)
+    return join_calendar(events, days, start, how)
 
 
 def join_abnormal(
@@ -119,12 +108,12 @@ def join_abnormal(
     Ticker and benchmark each start at their own first row on or after the event date. Both
     calendars are keyed by day, so they are combined before the events are joined once.
     """
-    span = panel_span(panel, benchmark)
-    bench = calendar(benchmark, span[0]).select(
+    start = panel_start(panel, benchmark)
+    bench = calendar(benchmark, start).select(
         "as_of_day", *[F.col(f"ret_{h}").alias(f"_bench_{h}") for h in horizons]
     )
     days = (
-        calendar(panel, span[0])
+        calendar(panel, start)
         .join(bench, "as_of_day")
         .select(
             "ticker",
@@ -133,7 +122,7 @@ def join_abnormal(
             *[(F.col(f"ret_{h}") - F.col(f"_bench_{h}")).alias(f"ret_{h}") for h in horizons],
         )
     )
-    return join_calendar(events, days, span, how)
+    return join_calendar(events, days, start, how)
 
 
 def unpivot_horizons(df: DataFrame, horizons: list[int], keep: list[str]) -> DataFrame:

@@ -153,7 +153,7 @@ def rules_from_responses(responses: DataFrame, as_of: Column, keep: list[str] =
 
 
 def batch_of(article_idx: Column, size: int = fixed.BATCH_SIZE) -> Column:
-    return F.floor(article_idx / size)
+    return F.call_function("div", article_idx, F.lit(size)).cast("long")
 
 
 def rule_history(episodes: DataFrame, keys: list[str]) -> DataFrame:

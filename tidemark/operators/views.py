@@ -45,9 +45,16 @@ def event_price_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
     return join_as_of(events, windows, ["dates", "closes"])
 
 
-def compare_models(predictions: DataFrame, models: list[str], value: str = "score", keys: list[str] = ["article_idx"]) -> DataFrame:
-    """One row per article with each model's value side by side."""
-    return predictions.groupBy(*keys).pivot("config", models).agg(F.first(value))
+def compare_models(
+    predictions: DataFrame,
+    models: list[str],
+    value: str = "score",
+    keys: list[str] = ["article_idx"],
+    order: list[str] = ["date"],
+) -> DataFrame:
+    """One row per article with each model's value side by side: that of its first row by
+    ``order``, and of equal first rows the least value."""
+    return predictions.groupBy(*keys).pivot("config", models).agg(F.min_by(value, F.struct(*order, value)))
 
 
 def signal_card(signals: DataFrame, keys: list[str], least: float | None = 0.01) -> DataFrame:

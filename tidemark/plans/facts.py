@@ -21,7 +21,7 @@ AS_OF = "2024-06-01"
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels as facts: significance from the labels sets the life time."""
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", "source", F.left("text", F.lit(60)).alias("content"))
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("content"))
     labels = b.table(spark, sf_dir, "labels")
     significance = (
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "high")
@@ -43,7 +43,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FACTS_SQL = """
 facts AS (
-  SELECT d.doc_id AS id, 'Brand#' || (d.doc_id % 10 + 1) AS ticker, source AS fact_type, left(text, 60) AS content, source,
+  SELECT d.doc_id AS id, 'Brand#' || (d.doc_id % 10 + 1) AS ticker, source AS fact_type, text AS content, source,
          CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 0 AND toxic = 1 THEN 0.4 ELSE 0.7 END::DOUBLE AS confidence,
          TIMESTAMP '2024-01-01' + to_days(CAST(d.doc_id % 200 AS INTEGER)) AS created_at,
          TIMESTAMP '2024-01-01' + to_days(CAST(d.doc_id % 200 + d.doc_id % 7 AS INTEGER)) AS updated_at,

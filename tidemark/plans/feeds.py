@@ -20,17 +20,18 @@ def as_of() -> Column:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a one-line title of printable characters and a day."""
-    line = lambda n: F.trim(F.regexp_replace(F.left("text", F.lit(n)), r"[^!-~]+", " "))
+    """Documents with their first line as title and their whole text as body, both in printable
+    characters, and a day."""
+    line = lambda text: F.trim(F.regexp_replace(text, r"[^!-~]+", " "))
     return b.table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "text", line(90).alias("title"), line(600).alias("body"), ticker_of_doc().alias("ticker"),
+        "doc_id", "source", "text", line(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), line(F.col("text")).alias("body"), ticker_of_doc().alias("ticker"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("day"),
     )
 
 
 ITEMS_SQL = f"""
-d AS (SELECT doc_id, source, trim(regexp_replace(left(text, 90), '[^!-~]+', ' ', 'g')) AS title,
-             trim(regexp_replace(left(text, 600), '[^!-~]+', ' ', 'g')) AS body, {TICKER_OF_DOC} AS ticker,
+d AS (SELECT doc_id, source, trim(regexp_replace(split_part(text, chr(10), 1), '[^!-~]+', ' ', 'g')) AS title,
+             trim(regexp_replace(text, '[^!-~]+', ' ', 'g')) AS body, {TICKER_OF_DOC} AS ticker,
              CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS day FROM documents)"""
 
 
@@ -80,7 +81,7 @@ def rss_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH " + ITEMS_SQL + f""",
 j AS (SELECT doc_id, ticker, {DAY_SQL} AS date, trim(title || ' hiring') AS title FROM d
       UNION ALL SELECT doc_id, ticker, {DAY_SQL}, '<b>' || replace(title, ']]>', '') || '</b> layoff' FROM d)
-SELECT ticker, date, 'Hiring signal: ' || left(title, 80) AS title, title AS content,
+SELECT ticker, date, 'Hiring signal: ' || title AS title, title AS content,
        CASE WHEN contains(lower(title), 'layoff') THEN 'high' ELSE 'medium' END AS significance, 'http://x/' || doc_id AS url
 FROM j WHERE regexp_matches(lower(title), 'hiring|job|layoff|workforce|engineer|recruit')""",
 )
@@ -95,7 +96,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 j AS (SELECT doc_id, ticker, {DAY_SQL} AS date, regexp_replace(trim(title || ' hiring'), '<[^>]+>', '', 'g') AS title FROM d
       UNION ALL SELECT doc_id, ticker, {DAY_SQL}, regexp_replace('<b>' || replace(title, ']]>', '') || '</b> layoff', '<[^>]+>', '', 'g') FROM d
       UNION ALL SELECT doc_id, ticker, DATE '2024-12-31', '' FROM d)
-SELECT ticker, date, left(title, 100) AS title, title AS content,
+SELECT ticker, date, title, title AS content,
        CASE WHEN regexp_matches(lower(title), 'earnings|revenue|contract|partnership|breakthrough') THEN 'high' ELSE 'medium' END AS significance,
        'http://x/' || doc_id AS url FROM j""",
 )
@@ -122,7 +123,7 @@ ASSIGNEES = {row[0]: row[4] for row in fixed.COMPANIES}
     "patent_events",
     "WITH " + ITEMS_SQL + """
 SELECT d.ticker, day AS date, 'Patent: ' || title || CASE d.doc_id % 3 WHEN 0 THEN ' Quantum' WHEN 1 THEN ' with a qubit' ELSE '' END AS title,
-       md5(left('A qubit. ' || text, 500)) AS digest, 'medium' AS significance, 'https://patents.google.com/patent/US' || d.doc_id AS url
+       md5('A qubit. ' || text) AS digest, 'medium' AS significance, 'https://patents.google.com/patent/US' || d.doc_id AS url
 FROM d JOIN documents USING (doc_id) WHERE day >= DATE '2024-03-01' AND d.doc_id % 4 <> 0""",
 )
 def patent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,18 +137,19 @@ def filing_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hit = F.struct(F.struct(F.col("day").cast("string").alias("file_date"), names.alias("display_names")).alias("_source"))
     payload = F.to_json(F.struct(F.struct(F.array_repeat(hit, 12).alias("hits")).alias("hits")))
-    return items(spark, sf_dir).select("ticker", F.col("source").alias("company"), F.lit("1").alias("cik"), payload.alias("payload"))
+    return items(spark, sf_dir).select("ticker", F.col("source").alias("company"),
+        F.when(F.col("doc_id") % 7 != 0, F.lit("1")).otherwise(F.when(F.col("doc_id") % 2 == 0, "")).alias("cik"), payload.alias("payload"))
 
 
 @BOOK.add(
     "filing_events",
     "WITH " + ITEMS_SQL + """,
-f AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'Filer ' || doc_id END AS filer FROM d CROSS JOIN range(10))
+f AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'Filer ' || doc_id END AS filer FROM d CROSS JOIN range(12) WHERE doc_id % 7 <> 0)
 SELECT ticker, day AS date, 'Insider transaction: ' || filer || ' at ' || source AS title,
        'Form 4 filing by ' || filer || '. Filed ' || day || '.' AS content FROM f""",
 )
 def filing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve hits per payload, of which the first ten count."""
+    """Twelve hits per payload; companies without a CIK are left out."""
     events = feeds.filing_events(filing_payloads(spark, sf_dir))
     return events.select("ticker", "date", "title", "content")
 
@@ -197,10 +199,10 @@ def atom(rows: DataFrame) -> DataFrame:
     return rows.withColumn("payload", feed)
 
 
-def papers_sql(summary: int) -> str:
+def papers_sql() -> str:
     return ITEMS_SQL + f""",
 p AS (SELECT *, trim(title || list_extract([' logical qubit Qiskit', ' scalable annealing', ' trapped ion record', ' plain', ' breakthrough by Google'], doc_id % 5 + 1)) AS full_title,
-             left(body, {summary}) AS summary FROM d),
+             body AS summary FROM d),
 q AS (SELECT *, lower(full_title || ' ' || summary) AS low FROM p),
 papers AS (SELECT *, CASE WHEN contains(low, 'ionq') OR contains(low, 'trapped ion') THEN 'IONQ'
   WHEN contains(low, 'rigetti') OR contains(low, 'superconducting') THEN 'RGTI' WHEN contains(low, 'd-wave') OR contains(low, 'annealing') THEN 'QBTS'
@@ -210,8 +212,8 @@ papers AS (SELECT *, CASE WHEN contains(low, 'ionq') OR contains(low, 'trapped i
 
 @BOOK.add(
     "conference_events",
-    "WITH " + papers_sql(300) + """
-SELECT paper_ticker AS ticker, day AS date, 'Conference paper (QIP): ' || left(full_title, 80) AS title, summary AS content, 'http://p/' || doc_id AS url FROM papers""",
+    "WITH " + papers_sql() + """
+SELECT paper_ticker AS ticker, day AS date, 'Conference paper (QIP): ' || full_title AS title, summary AS content, 'http://p/' || doc_id AS url FROM papers""",
 )
 def conference_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = atom(items(spark, sf_dir)).withColumn("conference", F.lit("QIP"))
@@ -220,8 +222,8 @@ def conference_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "arxiv_events",
-    "WITH " + papers_sql(400) + """
-SELECT paper_ticker AS ticker, day AS date, 'arXiv: ' || left(full_title, 80) AS title, summary AS content, 'http://p/' || doc_id AS url,
+    "WITH " + papers_sql() + """
+SELECT paper_ticker AS ticker, day AS date, 'arXiv: ' || full_title AS title, summary AS content, 'http://p/' || doc_id AS url,
   CASE WHEN regexp_matches(lower(full_title), 'logical qubit|fault-tolerant|error correction|breakthrough') THEN 'high'
        WHEN regexp_matches(lower(full_title), 'scalable|milestone|record|novel') THEN 'medium' ELSE 'low' END AS significance FROM papers""",
 )
@@ -247,11 +249,11 @@ def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "feed_union",
-    "WITH " + papers_sql(400) + f""",
+    "WITH " + papers_sql() + f""",
 j AS (SELECT {DAY_SQL} AS date, trim(title || ' hiring') AS title FROM d
       UNION ALL SELECT {DAY_SQL}, '<b>' || replace(title, ']]>', '') || '</b> layoff' FROM d),
 u AS (SELECT 'patent' AS source_type, day AS date FROM d WHERE day >= DATE '2024-03-01' AND doc_id % 4 <> 0
-      UNION ALL SELECT 'insider', day FROM d CROSS JOIN range(10)
+      UNION ALL SELECT 'insider', day FROM d CROSS JOIN range(12) WHERE doc_id % 7 <> 0
       UNION ALL SELECT 'job', date FROM j UNION ALL SELECT 'github', DATE '2024-12-31' FROM d
       UNION ALL SELECT 'conference', day FROM d UNION ALL SELECT 'arxiv', day FROM d
       UNION ALL SELECT 'news', date FROM j UNION ALL SELECT 'news', DATE '2024-12-31' FROM d)

@@ -276,7 +276,7 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "unseen_articles",
-    """WITH a AS (SELECT doc_id, source, left(text, 100) AS k FROM documents),
+    """WITH a AS (SELECT doc_id, source, text AS k FROM documents),
 h AS (SELECT DISTINCT k FROM a WHERE source < 'src13')
 SELECT min(doc_id) AS doc_id FROM a WHERE k NOT IN (SELECT k FROM h) GROUP BY k""",
 )

@@ -23,7 +23,7 @@ def answer(frame: pd.DataFrame) -> pd.Series:
 
 
 ARTICLES_SQL = """
-a AS (SELECT doc_id, source, left(text, 100) AS k, length(text || '. ' || source) AS n FROM documents),
+a AS (SELECT doc_id, source, text AS k, length(text || '. ' || source) AS n FROM documents),
 fresh AS (SELECT arg_min(n, doc_id) AS n, min(doc_id) AS doc_id FROM a
           WHERE k NOT IN (SELECT k FROM a WHERE source < 'src13') GROUP BY k)"""
 

@@ -47,11 +47,11 @@ checked AS (SELECT *, quantity * price AS notional, CASE WHEN side = 'hold' THEN
 
 def trade_totals(valid: DataFrame) -> DataFrame:
     totals = valid.groupBy("symbol", "side").agg(F.count("*").alias("n"), F.sum("notional").alias("notional"))
-    return rounded(totals, "notional", digits=1)
+    return rounded(totals, "notional", digits=2)
 
 
 VALID_SQL = """
-SELECT symbol, side, count(*) AS n, round(sum(notional), 1) AS notional FROM checked WHERE reason IS NULL GROUP BY ALL"""
+SELECT symbol, side, count(*) AS n, round(sum(notional), 2) AS notional FROM checked WHERE reason IS NULL GROUP BY ALL"""
 
 
 @BOOK.add("trade_ledger", "WITH " + TRADES_SQL + VALID_SQL)
@@ -100,14 +100,14 @@ def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT status, reject_reason, count(*) AS n FROM (
   SELECT CASE c_custkey % 6 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'warn' WHEN 3 THEN 'skip' WHEN 4 THEN 'maybe' ELSE 'pass' END AS status,
          CASE WHEN c_custkey % 6 = 4 THEN 'status must be one of: pass, fail, warn, skip'
-              WHEN c_custkey % 4 = 1 THEN 'metrics must be a JSON object' END AS reject_reason FROM customer) GROUP BY ALL""",
+              WHEN c_custkey % 5 = 1 THEN 'metrics must be a JSON object' END AS reject_reason FROM customer) GROUP BY ALL""",
 )
 def eval_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     statuses = F.array(*[F.lit(s) for s in ["PASS", "Fail", "warn", "skip", "maybe", "pass"]])
-    metrics = F.array(*[F.lit(m) for m in ['{"n": 1}', "[1]", "{}", '{"a": {"b": 2}}']])
+    metrics = F.array(*[F.lit(m) for m in ['{"n": 1}', "[1]", "{}", '{"a": {"b": 2}}', None]])
     evals = b.table(spark, sf_dir, "customer").select(
         F.col("c_name").alias("name"), F.element_at(statuses, (F.col("c_custkey") % 6 + 1).cast("int")).alias("status"),
-        F.element_at(metrics, (F.col("c_custkey") % 4 + 1).cast("int")).alias("metrics"),
+        F.element_at(metrics, (F.col("c_custkey") % 5 + 1).cast("int")).alias("metrics"),
     )
     return ledger.with_eval_fields(evals).groupBy("status", "reject_reason").agg(F.count("*").alias("n"))
 
@@ -140,10 +140,27 @@ def ledger_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- streaming --------------------------------------------------------------------------------
+SLICES = 5
+
+
+def landed(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """``rows`` as a stream of files that arrive one after the other, in the order of a column."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    at = F.col(order)
+    if dict(rows.dtypes)[order] in ("date", "timestamp"):
+        at = at.cast("timestamp").cast("long")
+    shares = [k / SLICES for k in range(1, SLICES)]
+    cuts = rows.agg(F.percentile_approx(at, shares)).first()[0] or []
+    place = sum((F.when(at > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    for k in range(SLICES):
+        rows.filter(place == k).coalesce(1).write.mode("append").parquet(path)
+    return runs.file_stream(spark, path, rows.schema, files_per_trigger=1)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = b.table(spark, sf_dir, "events").schema
-    stream = runs.file_stream(spark, sf_dir, schema, "events.parquet")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    events = b.table(spark, sf_dir, "events")
+    return landed(events.withColumn("ts", F.col("ts").cast("timestamp")), "event-files", "ts")
 
 
 @BOOK.add("stream_dedup", "SELECT DISTINCT event_type, user_id FROM events")
@@ -166,8 +183,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add("stream_ledger", "WITH " + TRADES_SQL + VALID_SQL)
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trade ledger fed by a stream; equal to the batch form."""
-    schema = b.table(spark, sf_dir, "lineitem").schema
-    stream = runs.file_stream(spark, sf_dir, schema, "lineitem.parquet").select(*trade_columns())
+    stream = landed(b.table(spark, sf_dir, "lineitem"), "line-files", "l_orderkey").select(*trade_columns())
     folder = scratch_path(spark, "stream-ledger")
     runs.run_batches(stream, runs.ledger_writer(folder, TRADE_ID), scratch_path(spark, "stream-ledger-checkpoint"))
     return trade_totals(runs.batches(spark, f"{folder}/valid"))
@@ -185,18 +201,20 @@ SELECT CAST(count_if(end_date <= DATE '1999-06-30') AS BIGINT) AS known,
        CAST(count_if(end_date IS NULL OR end_date > DATE '1999-06-30') AS BIGINT) AS waiting FROM k""",
 )
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals arriving as a stream, split by whether their outcome is known by a day."""
-    schema = b.table(spark, sf_dir, "orders").schema
-    signals = runs.file_stream(spark, sf_dir, schema, "orders.parquet").select(
+    """Signals arriving as a stream, split by whether their outcome is known by a day, which
+    moves on from batch to batch."""
+    orders = b.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    signals = landed(orders, "order-files", "o_orderdate").select(
         F.col("o_orderkey").alias("article_idx"), F.col("o_orderdate").cast("date").alias("date"),
         F.concat(F.lit("Brand#"), F.col("o_orderkey") % 25 + 1).alias("ticker"),
     )
     folder = scratch_path(spark, "stream-outcomes")
-    until = F.lit("1999-06-30").cast("date")
+    until = lambda batch: F.lit(f"{min(1995 + batch, 1999)}-06-30").cast("date")
     writer = runs.outcome_writer(folder, b.market_panel(spark, sf_dir, [5]), 5, until)
-    runs.run_batches(signals, writer, scratch_path(spark, "stream-outcomes-checkpoint"))
+    query = runs.run_batches(signals, writer, scratch_path(spark, "stream-outcomes-checkpoint"))
     known = runs.batches(spark, f"{folder}/known").select(F.lit(1).alias("known"), F.lit(0).alias("waiting"))
-    waiting = runs.batches(spark, f"{folder}/open").select(F.lit(0).alias("known"), F.lit(1).alias("waiting"))
+    last = query.lastProgress["batchId"]
+    waiting = runs.open_signals(spark, folder, signals.schema, last).select(F.lit(0).alias("known"), F.lit(1).alias("waiting"))
     both = known.unionByName(waiting)
     return both.agg(F.sum("known").alias("known"), F.sum("waiting").alias("waiting"))
 
@@ -210,14 +228,11 @@ SELECT id FROM f WHERE NOT (expires < 152) AND NOT (reads = 0 AND created < 122)
 )
 def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts arriving as a stream into a table that forgets; equal to the batch form."""
-    landed = scratch_path(spark, "fact-files")
-    facts(spark, sf_dir).write.parquet(landed)
-    schema = spark.read.parquet(landed).schema
-    stream = runs.file_stream(spark, landed, schema)
+    stream = landed(facts(spark, sf_dir), "fact-files", "id")
     folder = scratch_path(spark, "stream-facts")
-    keeper = runs.fact_keeper(folder, schema, lambda batch: moment("2024-06-01"))
-    query = runs.run_batches(stream, keeper, scratch_path(spark, "stream-facts-checkpoint"))
-    return runs.latest_version(spark, folder, schema, query.lastProgress["batchId"]).select("id")
+    keeper = runs.fact_keeper(folder, stream.schema)
+    runs.run_batches(stream, keeper, scratch_path(spark, "stream-facts-checkpoint"))
+    return runs.current_facts(spark, folder, stream.schema, moment("2024-06-01")).select("id")
 
 
 @BOOK.add(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -34,9 +35,16 @@ def _local_root() -> str:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder.
+    Only a session whose executors are threads of the driver may do without that setting: it
+    gets a temporary folder. On a cluster every machine would write to its own disk, so the
+    setting is asked for.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_root()).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        return _local_root()
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

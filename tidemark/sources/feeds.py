@@ -1,7 +1,9 @@
 """Landed feed payloads brought into one event form.
 
 Payloads arrive as files or columns of text; fetching them is left to the caller. Every
-normaliser returns ``source_type, ticker, date, title, content, significance, url, metadata``.
+normaliser returns ``source_type, ticker, date, title, content, significance, url, metadata``. All items of a
+payload are read, and whole texts; ``fixed_values.FEED_LIMITS`` holds, by normaliser, the page
+sizes and widths to pass where a reader wants them: ``job_events(p, day, **FEED_LIMITS["job"])``.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ def _items(payloads: DataFrame, items: Column, keep: list[str], first: int | Non
     return payloads.select(*keep, F.posexplode(wanted).alias("pos", "item"))
 
 
+def _cut(text: Column, chars: int | None) -> Column:
+    """``text``, or its first ``chars`` characters."""
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
 def _event(source_type: str, ticker: Column, date: Column, title: Column, content: Column,
            significance: Column, url: Column, **metadata: Column) -> list[Column]:
     extra = F.to_json(F.struct(*[c.alias(k) for k, c in metadata.items()])) if metadata else F.lit("{}")
@@ -46,7 +53,8 @@ def _or(column: Column, default: str) -> Column:
     return F.coalesce(column, F.lit(default))
 
 
-def patent_events(payloads: DataFrame, since: Column, assignees: dict[str, str], per_page: int = 25) -> DataFrame:
+def patent_events(payloads: DataFrame, since: Column, assignees: dict[str, str],
+                  per_page: int | None = None, abstract_chars: int | None = None) -> DataFrame:
     """Patent pages (``ticker, payload``). The request's own filters are applied to the landed
     rows: date, assignee of the ticker, and a subject word in title or abstract."""
     rows = _items(payloads, F.from_json("payload", PATENT_SCHEMA)["patents"], ["ticker"], per_page)
@@ -64,16 +72,17 @@ def patent_events(payloads: DataFrame, since: Column, assignees: dict[str, str],
     return rows.filter(matches).select(*_event(
         "patent", F.col("ticker"), item("patent_date"),
         F.concat(F.lit(fixed.PATENT_TITLE), _or(item("patent_title"), "Unknown")),
-        F.left(_or(item("patent_abstract"), ""), F.lit(500)), F.lit("medium"),
+        _cut(_or(item("patent_abstract"), ""), abstract_chars), F.lit("medium"),
         F.concat(F.lit(fixed.PATENT_URL), _or(item("patent_number"), "")),
         patent_number=item("patent_number"),
     ))
 
 
-def filing_events(payloads: DataFrame, first: int = 10) -> DataFrame:
-    """Insider filings (``ticker, company, cik, payload``), the first hits of each payload."""
+def filing_events(payloads: DataFrame, first: int | None = None) -> DataFrame:
+    """Insider filings (``ticker, company, cik, payload``) of the companies that have a CIK."""
     hits = F.from_json("payload", FILING_SCHEMA)["hits"]["hits"]
-    rows = _items(payloads, hits, ["ticker", "company", "cik"], first)
+    known = payloads.filter(F.trim(_or(F.col("cik").cast("string"), "")) != "")
+    rows = _items(known, hits, ["ticker", "company", "cik"], first)
     filer = F.coalesce(F.get("item._source.display_names", F.lit(0)), F.lit("Unknown"))
     filed = _or(F.col("item._source.file_date"), "")
     return rows.select(*_event(
@@ -93,8 +102,8 @@ def rss_items(payloads: DataFrame, keep: list[str], first: int | None = None) ->
     return _items(payloads, items, keep, first).select(*keep, "pos", "item.*")
 
 
-def rss_articles(payloads: DataFrame, first: int = 5) -> DataFrame:
-    """Leading RSS items with a title, as articles (``source`` names the feed)."""
+def rss_articles(payloads: DataFrame, first: int | None = None) -> DataFrame:
+    """RSS items with a title, as articles (``source`` names the feed)."""
     rows = rss_items(payloads, ["source"], first).filter(t.strip(_or(F.col("title"), "")) != "")
     clean = lambda name: t.strip(_or(F.col(name), ""))
     return rows.select(
@@ -103,23 +112,27 @@ def rss_articles(payloads: DataFrame, first: int = 5) -> DataFrame:
     )
 
 
-def job_events(payloads: DataFrame, as_of: Column, first: int = 5) -> DataFrame:
-    """Hiring news (``ticker, payload``): leading items whose title has a hiring word."""
+def job_events(
+    payloads: DataFrame, as_of: Column, first: int | None = None, title_chars: int | None = None
+) -> DataFrame:
+    """Hiring news (``ticker, payload``): items whose title has a hiring word."""
     rows = rss_items(payloads, ["ticker"], first)
     title = _or(F.col("title"), "")
     return rows.filter(t.contains_any(F.lower(title), fixed.JOB_WORDS)).select(*_event(
         "job", F.col("ticker"), t.feed_date(F.col("pubDate"), as_of),
-        F.concat(F.lit(fixed.JOB_TITLE), F.left(title, F.lit(80))), title,
+        F.concat(F.lit(fixed.JOB_TITLE), _cut(title, title_chars)), title,
         t.job_significance(title), _or(F.col("link"), ""),
     ))
 
 
-def news_events(payloads: DataFrame, as_of: Column, first: int = 10) -> DataFrame:
-    """Financial news (``ticker, payload``): leading items, tags removed from the title."""
+def news_events(
+    payloads: DataFrame, as_of: Column, first: int | None = None, title_chars: int | None = None
+) -> DataFrame:
+    """Financial news (``ticker, payload``): items, tags removed from the title."""
     rows = rss_items(payloads, ["ticker"], first)
     title = t.strip_tags(_or(F.col("title"), ""))
     return rows.select(*_event(
-        "news", F.col("ticker"), t.feed_date(F.col("pubDate"), as_of), F.left(title, F.lit(100)), title,
+        "news", F.col("ticker"), t.feed_date(F.col("pubDate"), as_of), _cut(title, title_chars), title,
         t.news_significance(title), _or(F.col("link"), ""),
     ))
 
@@ -152,35 +165,39 @@ def repository_events(activity: DataFrame, as_of: Column, days_back: int = 30) -
     ))
 
 
-def _papers(payloads: DataFrame, keep: list[str], summary_chars: int, first: int | None) -> DataFrame:
+def _papers(payloads: DataFrame, keep: list[str], summary_chars: int | None, first: int | None) -> DataFrame:
     rows = _items(payloads, F.from_xml("payload", ATOM_SCHEMA)["entry"], keep, first)
     return rows.select(
         *keep,
         t.strip(_or(F.col("item.title"), "")).alias("title"),
-        F.left(t.strip(_or(F.col("item.summary"), "")), F.lit(summary_chars)).alias("summary"),
+        _cut(t.strip(_or(F.col("item.summary"), "")), summary_chars).alias("summary"),
         F.left(_or(F.col("item.published"), ""), F.lit(10)).alias("published"),
         _or(F.col("item.id"), "").alias("link"),
     )
 
 
-def conference_events(payloads: DataFrame, first: int | None = 5) -> DataFrame:
+def conference_events(
+    payloads: DataFrame, first: int | None = None, title_chars: int | None = None, summary_chars: int | None = None
+) -> DataFrame:
     """Conference papers (``conference, payload``)."""
-    rows = _papers(payloads, ["conference"], 300, first)
+    rows = _papers(payloads, ["conference"], summary_chars, first)
     return rows.select(*_event(
         "conference", t.first_keyword_ticker(F.concat_ws(" ", "title", "summary")),
         F.col("published").try_cast("date"),
-        F.concat(F.lit(fixed.CONFERENCE_TITLE), F.col("conference"), F.lit("): "), F.left("title", F.lit(80))),
+        F.concat(F.lit(fixed.CONFERENCE_TITLE), F.col("conference"), F.lit("): "), _cut(F.col("title"), title_chars)),
         F.col("summary"), F.lit("medium"), F.col("link"), conference=F.col("conference"),
     ))
 
 
-def arxiv_events(payloads: DataFrame, max_results: int = 20) -> DataFrame:
+def arxiv_events(
+    payloads: DataFrame, first: int | None = None, title_chars: int | None = None, summary_chars: int | None = None
+) -> DataFrame:
     """Research papers (``payload``), significance by title words."""
-    rows = _papers(payloads, [], 400, max_results)
+    rows = _papers(payloads, [], summary_chars, first)
     return rows.select(*_event(
         "arxiv", t.first_keyword_ticker(F.concat_ws(" ", "title", "summary")),
         F.col("published").try_cast("date"),
-        F.concat(F.lit(fixed.ARXIV_TITLE), F.left("title", F.lit(80))), F.col("summary"),
+        F.concat(F.lit(fixed.ARXIV_TITLE), _cut(F.col("title"), title_chars)), F.col("summary"),
         t.paper_significance(F.col("title")), F.col("link"),
     ))
 
@@ -203,11 +220,12 @@ def one_source(events: DataFrame, source_type: str) -> DataFrame:
     return events.filter(F.col("source_type") == source_type)
 
 
-def unseen_articles(articles: DataFrame, history: DataFrame, title_chars: int = 100) -> DataFrame:
-    """Articles whose shortened title is neither in the history nor earlier in the batch."""
+def unseen_articles(articles: DataFrame, history: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Articles whose title is neither in the history nor earlier in the batch. ``title_chars``
+    compares shortened titles instead, which takes articles with a common beginning for one."""
     from tidemark.sources.memory import first_by
 
-    key = F.left("title", F.lit(title_chars))
+    key = _cut(F.col("title"), title_chars)
     batch = first_by(articles.withColumn("_key", key), "_key", F.struct("seq"))
-    known = history.select(F.left("article_title", F.lit(title_chars)).alias("_key"))
+    known = history.select(_cut(F.col("article_title"), title_chars).alias("_key"))
     return batch.join(known, "_key", "left_anti").drop("_key")

@@ -34,10 +34,11 @@ def with_trade_fields(trades: DataFrame) -> DataFrame:
 
 
 def with_eval_fields(evals: DataFrame) -> DataFrame:
+    """Evaluations need a known status; missing metrics count as an empty object."""
     status = F.lower("status")
     reason = F.when(
         ~status.isin(fixed.EVAL_STATUSES) | status.isNull(), fixed.BAD_STATUS
-    ).when(~is_json_object(F.col("metrics")), fixed.BAD_METRICS)
+    ).when(~is_json_object(F.coalesce("metrics", F.lit("{}"))), fixed.BAD_METRICS)
     return evals.withColumns({"kind": F.lit("eval"), "reject_reason": reason, "status": status})
 
 

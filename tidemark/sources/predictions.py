@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import once
 from tidemark.functions.text import first_filled, run_seconds
 
 PREDICTION_SCHEMA = (
@@ -15,10 +16,31 @@ ARTICLE_SCHEMA = "article_idx long, title string, text string, date string, sour
 
 
 def read_predictions(spark: SparkSession, paths, strict: bool = False) -> DataFrame:
-    """Prediction lines. Blank lines and lines that are not JSON are skipped, or, with
-    ``strict``, a broken line fails the read."""
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(PREDICTION_SCHEMA).option("mode", mode).json(paths)
+    """Prediction lines. Blank lines and lines that are not JSON objects are skipped, or, with
+    ``strict``, a broken line fails the read. A field of another type is read as its own type
+    where it can be (``"2"`` and ``2.0`` are 2) and is null otherwise; the line stays."""
+    return _fields(spark.read.text(paths), strict)
+
+
+def _fields(lines: DataFrame, strict: bool = False, *keep: Column) -> DataFrame:
+    """The fields of text lines of JSON objects, and the columns in ``keep``."""
+    filled = lines.filter(F.trim("value") != "")
+    parsed = once(filled, "_line", F.parse_json("value") if strict else F.try_parse_json("value"))
+    objects = parsed.filter(F.schema_of_variant("_line").startswith("OBJECT"))
+
+    def field(name: str, kind: str) -> Column:
+        path = f"$.{name}"
+        if kind == "variant":
+            found = F.try_variant_get("_line", path, "variant")
+        elif kind == "long":
+            exact = F.try_variant_get("_line", path, "long")
+            found = F.coalesce(exact, F.try_variant_get("_line", path, "double").try_cast("long"))
+        else:
+            found = F.try_variant_get("_line", path, kind)
+        return found.alias(name)
+
+    fields = [part.split() for part in PREDICTION_SCHEMA.split(", ")]
+    return objects.select(*[field(name, kind) for name, kind in fields], *keep)
 
 
 def successful(predictions: DataFrame) -> DataFrame:
@@ -33,19 +55,21 @@ def served(predictions: DataFrame) -> DataFrame:
 
 
 def read_models(spark: SparkSession, folder: str, files: dict[str, str]) -> DataFrame:
-    """Many model files in one read, labelled by file name; files not named are left out and
-    missing ones simply have no rows."""
-    rows = (
-        spark.read.schema(PREDICTION_SCHEMA)
-        .option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", "true")
-        .json(folder)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
+    """Many model files in one read, labelled by the name of the file, without its ending, or of a
+    folder it is in; files not named are left out and missing ones simply have no rows."""
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .text(folder)
+        .select("value", F.split(F.col("_metadata.file_path"), "/").alias("_path"))
+    )
+    names = F.concat(
+        F.slice("_path", F.lit(1), F.size("_path") - 1),
+        F.array(F.regexp_replace(F.element_at("_path", -1), r"\..*$", "")),
     )
     label = F.lit(None).cast("string")
     for name, part in files.items():
-        label = F.when(F.contains(F.col("_path"), F.lit(part)), name).otherwise(label)
-    return rows.withColumn("config", label).filter("config IS NOT NULL").drop("_path")
+        label = F.when(F.array_contains(names, part), name).otherwise(label)
+    return _fields(lines.withColumn("config", label).filter("config IS NOT NULL"), False, F.col("config"))
 
 
 def usable(predictions: DataFrame) -> DataFrame:

@@ -24,9 +24,10 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def deduplicated(stream: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First arrival of each key; the keys are forgotten once the watermark has passed them."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """First arrival of each key, however late it comes again: keys are kept for good, so the
+    state grows with the number of keys."""
+    return stream.dropDuplicates(keys)
 
 
 def daily_counts(stream: DataFrame, time: str, kind: str, value: str, delay: str = "1 hour") -> DataFrame:
@@ -85,41 +86,52 @@ def ledger_writer(folder: str, id_columns: list[str]) -> Callable[[DataFrame, in
     return write
 
 
-def fact_keeper(folder: str, schema, as_of: Callable[[DataFrame], Column]) -> Callable[[DataFrame, int], None]:
-    """Keeps the fact table current: every micro-batch adds its facts and forgets at ``as_of``.
-
-    Version ``n`` is written from version ``n - 1`` and the batch alone, so a repeated batch
-    gives the same version.
-    """
+def fact_keeper(folder: str, schema) -> Callable[[DataFrame, int], None]:
+    """Adds the facts of each micro-batch to the fact table and touches nothing older: a batch
+    costs what it holds. Forgetting is done on reading, by :func:`current_facts`."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        facts = batch.select(*[f.name for f in schema.fields])
-        if batch_id > 0:
-            facts = spark.read.schema(schema).parquet(f"{folder}/version={batch_id - 1}").unionByName(facts)
-        fa.survivors(facts, as_of(batch)).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        batch.select(*[f.name for f in schema.fields]).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return keep
 
 
-def latest_version(spark: SparkSession, folder: str, schema, last_batch: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/version={last_batch}")
+def current_facts(spark: SparkSession, folder: str, schema, as_of: Column) -> DataFrame:
+    """The facts of all batches that are not forgotten at ``as_of``."""
+    stored = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    return fa.survivors(stored, as_of)
+
 
+def outcome_writer(
+    folder: str, panel: DataFrame, horizon: int, known_until: Callable[[int], Column]
+) -> Callable[[DataFrame, int], None]:
+    """Splits signals into outcomes known by the day ``known_until(batch)`` and open ones.
 
-def outcome_writer(folder: str, panel: DataFrame, horizon: int, known_until: Column) -> Callable[[DataFrame, int], None]:
-    """Splits the signals of a micro-batch into outcomes known by a day and signals still open."""
+    The signals that the batch before left open are looked at again with those that arrive, so an
+    outcome shows up in the first batch that can know it. Only open signals are carried on, and a
+    batch that is run again reads and writes the same folders.
+    """
+    columns = [f"ret_{horizon}", f"end_{horizon}"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        columns = [f"ret_{horizon}", f"end_{horizon}"]
-        joined = join_as_of(batch, panel, columns, how="left").persist()
-        known = F.coalesce(F.col(f"end_{horizon}") <= known_until, F.lit(False))
+        signals = batch
+        if batch_id > 0:
+            waiting = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/open/batch={batch_id - 1}")
+            signals = batch.unionByName(waiting)
+        joined = join_as_of(signals, panel, columns, how="left").persist()
+        known = F.coalesce(F.col(f"end_{horizon}") <= known_until(batch_id), F.lit(False))
         joined.filter(known).write.mode("overwrite").parquet(f"{folder}/known/batch={batch_id}")
-        joined.filter(~known).drop(*columns, "start_date").write.mode("overwrite").parquet(f"{folder}/open/batch={batch_id}")
+        joined.filter(~known).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/open/batch={batch_id}")
         joined.unpersist()
 
     return write
 
 
+def open_signals(spark: SparkSession, folder: str, schema, last_batch: int) -> DataFrame:
+    """The signals that are still open after a batch."""
+    return spark.read.schema(schema).parquet(f"{folder}/open/batch={last_batch}")
+
+
 def batches(spark: SparkSession, folder: str) -> DataFrame:
     """All batch folders of one output, with their ``batch`` number."""
     return spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
