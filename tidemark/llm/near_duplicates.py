@@ -187,7 +187,7 @@ def joined(rows: DataFrame, link: Callable, block_rows: int) -> DataFrame:
     large = rows.filter(F.col("size") > block_rows)
     if large.isEmpty():
         return edges
-    known = components(edges)
+    known = written(components(edges), "known")
     labelled = written(
         large.join(known, F.col("doc") == F.col("node"), "left").select(
             "key", "size", "doc", "payload", F.coalesce("root", "doc").alias("label")
@@ -207,7 +207,8 @@ def joined(rows: DataFrame, link: Callable, block_rows: int) -> DataFrame:
         "key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), part.alias("part"), F.lit(False).alias("home"), *columns
     )
     meeting = at_home.unionByName(visiting).select("key", "block", "part", "doc", "label", "home", "payload")
-    return edges.union(written(in_blocks(meeting, link), "links"))
+    stars = known.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.union(in_blocks(meeting, link))
 
 
 def in_blocks(dealt: DataFrame, link: Callable) -> DataFrame:
