@@ -41,8 +41,10 @@ def price_windows(prices: DataFrame, rows: int = fixed.PRICE_WINDOW_ROWS) -> Dat
 
 def event_price_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
     """Each event with the price window from its as-of row on. ``windows`` is a written result
-    of :func:`price_windows`, so a window is built once per price row."""
-    return join_as_of(events, windows, ["dates", "closes"])
+    of :func:`price_windows`, so a window is built once per price row; it is attached when the
+    first row of an event is known, so the lookup by day carries no arrays."""
+    started = join_as_of(events, windows.select("ticker", "date"), [])
+    return started.join(windows.withColumnRenamed("date", "start_date"), ["ticker", "start_date"])
 
 
 def compare_models(

@@ -38,17 +38,20 @@ def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit prices by brand. Parts are broadcast if their files are small; otherwise both sides
-    are shuffled by part and AQE splits a part that holds much of the lines."""
+def priced_lines(spark: SparkSession, sf_dir: str, brands: list[int] | None = None) -> DataFrame:
+    """Unit prices by brand, of some brands or all; the choice is pushed into the scan of the
+    parts. Parts are broadcast if their files are small; otherwise both sides are shuffled by part
+    and AQE splits a part that holds much of the lines."""
     lines = unit_prices(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    if brands is not None:
+        parts = parts.filter(F.col("ticker").isin([f"Brand#{n}" for n in brands]))
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select("ticker", "date", "price")
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market(spark: SparkSession, sf_dir: str, brands: list[int] | None = None) -> DataFrame:
     """Price panel: ticker = brand, date = ship date, close = mean unit price."""
-    return priced_lines(spark, sf_dir).groupBy("ticker", "date").agg(F.avg("price").alias("close"))
+    return priced_lines(spark, sf_dir, brands).groupBy("ticker", "date").agg(F.avg("price").alias("close"))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +60,29 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(F.lit("ALL").alias("ticker"), "date", "close")
 
 
-def market_panel(spark: SparkSession, sf_dir: str, horizons: list[int] = fixed.HORIZONS, **options) -> DataFrame:
+def market_panel(
+    spark: SparkSession, sf_dir: str, horizons: list[int] = fixed.HORIZONS, brands: list[int] | None = None, **options
+) -> DataFrame:
     """Written panel with forward returns: at most one row per ticker and calendar day."""
-    return materialise(forward_returns(market(spark, sf_dir), horizons, **options), "panel")
+    return materialise(forward_returns(market(spark, sf_dir, brands), horizons, **options), "panel")
 
 
-def benchmark_panel(spark: SparkSession, sf_dir: str, horizons: list[int] = fixed.HORIZONS) -> DataFrame:
-    return materialise(forward_returns(benchmark(spark, sf_dir), horizons), "benchmark")
+def panels(
+    spark: SparkSession, sf_dir: str, brands: list[int], horizons: list[int] = fixed.HORIZONS
+) -> tuple[DataFrame, DataFrame]:
+    """Written panels of some brands and of the benchmark, from one reading of the lines: both
+    roll up a written table of sums and counts per brand and day."""
+    sums = materialise(
+        priced_lines(spark, sf_dir).groupBy("ticker", "date").agg(F.sum("price").alias("total"), F.count("price").alias("n")),
+        "daily",
+    )
+    close = lambda rows: rows.select("ticker", "date", (F.col("total") / F.col("n")).alias("close"))
+    chosen = close(sums.filter(F.col("ticker").isin([f"Brand#{n}" for n in brands])))
+    whole = close(sums.groupBy(F.lit("ALL").alias("ticker"), "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+    return (
+        materialise(forward_returns(chosen, horizons), "panel"),
+        materialise(forward_returns(whole, horizons), "benchmark"),
+    )
 
 
 MARKET_SQL = """

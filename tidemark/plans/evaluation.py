@@ -60,7 +60,7 @@ def raw_returns(
     else:
         signals = b.predictions(spark, sf_dir, brands)
     signals = metrics.conviction(signals).withColumn("batch", batch_of(F.col("article_idx")))
-    panel = b.market_panel(spark, sf_dir, horizons)
+    panel = b.market_panel(spark, sf_dir, horizons, brands)
     return metrics.signal_returns(signals, panel, horizons, list(keys))
 
 
@@ -113,9 +113,8 @@ SELECT config, horizon, CASE WHEN n >= 20 THEN round(rho, 6) + 0.0 END AS ic, n
 )
 def abnormal_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = b.predictions(spark, sf_dir, b.FIVE_BRANDS).filter("score <> 0")
-    returns = metrics.signal_returns(
-        signals, b.market_panel(spark, sf_dir), fixed.HORIZONS, ["config"], b.benchmark_panel(spark, sf_dir)
-    )
+    panel, bench = b.panels(spark, sf_dir, b.FIVE_BRANDS)
+    returns = metrics.signal_returns(signals, panel, fixed.HORIZONS, ["config"], bench)
     ic = metrics.information_coefficient(returns, ["config", "horizon"], fixed.MIN_PAIRS_ABNORMAL)
     return rounded(ic, "ic").select("config", "horizon", "ic", "n")
 
@@ -143,10 +142,8 @@ FROM pairs GROUP BY config, horizon""",
 def abnormal_direction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     horizons = fixed.ABNORMAL_DIRECTION_HORIZONS
     signals = metrics.conviction(b.predictions(spark, sf_dir, b.FIVE_BRANDS))
-    returns = metrics.signal_returns(
-        signals, b.market_panel(spark, sf_dir, horizons), horizons, ["config"],
-        b.benchmark_panel(spark, sf_dir, horizons),
-    )
+    panel, bench = b.panels(spark, sf_dir, b.FIVE_BRANDS, horizons)
+    returns = metrics.signal_returns(signals, panel, horizons, ["config"], bench)
     accuracy = metrics.direction_accuracy(returns, ["config", "horizon"], zero_return="wrong")
     return rounded(metrics.accuracy_gap(accuracy, 58.6), "accuracy", "gap_pp")
 
@@ -208,7 +205,7 @@ SELECT article_idx, ticker, round(ret, 6) + 0.0 AS ret FROM pairs""",
 )
 def abnormal_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = b.predictions(spark, sf_dir, b.FIVE_BRANDS).select("article_idx", "ticker", "date")
-    joined = join_abnormal(events, b.market_panel(spark, sf_dir, [5]), b.benchmark_panel(spark, sf_dir, [5]), [5])
+    joined = join_abnormal(events, *b.panels(spark, sf_dir, b.FIVE_BRANDS, [5]), [5])
     known = joined.filter("ret_5 IS NOT NULL").select("article_idx", "ticker", F.col("ret_5").alias("ret"))
     return rounded(known, "ret")
 
@@ -227,9 +224,11 @@ UNION ALL SELECT config, NULL, CASE WHEN n >= 10 THEN round(rho, 6) + 0.0 END, n
 def batch_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch, and over the whole run (batch null): ranks of a run do not add up from batches."""
     returns = raw_returns(spark, sf_dir, b.FIVE_BRANDS, [5], ("config", "batch"))
-    batches = metrics.information_coefficient(returns, ["config", "batch"])
-    whole = metrics.information_coefficient(returns, ["config"]).withColumn("batch", F.lit(None).cast("long"))
-    return rounded(batches.unionByName(whole), "ic").select("config", "batch", "ic", "n")
+    # One ranking for both: every pair counts for its batch and for the run, which is batch -1.
+    both = returns.withColumn("batch", F.explode(F.array("batch", F.lit(-1).cast("long"))))
+    ic = metrics.information_coefficient(both, ["config", "batch"])
+    run = ic.withColumn("batch", F.nullif("batch", F.lit(-1)))
+    return rounded(run, "ic").select("config", "batch", "ic", "n")
 
 
 @BOOK.add(
