@@ -73,12 +73,22 @@ def survivors(facts: DataFrame, as_of: Column) -> DataFrame:
     return with_fate(facts, as_of).filter("fate = 'kept'").drop("fate")
 
 
-def forgetting_counts(facts: DataFrame, as_of: Column) -> DataFrame:
-    return with_fate(facts, as_of).agg(
+def forgetting_counts(facts: DataFrame, as_of: Column, signals: DataFrame | None = None, age_days: int = 60) -> DataFrame:
+    """What a forgetting cycle expires, prunes and keeps, and, given the stored signals, how many
+    of them are old enough to be consolidated."""
+    counts = with_fate(facts, as_of).agg(
         F.count_if(F.col("fate") == "expired").alias("expired"),
         F.count_if(F.col("fate") == "pruned").alias("pruned"),
         F.count_if(F.col("fate") == "kept").alias("kept"),
     )
+    if signals is None:
+        return counts
+    return counts.withColumn("consolidated", consolidated_ids(signals, as_of, age_days).agg(F.count("*")).scalar())
+
+
+def accesses(found: DataFrame, as_of: Column) -> DataFrame:
+    """The access rows that reading ``found`` leaves, to be appended to the log."""
+    return found.select(F.col("id").alias("fact_id"), as_of.alias("at"))
 
 
 def with_accesses(facts: DataFrame, accesses: DataFrame) -> DataFrame:
@@ -163,13 +173,21 @@ def consolidated_ids(signals: DataFrame, as_of: Column, age_days: int = 60) -> D
     return old.select(F.trunc("article_date", "week").alias("week"), "id")
 
 
-def signal_headers(predictions: DataFrame, as_of: Column, title_chars: int = 100) -> DataFrame:
-    """Signal history rows from predictions with ``scores``."""
+def cut(text: Column, chars: int | None) -> Column:
+    """``text``, or its first ``chars`` characters."""
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
+def signal_headers(predictions: DataFrame, as_of: Column, title_chars: int | None = None) -> DataFrame:
+    """Signal history rows from predictions, with their reasoning and model."""
     return predictions.select(
         F.col("article_idx").alias("id"),
         F.col("date").alias("article_date"),
-        F.left("title", F.lit(title_chars)).alias("article_title"),
+        cut(F.col("title"), title_chars).alias("article_title"),
         F.col("source").alias("article_source"),
+        "signal_vector",
+        "reasoning",
+        "model_used",
         F.lit(None).cast("boolean").alias("was_correct"),
         as_of.alias("created_at"),
     )
@@ -181,19 +199,31 @@ def signal_directions(signals: DataFrame) -> DataFrame:
 
 
 def latest_signals(signals: DataFrame, k: int, keys: list[str] = ["ticker"]) -> DataFrame:
-    """Most recent signals per ticker, by exact ticker key."""
+    """Most recent signals per ticker, by exact ticker key; of all signals without ``keys``."""
+    if not keys:
+        return signals.orderBy(F.desc("article_date"), F.asc("id")).limit(k)
     return top_k(signals, keys, [F.desc("article_date"), F.asc("id")], k)
 
 
-def event_facts(events: DataFrame) -> DataFrame:
-    """Source events as facts: confidence and time to live follow the significance."""
+def signal_listing(stored: DataFrame, limit: int) -> DataFrame:
+    """The latest stored signals with the six fields a listing shows."""
+    return latest_signals(stored, limit, []).select(
+        "id", F.col("article_date").alias("date"), F.col("article_title").alias("title"),
+        F.col("article_source").alias("source"), F.coalesce("signal_vector", F.lit("{}")).alias("signal_vector"),
+        F.col("model_used").alias("model"),
+    )
+
+
+def event_facts(events: DataFrame, content_chars: int | None = None) -> DataFrame:
+    """Source events as facts: confidence and time to live follow the significance. Here and in
+    the forms below a width is a choice of the caller; without one texts are kept whole."""
     return events.select(
         "id",
         "ticker",
         F.col("source_type").alias("fact_type"),
         F.concat(
             F.lit("["), F.col("date").cast("string"), F.lit("] "), F.col("title"), F.lit(": "),
-            F.left("content", F.lit(200)),
+            cut(F.col("content"), content_chars),
         ).alias("content"),
         F.col("source_type").alias("source"),
         by_level(F.col("significance"), fixed.SIGNIFICANCE_CONFIDENCE).alias("confidence"),
@@ -201,11 +231,13 @@ def event_facts(events: DataFrame) -> DataFrame:
     )
 
 
-def reasoned_facts(signals: DataFrame, min_reasoning: int = 50, min_score: float = 0.3) -> DataFrame:
+def reasoned_facts(
+    signals: DataFrame, min_reasoning: int = 50, min_score: float = 0.3, chars: int | None = None
+) -> DataFrame:
     """Server form: article reasoning longer than ``min_reasoning``, |score| above ``min_score``;
-    the ticker's own reasoning (left 200) follows the score."""
+    the ticker's own reasoning follows the score."""
     kept = signals.filter((F.length("reasoning") > min_reasoning) & (F.abs("score") > min_score))
-    own = F.left(F.coalesce("ticker_reasoning", F.lit("")), F.lit(200))
+    own = cut(F.coalesce("ticker_reasoning", F.lit("")), chars)
     return kept.select(
         "id", "ticker", F.lit("signal_context").alias("fact_type"),
         F.concat(
@@ -216,7 +248,9 @@ def reasoned_facts(signals: DataFrame, min_reasoning: int = 50, min_score: float
     )
 
 
-def ticker_reasoning_facts(signals: DataFrame, min_reasoning: int = 20, min_score: float = 0.5) -> DataFrame:
+def ticker_reasoning_facts(
+    signals: DataFrame, min_reasoning: int = 20, min_score: float = 0.5, chars: int | None = None
+) -> DataFrame:
     """Evaluation form: the ticker's own reasoning, if long enough and the score strong enough."""
     kept = signals.filter(
         (F.length("ticker_reasoning") > min_reasoning) & (F.abs("score") >= min_score)
@@ -224,20 +258,22 @@ def ticker_reasoning_facts(signals: DataFrame, min_reasoning: int = 20, min_scor
     return kept.select(
         "id", "ticker", F.lit("signal_context").alias("fact_type"),
         F.concat(
-            F.lit("["), F.col("date").cast("string"), F.lit("] "), F.left("ticker_reasoning", F.lit(200))
+            F.lit("["), F.col("date").cast("string"), F.lit("] "), cut(F.col("ticker_reasoning"), chars)
         ).alias("content"),
         "source", F.lit(60).alias("ttl_days"),
     )
 
 
-def loop_facts(signals: DataFrame, min_reasoning: int = 30, min_score: float = 0.5) -> DataFrame:
-    """Loop form: the score and the start of the article's reasoning."""
+def loop_facts(
+    signals: DataFrame, min_reasoning: int = 30, min_score: float = 0.5, chars: int | None = None
+) -> DataFrame:
+    """Loop form: the score and the article's reasoning."""
     kept = signals.filter((F.length("reasoning") > min_reasoning) & (F.abs("score") >= min_score))
     return kept.select(
         "id", "ticker", F.lit("signal_context").alias("fact_type"),
         F.concat(
             F.lit("["), F.col("date").cast("string"), F.lit("] Score "), signed(F.col("score"), 1), F.lit(": "),
-            F.left("reasoning", F.lit(100)),
+            cut(F.col("reasoning"), chars),
         ).alias("content"),
         "source", F.lit(60).alias("ttl_days"),
     )

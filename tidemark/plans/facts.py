@@ -77,10 +77,14 @@ def prune_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     "forgetting_cycle",
     "WITH " + FACTS_SQL + """
 SELECT CAST(count_if(fate = 'expired') AS BIGINT) AS expired, CAST(count_if(fate = 'pruned') AS BIGINT) AS pruned,
-       CAST(count_if(fate = 'kept') AS BIGINT) AS kept FROM fate""",
+       CAST(count_if(fate = 'kept') AS BIGINT) AS kept,
+       (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '2024-06-01' - 9000) AS consolidated FROM fate""",
 )
 def forgetting_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fa.forgetting_counts(facts(spark, sf_dir), moment(AS_OF))
+    signals = b.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("article_date")
+    )
+    return fa.forgetting_counts(facts(spark, sf_dir), moment(AS_OF), signals, 9000)
 
 
 @BOOK.add("forgetting_survivors", "WITH " + FACTS_SQL + "\nSELECT id, ticker, confidence, created_at FROM fate WHERE fate = 'kept'")
@@ -104,6 +108,20 @@ def knowledge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fa.first_facts(facts(spark, sf_dir), moment(AS_OF), 20)
 
 
+@BOOK.add(
+    "access_on_read",
+    "WITH " + FACTS_SQL + """
+SELECT f.id, f.access_count + CASE WHEN r.id IS NULL THEN 0 ELSE 1 END AS access_count,
+       CASE WHEN r.id IS NOT NULL THEN TIMESTAMP '2024-06-01' END AS last_accessed
+FROM facts f LEFT JOIN (SELECT id FROM ranked WHERE pos <= 5) r ON f.id = r.id""",
+)
+def access_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading the latest facts of each ticker counts as an access to each of them."""
+    known = facts(spark, sf_dir)
+    log = fa.accesses(fa.latest_facts(known, moment(AS_OF), 5), moment(AS_OF))
+    return fa.with_accesses(known, log).select("id", "access_count", "last_accessed")
+
+
 @BOOK.add(
     "access_accounting",
     "WITH " + FACTS_SQL + """,
@@ -173,6 +191,39 @@ def signal_history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fa.latest_signals(history(spark, sf_dir), 20).select("ticker", "pos", "id", "article_date", "score")
 
 
+def stored_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as predictions with their reasoning, as the signal store keeps them."""
+    answered = b.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("article_idx"), F.col("o_orderdate").cast("date").alias("date"),
+        F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.col("o_orderpriority").alias("source"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.lit('{"A": 1}')).alias("signal_vector"),
+        F.concat(F.lit("because of "), F.col("o_totalprice").cast("long")).alias("reasoning"),
+        F.col("o_orderstatus").alias("model_used"),
+    )
+    return fa.signal_headers(answered, moment(AS_OF))
+
+
+@BOOK.add(
+    "signal_headers",
+    """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS article_date, 'Order ' || o_orderkey AS article_title,
+  o_orderpriority AS article_source, 'because of ' || CAST(trunc(o_totalprice) AS BIGINT) AS reasoning, o_orderstatus AS model_used,
+  TIMESTAMP '2024-06-01' AS created_at FROM orders""",
+)
+def signal_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_signals(spark, sf_dir).drop("signal_vector", "was_correct")
+
+
+@BOOK.add(
+    "signal_listing",
+    """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, 'Order ' || o_orderkey AS title, o_orderpriority AS source,
+  CASE WHEN o_orderkey % 3 <> 0 THEN '{"A": 1}' ELSE '{}' END AS signal_vector, o_orderstatus AS model
+FROM orders ORDER BY 2 DESC, 1 LIMIT 20""",
+)
+def signal_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty latest signals of all tickers: a top-k listing."""
+    return fa.signal_listing(stored_signals(spark, sf_dir), 20)
+
+
 @BOOK.add(
     "signal_store",
     "WITH " + b.predictions_sql(b.FIVE_BRANDS) + """
@@ -221,11 +272,11 @@ reasoned AS (
 @BOOK.add(
     "fact_extraction",
     "WITH " + REASONED_SQL + """
-SELECT 'server' AS form, id, ticker, md5('On ' || date || ': score=' || score || ' ' || left(ticker_reasoning, 200)) AS digest, 90 AS ttl_days
+SELECT 'server' AS form, id, ticker, md5('On ' || date || ': score=' || score || ' ' || ticker_reasoning) AS digest, 90 AS ttl_days
 FROM reasoned WHERE length(reasoning) > 50 AND abs(score) > 0.3
-UNION ALL SELECT 'own', id, ticker, md5('[' || date || '] ' || left(ticker_reasoning, 200)), 60
+UNION ALL SELECT 'own', id, ticker, md5('[' || date || '] ' || ticker_reasoning), 60
 FROM reasoned WHERE length(ticker_reasoning) > 20 AND abs(score) >= 0.5
-UNION ALL SELECT 'loop', id, ticker, md5('[' || date || '] Score ' || printf('%+.1f', score) || ': ' || left(reasoning, 100)), 60
+UNION ALL SELECT 'loop', id, ticker, md5('[' || date || '] Score ' || printf('%+.1f', score) || ': ' || reasoning), 60
 FROM reasoned WHERE length(reasoning) > 30 AND abs(score) >= 0.5""",
 )
 def fact_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +294,7 @@ def fact_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "event_to_fact",
-    """SELECT id, ticker, source_type AS fact_type, md5('[' || date || '] ' || title || ': ' || left(content, 200)) AS digest,
+    """SELECT id, ticker, source_type AS fact_type, md5('[' || date || '] ' || title || ': ' || content) AS digest,
   CASE significance WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence,
   CASE significance WHEN 'high' THEN 90 WHEN 'medium' THEN 60 ELSE 30 END AS ttl_days
 FROM (SELECT doc_id AS id, 'Brand#' || (doc_id % 10 + 1) AS ticker, source AS source_type,

@@ -43,24 +43,37 @@ def accuracy_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ep.accuracy_by_category(loop_episodes(spark, sf_dir), ["config"]), "accuracy")
 
 
+# Outcomes that differ by source, ticker and direction, so that every family of rules fires. The
+# same text is read by Spark and by DuckDB.
+PLANTED = """CASE WHEN source LIKE '1-%' THEN article_idx % 10 < 8 WHEN source LIKE '5-%' THEN article_idx % 10 < 2
+  WHEN ticker = 'Brand#1' THEN article_idx % 10 < 9 WHEN ticker = 'Brand#2' THEN article_idx % 10 < 1
+  WHEN predicted_direction = 'bullish' THEN article_idx % 10 < 8 ELSE article_idx % 10 < 2 END"""
+PLANTED_CTES = (
+    EPISODE_CTES.replace("\nepisodes AS (", "\nseen AS (")
+    + f",\nepisodes AS (SELECT * REPLACE ({PLANTED} AS was_correct) FROM seen)"
+)
+
+
+def planted_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loop_episodes(spark, sf_dir).withColumn("was_correct", F.expr(PLANTED))
+
+
 @BOOK.add(
     "rule_generation",
-    EPISODE_CTES + "," + b.category_sql(keep="config,", where="abs(predicted_score) >= 1.9")
-    + "," + b.rules_sql("counts", "config,") + "\nSELECT * FROM rules",
+    PLANTED_CTES + "," + b.category_sql(keep="config,") + "," + b.rules_sql("counts", "config,") + "\nSELECT * FROM rules",
 )
 def rule_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules per configuration from the strongest signals, where accuracies differ enough."""
-    strong = loop_episodes(spark, sf_dir).filter(F.abs("predicted_score") >= 1.9)
-    rules = ru.generate_rules(strong, F.current_date(), ["config"])
+    """Rules per configuration from all episodes, with outcomes that make every family fire."""
+    rules = ru.generate_rules(planted_episodes(spark, sf_dir), F.current_date(), ["config"])
     return rounded(rules, "confidence").select(
         "config", "rule_id", "rule_text", "confidence", "evidence_count", "category"
     )
 
 
 UPSERT_SQL = (
-    EPISODE_CTES + "," + b.category_sql(where="abs(predicted_score) >= 1.5 AND date < DATE '1998-01-01'").replace("counts AS", "old_counts AS")
+    PLANTED_CTES + "," + b.category_sql(where="date < DATE '1998-01-01'").replace("counts AS", "old_counts AS")
     + "," + b.rules_sql("old_counts").replace("rules AS", "old_rules AS")
-    + "," + b.category_sql(where="abs(predicted_score) >= 1.5")
+    + "," + b.category_sql()
     + "," + b.rules_sql("counts")
 )
 
@@ -77,12 +90,10 @@ FROM old_rules o FULL OUTER JOIN rules r ON o.rule_id = r.rule_id""",
 )
 def rule_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules learned up to 1998 merged with those of the whole period."""
-    strong = materialise(
-        loop_episodes(spark, sf_dir).filter(F.abs("predicted_score") >= 1.5), "episodes"
-    )
+    seen = materialise(planted_episodes(spark, sf_dir), "episodes")
     first = F.lit("1998-01-01").cast("date")
-    old = ru.generate_rules(strong.filter(F.col("date") < first), first)
-    new = ru.generate_rules(strong, F.lit("2002-01-01").cast("date"))
+    old = ru.generate_rules(seen.filter(F.col("date") < first), first)
+    new = ru.generate_rules(seen, F.lit("2002-01-01").cast("date"))
     return rounded(ru.upsert_rules(old, new), "confidence")
 
 

@@ -59,13 +59,13 @@ def ingestion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "feedback_loop",
-    EPISODE_CTES + "," + b.category_sql(where="abs(predicted_score) >= 1") + "," + b.rules_sql("counts") + """
-SELECT (SELECT count(*) FROM episodes WHERE abs(predicted_score) >= 1) AS outcomes_recorded,
+    EPISODE_CTES + "," + b.category_sql() + "," + b.rules_sql("counts") + """
+SELECT (SELECT count(*) FROM episodes) AS outcomes_recorded,
        (SELECT count(*) FROM rules) AS rules_generated, (SELECT count(*) + 1 FROM rules WHERE confidence >= 0.5) AS active_rules""",
 )
 def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One turn over all strong signals, on a store that holds one older rule."""
-    signals = b.predictions(spark, sf_dir, b.FIVE_BRANDS).filter(F.abs("score") >= 1)
+    """One turn over all signals, on a store that holds one older rule."""
+    signals = b.predictions(spark, sf_dir, b.FIVE_BRANDS)
     moment = F.lit("2002-01-01").cast("timestamp")
     stored = spark.createDataFrame([("older", "An older rule.", 0.7, 10, "pattern")], (
         "rule_id string, rule_text string, confidence double, evidence_count long, category string"
