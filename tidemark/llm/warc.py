@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
+#: Compressed bytes that one task reads back.
+READ_BYTES = 16 << 20
 RECORDS = "page_id long, url string, payload string, payload_bytes long, payload_digest string, refers_to long"
 INDEX = (
     "archive string, offset long, length long, record_type string, page_id long, url string, "
@@ -249,10 +252,13 @@ def read_records(index: DataFrame, tasks: int | None = None) -> DataFrame:
     """The indexed records, each read at its offset: ``page_id``, ``url``, ``record_type``,
     ``payload`` (null in a revisit), ``payload_bytes``, ``payload_digest``, ``refers_to``.
 
-    A record whose payload does not have the length and digest that it states fails the job.
+    A record whose payload does not have the length and digest that it states fails the job. An
+    index is small against what it points to, so the number of tasks follows the bytes to read.
     """
-    ordered = index.select("archive", "offset", "length")
-    ordered = ordered.repartitionByRange(tasks, "archive", "offset") if tasks else ordered.repartitionByRange("archive", "offset")
+    if tasks is None:
+        held = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        tasks = max(1, math.ceil(held / READ_BYTES))
+    ordered = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
     ordered = ordered.sortWithinPartitions("archive", "offset")
 
     def rows(tuples: Iterator[tuple]) -> Iterator[tuple]:
