@@ -6,8 +6,6 @@ Everything here is data. The rules that use it live next to the operators.
 # --- fixed values: ticker universes -----------------------------------------------------------
 TICKERS = ["IONQ", "RGTI", "QBTS", "QUBT", "QNT", "IBM", "GOOGL", "MSFT", "HON", "NVDA"]
 PURE_PLAY_TICKERS = ["IONQ", "RGTI", "QBTS", "QUBT", "QNT"]
-IC_TICKERS = ["IONQ", "RGTI", "QBTS", "QUBT", "QNT", "HON", "IBM"]
-BENCHMARK_TICKER = "SPY"
 
 # --- fixed values: evaluation parameters ------------------------------------------------------
 HORIZONS = [1, 2, 5, 10, 20]
@@ -51,6 +49,7 @@ SCORE_WORDS = [
 NUMBER_PATTERN = r"[-+]?\d*\.?\d+"
 FLOAT_ERROR_TEXT = "could not convert string to float"
 PARSE_FAILURE_TEXT = "Failed to parse JSON (output may have been truncated)"
+INVALID_RESPONSE_TEXT = "Qwen response was not valid JSON"
 
 # --- fixed values: text patterns --------------------------------------------------------------
 TOKEN_PATTERN = r"[A-Za-z0-9$._-]+"

@@ -55,6 +55,23 @@ def parse_truncated(content: Column) -> Column:
     return let(F.when(has_open, json_span(content)).otherwise(content), parse)
 
 
+def served_answer(content: Column, raw_chars: int | None = None) -> Column:
+    """The object of an answer as JSON, closed if it was cut short, or a failure record with the
+    answer, or its first ``raw_chars`` characters."""
+    raw = content if raw_chars is None else F.left(content, F.lit(raw_chars))
+    failure = F.to_json(F.struct(F.lit(fixed.PARSE_FAILURE_TEXT).alias("error"), raw.alias("raw")))
+    return let(parse_truncated(content), lambda v: F.when(v.isNotNull(), F.to_json(v)).otherwise(failure))
+
+
+def agent_answer(raw: Column) -> Column:
+    """The parsed answer of an agent as JSON, or a failure record that proposes no memory."""
+    failure = F.to_json(F.struct(
+        F.lit(fixed.INVALID_RESPONSE_TEXT).alias("error"), raw.alias("raw_output"),
+        F.array().cast("array<string>").alias("memory_updates"),
+    ))
+    return let(parse_response(raw), lambda v: F.when(v.isNotNull(), F.to_json(v)).otherwise(failure))
+
+
 def field(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 

@@ -168,13 +168,6 @@ def direction(score: Column, band: float = 0.1) -> Column:
     return F.when(score > band, "bullish").when(score < -band, "bearish").otherwise("neutral")
 
 
-def significance_stars(p: Column) -> Column:
-    out = F.lit("")
-    for bound, mark in reversed(fixed.SIGNIFICANCE_STARS):
-        out = F.when(p < bound, mark).otherwise(out)
-    return out
-
-
 def run_seconds(time_seconds: Column, time_ms: Column) -> Column:
     """Seconds taken: the seconds field unless missing or 0, else milliseconds, else 0."""
     return F.coalesce(F.nullif(time_seconds, F.lit(0.0)), time_ms / 1000, F.lit(0.0))

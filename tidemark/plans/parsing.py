@@ -151,6 +151,27 @@ def truncated_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.long_signals(sg.clean_predictions(repaired.withColumn("status", F.lit("success"))), ["article_idx"])
 
 
+@BOOK.add(
+    "failed_responses",
+    """SELECT doc_id, doc_id % 3 = 0 AS parsed, CASE WHEN doc_id % 3 <> 0 THEN 'Failed to parse JSON (output may have been truncated)' END AS served_error,
+  CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS served_raw, CASE WHEN doc_id % 3 <> 0 THEN 'Qwen response was not valid JSON' END AS agent_error,
+  CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS agent_raw, CASE WHEN doc_id % 3 <> 0 THEN '[]' END AS updates FROM documents""",
+)
+def failed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as answers, two thirds of them without an object: failure records of both kinds."""
+    answer = F.when(F.col("doc_id") % 3 == 0, F.lit('Sure: {"A": {"score": 1}}')).otherwise(F.col("text"))
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", answer.alias("raw"))
+    records = docs.select(
+        "doc_id", sg.served_answer(F.col("raw")).alias("served"), sg.agent_answer(F.col("raw")).alias("agent")
+    )
+    part = lambda column, name: F.get_json_object(column, f"$.{name}")
+    return records.select(
+        "doc_id", part("served", "error").isNull().alias("parsed"), part("served", "error").alias("served_error"),
+        F.md5(part("served", "raw")).alias("served_raw"), part("agent", "error").alias("agent_error"),
+        F.md5(part("agent", "raw_output")).alias("agent_raw"), part("agent", "memory_updates").alias("updates"),
+    )
+
+
 @BOOK.add(
     "thinking_split",
     """SELECT o_orderkey % 12 = 9 AS has_thinking, count(*) AS n,

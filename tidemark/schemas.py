@@ -1,45 +1,6 @@
-"""Schemas of the stored tables, as DDL texts."""
+"""Schemas of stored tables, as DDL texts."""
 
-FACTS = (
-    "id long, ticker string, fact_type string, content string, source string, confidence double, "
-    "created_at timestamp, updated_at timestamp, expires_at timestamp, access_count long, last_accessed timestamp"
-)
-FACT_ACCESSES = "fact_id long, at timestamp"
-SIGNAL_HEADERS = (
-    "id long, article_date date, article_title string, article_source string, reasoning string, "
-    "was_correct boolean, model_used string, created_at timestamp"
-)
-SIGNALS = "id long, ticker string, score double, predicted_direction string, outcome double"
-PREFERENCES = "key string, value string, updated_at timestamp"
-CONSOLIDATIONS = "week date, signals long, bullish long, mean_score double, first_id long, last_id long"
-EPISODES = (
-    "date date, ticker string, predicted_score double, predicted_direction string, actual_return double, "
-    "actual_direction string, was_correct boolean, title string, source string, reasoning string, lesson string, "
-    "available_on date, created_at timestamp"
-)
 RULES = (
     "rule_id string, rule_text string, confidence double, evidence_count long, created_at timestamp, "
     "last_validated timestamp, category string"
 )
-EVENTS = (
-    "source_type string, ticker string, date date, title string, content string, significance string, "
-    "url string, metadata string"
-)
-RECORDS = (
-    "record_id string, observed_at string, source string, title string, url string, tags array<string>, "
-    "text string, metadata string"
-)
-MARKET = "ticker string, date date, close double"
-TRADES = (
-    "kind string, created_at timestamp, strategy string, symbol string, side string, quantity double, "
-    "price double, notional double, source string, metadata string, record_id string"
-)
-EVALS = "kind string, created_at timestamp, name string, status string, metrics string, metadata string, record_id string"
-BACKTESTS = (
-    "kind string, created_at timestamp, strategy string, dataset string, start_date string, end_date string, "
-    "metrics string, metadata string, record_id string"
-)
-METRICS = "config string, horizon int, ic double, p_value double, n long"
-BATCH_REPORTS = (
-    "config string, batch long, articles long, total_episodes long, accuracy double, memory_facts long, active_rules long"
-)

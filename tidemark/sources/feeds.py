@@ -225,7 +225,7 @@ def unseen_articles(articles: DataFrame, history: DataFrame, title_chars: int |
     compares shortened titles instead, which takes articles with a common beginning for one."""
     from tidemark.sources.memory import first_by
 
-    key = _cut(F.col("title"), title_chars)
+    key = F.sha2(_cut(F.col("title"), title_chars), 256)
     batch = first_by(articles.withColumn("_key", key), "_key", F.struct("seq"))
-    known = history.select(_cut(F.col("article_title"), title_chars).alias("_key"))
+    known = history.select(F.sha2(_cut(F.col("article_title"), title_chars), 256).alias("_key"))
     return batch.join(known, "_key", "left_anti").drop("_key")

@@ -74,10 +74,6 @@ def add_records(records: DataFrame, store: DataFrame) -> DataFrame:
     return store.select(*FIELDS).unionByName(new_records(records, store).select(*FIELDS))
 
 
-def append_records(records: DataFrame, store: DataFrame, path: str) -> None:
-    new_records(records, store).select(*FIELDS).write.mode("append").json(path)
-
-
 def memory_updates(parsed: DataFrame, analysis: str = "analysis") -> DataFrame:
     """Each non-blank text in the ``memory_updates`` list of an analysis as a note."""
     updates = F.try_variant_get(analysis, "$.memory_updates", "array<variant>")
