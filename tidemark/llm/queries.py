@@ -94,12 +94,63 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@BOOK.add("op6_quality")
+OP6_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM docs
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM cut)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + s) AS n FROM twice CROSS JOIN (VALUES (0), (1), (2)) v(s) GROUP BY doc_id
+), measured AS (
+  SELECT c.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM cut c LEFT JOIN repeats r ON r.doc_id = c.doc_id
+), valued AS (
+  SELECT doc_id, stratum, 1 AS place, 'symbols' AS rule, 1000 * n_symbols // greatest(n_words, 1) AS value FROM measured
+  UNION ALL SELECT doc_id, stratum, 2, 'dup_lines', 1000 * n_dup_lines // greatest(n_lines, 1) FROM measured
+  UNION ALL SELECT doc_id, stratum, 3, 'repeats', 1000 * n_repeat_words // greatest(n_words, 1) FROM measured
+  UNION ALL SELECT doc_id, stratum, 4, 'word_chars', 1000 * word_chars // greatest(n_words, 1) FROM measured
+), steps AS (
+  SELECT rule, unnest(cuts) AS cutoff, generate_subscripts(cuts, 1) AS step FROM (VALUES
+    ('symbols', [2000, 1000, 500, 250, 120, 60, 30, 10]), ('dup_lines', [800, 650, 500, 400, 340, 300, 250, 200, 150, 100]),
+    ('repeats', [900, 700, 500, 400, 300, 250, 200, 150, 100]), ('word_chars', [20000, 14000, 11000, 9500, 8500, 7500, 7000])) v(rule, cuts)
+), good AS (
+  SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
+), counted AS (
+  SELECT stratum, rule, step, cutoff, count(*) AS n, count_if(value > cutoff) AS k
+  FROM valued JOIN good USING (doc_id) JOIN steps USING (rule) GROUP BY ALL
+), chances AS (
+  SELECT *, (SELECT count(DISTINCT stratum) FROM counted) AS strata,
+    list_sum(list_transform(range(0, CAST(k + 1 AS BIGINT)), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) AS chance
+  FROM counted
+), tested AS (
+  SELECT *, bool_and(chance <= 0.05 / (4 * strata)) OVER (PARTITION BY stratum, rule ORDER BY step) AS safe FROM chances
+), proven AS (
+  SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM tested WHERE safe GROUP BY ALL
+), broken AS (
+  SELECT doc_id, string_agg(rule, ',' ORDER BY place) AS rules FROM valued JOIN proven USING (stratum, rule) WHERE value > cutoff GROUP BY doc_id
+), failed AS (
+  SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(rules, '') AS rejected_by
+  FROM measured m LEFT JOIN broken b ON b.doc_id = m.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rejected_by = '' AS kept, n_lines, rejected_by FROM failed
+"""
+
+
+@BOOK.add("op6_quality", OP6_SQL)
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return verdicts.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "n_lines", "rejected_by",
+        "base_failed", "kept", "n_lines", F.array_join("rejected_by", ",").alias("rejected_by"),
     )
 
 
