@@ -45,8 +45,9 @@ class Merges:
         self.longest = max(map(len, born), default=1)
         self._lasts = Bounded(lambda p: self._lives(p, 1), 1 << 18, NEVER)
         self._firsts = Bounded(lambda p: self._lives(p, 0), 1 << 18, NEVER)
-        self._fits = Bounded(lambda pair: not self.crossed(*pair), 1 << 20, NEVER)
-        self.pieces = {piece for piece in born if self.known(piece)}
+        self._fits = Bounded(lambda pair: not self.crossed(*pair), 1 << 19, NEVER)
+        #: Usable pieces, each by itself: memos hold these objects, not slices of texts.
+        self.pieces = {piece: piece for piece in born if self.known(piece)}
 
     def _lives(self, piece, side: int) -> list[tuple]:
         """The parts at one end of a piece, from the whole piece inward: (part, born, used up)."""
@@ -94,7 +95,7 @@ class Merges:
         ``text[:i]``. A single unit that is in no piece stands alone."""
         fits, pieces, longest = self._fits, self.pieces, self.longest
         for start in range(end - longest if end > longest else 0, end - 1):
-            piece = text[start:end]
-            if piece in pieces and (not start or fits[lasts[start], piece]):
+            piece = pieces.get(text[start:end])
+            if piece is not None and (not start or fits[lasts[start], piece]):
                 return piece
         return text[end - 1 : end]

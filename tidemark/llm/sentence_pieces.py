@@ -33,8 +33,8 @@ def streamed(chars: Iterable[str], merges: Merges) -> Iterator[str]:
         node = None
         # window[i] is the boundary before recent[i], counted from the last of both.
         for start in range(max(0, len(recent) - len(window)), len(recent) - 1):
-            piece = recent[start:]
-            if piece in pieces:
+            piece = pieces.get(recent[start:])
+            if piece is not None:
                 before = window[start - len(recent)]
                 if not before[1] or fits(before[1], piece):
                     node = (end, piece, before)
@@ -120,7 +120,7 @@ def unit_pattern(pieces: Iterable[str]) -> str:
 class Codec:
     """Encoder and decoder of one vocabulary file, which is read once per worker."""
 
-    def __init__(self, model_path: str, memo: int = 600_000) -> None:
+    def __init__(self, model_path: str, memo: int = 500_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import let
 from tidemark.session import scratch_path
 
-#: Code points of white space that end a word: space and tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which driver and executors share."""
