@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import queries, sharding
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -56,3 +58,40 @@ def test_query_and_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
     assert {r.record.doc_id for r in back.collect()} == set(by_id)
+
+
+def test_query_deals_whole_documents(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    paths, sizes = [], []
+    write, scatter = sharding.write_shards, sharding.scatter
+    monkeypatch.setattr(sharding, "write_shards", lambda d, path, *a: (paths.append(path), write(d, path, *a)))
+    monkeypatch.setattr(sharding, "scatter", lambda r, *a: (sizes.append(a[-1]), scatter(r, *a))[1])
+    rows = queries.op10_sharding(spark, SF_DIR).collect()
+    assert sizes == ["size"]
+    back = spark.read.parquet(paths[0]).select("record.*", "shard", "slot").collect()
+    whole = {r.doc_id: (r.text, r.lang, r.source, r.n_chars) for r in docs.collect()}
+    assert {r.doc_id: (r.text, r.lang, r.source, r.n_chars) for r in back} == whole
+    assert {(r.doc_id, r.shard, r.slot) for r in back} == {(r.doc_id, r.shard, r.slot) for r in rows}
+
+
+def test_written_shards_in_slot_order_with_buckets_by_bytes(spark, tmp_path):
+    records = spark.range(400).selectExpr("id", "repeat('x', 1000) AS text", "1000 AS held")
+    dealt = sharding.shard_rows(records, 3, bucket_bytes=20_000, size="held")
+    path = str(tmp_path / "out")
+    sharding.write_shards(dealt, path)
+    stored = sharding.read_shards(spark, path, dealt.schema)
+    check(stored.collect(), 3, 400)
+    for shard in range(3):
+        files = stored.filter(F.col("shard") == shard).select("slot", F.input_file_name().alias("file")).collect()
+        spans = {}
+        for r in files:
+            spans.setdefault(r.file, []).append(r.slot)
+        assert all(v == sorted(v) for v in spans.values())
+        assert [x for f in sorted(spans) for x in spans[f]] == sorted(r.slot for r in files)
+
+
+def test_empty_table_of_shards(spark, tmp_path):
+    records = spark.createDataFrame([], "doc_id long, text string, size long")
+    dealt = sharding.shard_rows(records, 4, size="size")
+    sharding.write_shards(dealt, str(tmp_path / "out"))
+    assert sharding.read_shards(spark, str(tmp_path / "out"), dealt.schema).collect() == []

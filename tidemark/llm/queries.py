@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, main_text, near_duplicates, personal_data, quality, sentence_pieces, sharding, token_counts, toxicity, warc
 from tidemark.llm.book import BOOK
+from tidemark.llm.shared import shared_folder
 
 SHARDS = 16
 TOKEN_LIMIT = 512
@@ -260,14 +261,18 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law ``rows``: documents dealt to shards in the order of a two-pass shuffle."""
-    text = F.coalesce("text", F.lit(""))
-    records = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-    )
-    return sharding.shard_rows(records, SHARDS).select(
-        "record.doc_id", "record.size", "record.text_crc32",
+    """Law ``rows``: whole documents dealt to shards in the order of a two-pass shuffle.
+
+    The digest comes from the shards as they were written, not from the input.
+    """
+    kept = F.coalesce("text", F.lit(""))
+    records = table(spark, sf_dir, "documents").withColumn("size", F.octet_length(kept) + 1)
+    dealt = sharding.shard_rows(records, SHARDS, size="size")
+    path = shared_folder(spark, "shards")
+    sharding.write_shards(dealt, path)
+    stored = sharding.read_shards(spark, path, dealt.schema)
+    text = F.coalesce("record.text", F.lit(""))
+    return stored.select(
+        "record.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
