@@ -1,6 +1,11 @@
 """Queries over whole texts and budgets: nothing is cut off before the result."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from tidemark import fixed_values as fixed
+from tidemark.operators import context
+from tidemark.plans import contexts
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,3 +27,38 @@ def test_article_text_holds_the_whole_html(spark):
     for r in rows(spark, "article_text_whole"):
         page = pages[r.page_id]
         assert r.text == page.url + ". " + ("" if r.page_id % 3 == 0 else page.html or "")
+
+
+def test_full_context_reaches_every_section(spark):
+    built = contexts.built_context(spark, SF_DIR).collect()
+    assert built
+    for r in built:
+        assert fixed.TRACK_RECORD_PREFIX + fixed.OVERALL_ACCURACY_LABEL in r.context
+        assert "[MEMORY: " in r.context and not r.context.endswith(fixed.TRUNCATION_SUFFIX)
+    assert not any(r.was_cut for r in rows(spark, "full_context_whole"))
+
+
+def test_semantic_context_is_not_cut(spark):
+    short = {r.query_id: r.chars for r in rows(spark, "semantic_context")}
+    whole = {r.query_id: r.chars for r in rows(spark, "semantic_context_whole")}
+    assert set(short) == set(whole) and all(whole[k] >= short[k] for k in whole)
+    assert any(whole[k] > 400 for k in whole)
+
+
+def test_note_on_a_cut_context(spark):
+    queries = spark.createDataFrame([(1, [], "s")], "query_id long, tickers array<string>, source string")
+    rules = spark.createDataFrame([], "rule_id string, rule_text string, confidence double, evidence_count long, category string")
+    seen = spark.createDataFrame(
+        [], "ticker string, source string, date date, article_idx long, was_correct boolean, predicted_direction string, "
+        "predicted_score double, actual_return double, lesson string",
+    )
+    counts = spark.createDataFrame([], "family string, key string, correct long, total long")
+
+    def built(chars, **budget):
+        meaning = spark.createDataFrame([(1, "x" * chars)], "query_id long, packed string")
+        return context.full_context(queries, rules, seen, counts, meaning, [F.asc("article_idx")], **budget).first().context
+
+    size = 50 * fixed.CHARS_PER_TOKEN
+    fits = size - (len(built(1)) - 1)
+    assert built(fits, max_tokens=50) == built(fits) and len(built(fits)) == size
+    assert built(fits + 1, max_tokens=50) == built(fits) + fixed.TRUNCATION_SUFFIX

@@ -85,7 +85,7 @@ def semantic_sql(limit: int) -> str:
     return b.predictions_sql(b.FIVE_BRANDS, "sem_pred") + "," + SEMANTIC_SQL.replace("{limit}", str(limit))
 
 
-def semantic(spark: SparkSession, sf_dir: str, asked: DataFrame, max_tokens: int) -> DataFrame:
+def semantic(spark: SparkSession, sf_dir: str, asked: DataFrame, max_tokens: int = 4000) -> DataFrame:
     return cx.semantic_context(
         asked, word_facts(spark, sf_dir), word_signals(spark, sf_dir), status_accuracy(spark, sf_dir),
         moment(AS_OF), max_tokens,
@@ -98,8 +98,14 @@ def semantic_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("query_id", F.length("packed").cast("long").alias("chars"), F.md5("packed").alias("digest"))
 
 
-@BOOK.add(
-    "full_context",
+@BOOK.add("semantic_context_whole", "WITH " + semantic_sql(4000 * 4) + "\nSELECT query_id, length(packed) AS chars, md5(packed) AS digest FROM semantic")
+def semantic_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``semantic_context``, at the operator's default budget."""
+    packed = semantic(spark, sf_dir, materialise(questions(spark, sf_dir), "questions"))
+    return packed.select("query_id", F.length("packed").cast("long").alias("chars"), F.md5("packed").alias("digest"))
+
+
+FULL_SQL = (
     EPISODE_CTES + "," + b.category_sql() + "," + b.rules_sql("counts") + "," + semantic_sql(4000 * 4) + f""",
 rules_text AS (SELECT '[BEHAVIORAL RULES LEARNED FROM EXPERIENCE]' || chr(10) || string_agg(
     '  [' || CASE WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END
@@ -115,25 +121,45 @@ experience AS (SELECT query_id, '[PAST EXPERIENCES]' || chr(10) || string_agg('
 overall AS (SELECT '[YOUR TRACK RECORD] Overall accuracy: ' || format('{{:.0f}}', 100.0 * correct / total) || '% (' || correct || '/' || total || ' correct)' AS txt
   FROM counts WHERE family = 'overall'),
 joined AS (SELECT s.query_id, concat_ws(chr(10) || chr(10), (SELECT txt FROM rules_text), e.txt, nullif(packed, ''), (SELECT txt FROM overall)) AS context
-  FROM semantic s LEFT JOIN experience e USING (query_id))
-SELECT query_id, md5(CASE WHEN length(context) > 600 THEN left(context, 600) || chr(10) || '[... memory truncated to fit context window]' ELSE context END) AS digest,
-       length(context) > 600 AS was_cut FROM joined""",
+  FROM semantic s LEFT JOIN experience e USING (query_id))"""
 )
-def full_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, experiences, semantic memory and track record for every benchmark text."""
+
+
+def full_sql(limit: int) -> str:
+    return FULL_SQL + f"""
+SELECT query_id, md5(CASE WHEN length(context) > {limit} THEN left(context, {limit}) || chr(10) || '[... memory truncated to fit context window]' ELSE context END) AS digest,
+       length(context) > {limit} AS was_cut FROM joined"""
+
+
+def built_context(spark: SparkSession, sf_dir: str, **budget: int) -> DataFrame:
     asked = materialise(questions(spark, sf_dir), "questions")
     by_brand = materialise(loop_episodes(spark, sf_dir), "episodes")
     seen = by_brand.withColumns({"ticker": word_of_brand(), "lesson": F.lit(None).cast("string")})
     counts = ep.category_counts(by_brand)
     rules = rounded(ru.generate_rules(by_brand, F.current_date()), "confidence")
-    meaning = semantic(spark, sf_dir, asked, 4000)
-    built = cx.full_context(asked, rules, seen, counts, meaning, [F.asc("article_idx")], max_tokens=150)
+    meaning = semantic(spark, sf_dir, asked)
+    return cx.full_context(asked, rules, seen, counts, meaning, [F.asc("article_idx")], **budget)
+
+
+def context_digest(built: DataFrame) -> DataFrame:
     suffix = "\n[... memory truncated to fit context window]"
     return built.select(
         "query_id", F.md5("context").alias("digest"), F.endswith("context", F.lit(suffix)).alias("was_cut")
     )
 
 
+@BOOK.add("full_context", full_sql(600))
+def full_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, experiences, semantic memory and track record for every benchmark text, cut short with the note."""
+    return context_digest(built_context(spark, sf_dir, max_tokens=150))
+
+
+@BOOK.add("full_context_whole", full_sql(4000 * 4))
+def full_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``full_context``, at the operator's default budget."""
+    return context_digest(built_context(spark, sf_dir))
+
+
 @BOOK.add(
     "episode_prompt_lines",
     EPISODE_CTES + """
