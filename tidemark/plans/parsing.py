@@ -13,7 +13,7 @@ from tidemark.operators import metrics
 from tidemark.operators.views import with_seconds
 from tidemark.plans import bindings as b
 from tidemark.plans.book import BOOK
-from tidemark.plans.evaluation import rounded
+from tidemark.plans.evaluation import P_VALUE_SQL, raw_returns, raw_sql, rounded
 from tidemark.sources import predictions as pr
 from tidemark.session import scratch_path
 
@@ -366,7 +366,7 @@ def duration_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT config, count(*) AS predictions, round(avg(score), 6) + 0.0 AS mean_score FROM pred GROUP BY config""",
 )
 def metrics_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics documents written as JSON and read back."""
+    """Metrics documents of stand-in values, written as JSON and read back."""
     signals = b.predictions(spark, sf_dir, b.SEVEN_BRANDS)
     ic = signals.groupBy("config").agg(F.avg("score").alias("ic"), F.count("*").alias("n")).withColumn("horizon", F.lit(5))
     accuracy = signals.groupBy("config").agg(
@@ -382,6 +382,35 @@ def metrics_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), "mean_score")
 
 
+@BOOK.add(
+    "metrics_export_evaluated",
+    raw_sql(b.SEVEN_BRANDS) + "," + b.SPEARMAN_SQL.format(keys="config, horizon") + "," + P_VALUE_SQL + """,
+counts AS (SELECT config, count(*) AS predictions FROM pred GROUP BY config),
+accuracy AS (SELECT config, CAST(count_if((score > 0) = (ret > 0)) AS BIGINT) AS correct, count(*) AS total FROM pairs WHERE horizon = 5 GROUP BY config)
+SELECT config, predictions, horizon, CASE WHEN n >= 10 THEN round(rho, 6) + 0.0 END AS ic, CASE WHEN n >= 10 THEN round(p, 4) END AS p_value, n,
+  round(correct / total, 6) AS accuracy, correct, total
+FROM tail JOIN counts USING (config) JOIN accuracy USING (config)""",
+)
+def metrics_export_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics documents of an evaluation, written as JSON and read back with all their fields."""
+    returns = raw_returns(spark, sf_dir, b.SEVEN_BRANDS, fixed.HORIZONS)
+    ic = metrics.with_significance(metrics.information_coefficient(returns, ["config", "horizon"]))
+    accuracy = metrics.direction_accuracy(returns.filter("horizon = 5"), ["config"])
+    path = scratch_path(spark, "metrics")
+    pr.metrics_documents(ic, accuracy, b.predictions(spark, sf_dir, b.SEVEN_BRANDS)).write.json(path)
+    document = F.from_json(
+        "document",
+        "predictions long, ic_by_horizon map<string, struct<ic: double, p_value: double, n: long>>, "
+        "direction_accuracy_5d struct<accuracy: double, correct: long, total: long>",
+    )
+    stored = pr.read_metrics(spark, path).select("config", document.alias("document"))
+    rows = stored.select("config", "document.*").select("*", F.explode("ic_by_horizon").alias("horizon", "measured"))
+    values = rows.select(
+        "config", "predictions", F.col("horizon").cast("int").alias("horizon"), "measured.*", "direction_accuracy_5d.*"
+    )
+    return rounded(rounded(values, "ic", "accuracy"), "p_value", digits=4)
+
+
 @BOOK.add(
     "text_scores",
     "WITH " + b.predictions_sql(b.SEVEN_BRANDS) + """

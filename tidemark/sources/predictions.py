@@ -109,10 +109,11 @@ def pending_work(articles: DataFrame, grid: list[str], written: DataFrame, first
 
 
 def metrics_documents(ic: DataFrame, accuracy: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One JSON document per configuration, as the metrics file holds them."""
+    """One JSON document per configuration, as the metrics file holds them; p-values where ``ic`` has them."""
+    fields = [c for c in ("ic", "p_value", "n") if c in ic.columns]
     by_horizon = ic.groupBy("config").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.col("horizon").cast("string"), F.struct("ic", "n"))))
+            F.array_sort(F.collect_list(F.struct(F.col("horizon").cast("string"), F.struct(*fields))))
         ).alias("ic_by_horizon")
     )
     accuracy_doc = accuracy.select(
