@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fixed
 from tidemark.functions.text import signed, whole_percent
 from tidemark.operators.episodes import latest_episodes
-from tidemark.operators.facts import latest_facts, latest_signals
+from tidemark.operators.facts import cut, latest_facts, latest_signals
 from tidemark.operators.prefix import running_totals
 from tidemark.operators.rules import rules_text
 from tidemark.operators.topk import joined_text, top_k
@@ -129,14 +129,14 @@ def experience_block(queries: DataFrame, episodes: DataFrame, tie: list[Column],
     )
 
 
-def episode_prompt_lines(episodes: DataFrame, tie: list[Column], limit: int = 30) -> DataFrame:
+def episode_prompt_lines(episodes: DataFrame, tie: list[Column], limit: int = 30, title_chars: int | None = None) -> DataFrame:
     """The latest resolved episodes as numbered lines for a rule-writing prompt."""
     line = F.concat(
         F.lit("- "), F.col("date").cast("string"), F.lit(" | "), F.col("ticker"), F.lit(" | Predicted: "),
         F.col("predicted_direction"), F.lit(" ("), signed(F.col("predicted_score"), 1), F.lit(") | Actual: "),
         F.col("actual_direction"), F.lit(" ("), signed(F.col("actual_return") * 100, 2), F.lit("%) | "),
         F.when(F.col("was_correct"), "CORRECT").otherwise("WRONG"), F.lit(" | Source: "), F.col("source"),
-        F.lit(" | Article: "), F.left(F.coalesce("title", F.lit("")), F.lit(50)),
+        F.lit(" | Article: "), cut(F.coalesce("title", F.lit("")), title_chars),
     )
     latest = episodes.filter("was_correct IS NOT NULL").orderBy(F.desc("date"), *tie).limit(limit)
     return latest.select("date", *[c for c in ("article_idx", "ticker") if c in episodes.columns], line.alias("line"))
@@ -177,17 +177,17 @@ def full_context(
         .withColumns({"rules": rules_block, "record": record})
         .withColumn("context", F.concat_ws("\n\n", "rules", "experiences", "semantic", "record"))
     )
-    cut = F.concat(F.left("context", F.lit(max_chars)), F.lit(fixed.TRUNCATION_SUFFIX))
+    shortened = F.concat(F.left("context", F.lit(max_chars)), F.lit(fixed.TRUNCATION_SUFFIX))
     return joined.select(
-        "query_id", F.when(F.length("context") > max_chars, cut).otherwise(F.col("context")).alias("context")
+        "query_id", F.when(F.length("context") > max_chars, shortened).otherwise(F.col("context")).alias("context")
     )
 
 
-def memory_block(hits: DataFrame, records: DataFrame, chars: int = 800) -> DataFrame:
+def memory_block(hits: DataFrame, records: DataFrame, chars: int | None = None) -> DataFrame:
     """``query_id, memory_block``: ``- [id] title: text`` of the hits, best first."""
     line = F.concat(
         F.lit("- ["), F.col("record_id"), F.lit("] "),
-        F.coalesce(F.nullif("title", F.lit("")), F.col("source")), F.lit(": "), F.left("text", F.lit(chars)),
+        F.coalesce(F.nullif("title", F.lit("")), F.col("source")), F.lit(": "), cut(F.col("text"), chars),
     )
     rows = hits.join(records.select("record_id", "title", "source", "text"), "record_id")
     return rows.select("query_id", "pos", line.alias("line")).groupBy("query_id").agg(

@@ -171,7 +171,7 @@ FROM episodes ORDER BY date DESC, article_idx, ticker LIMIT 30""",
 def episode_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty latest episodes, as the rule-writing prompt lists them."""
     seen = loop_episodes(spark, sf_dir).withColumn("title", F.concat(F.lit("Order "), F.col("article_idx")))
-    lines = cx.episode_prompt_lines(seen, [F.asc("article_idx"), F.asc("ticker")])
+    lines = cx.episode_prompt_lines(seen, [F.asc("article_idx"), F.asc("ticker")], title_chars=50)
     return lines.select("article_idx", "ticker", "line")
 
 

@@ -240,7 +240,7 @@ def prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, records = search_inputs(spark, sf_dir)
     hits = search.lexical_search(queries, records, UNIVERSE, text=F.concat_ws(" ", "title", "text"))
     asked = queries.withColumn("source", F.lit("news"))
-    built = context.prompts(asked, context.memory_block(hits, records))
+    built = context.prompts(asked, context.memory_block(hits, records, chars=800))
     return built.select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
