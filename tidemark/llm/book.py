@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.plans.book import QueryBook
 
 BOOK = QueryBook()
-MODULES = ["queries"]
+MODULES = ["queries", "repeats"]
 
 
 def load():
