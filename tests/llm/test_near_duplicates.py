@@ -75,12 +75,30 @@ def test_large_lists_and_groups_lose_nothing(spark, monkeypatch):
 def test_nulls_repeats_and_empty(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (9, "A b c d"), (7, None)], "doc_id int, text string")
     rows = sorted((r.id or -1, r.n_shingles, r.component or -1) for r in near_duplicates.find_duplicates(docs, 3, 85).collect())
-    assert rows == [(-1, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7), (9, 2, 5)]
+    assert rows == [(-1, 2, -1), (5, 2, 5), (5, 2, 5), (7, 0, 7), (9, 2, 5)]
     assert near_duplicates.find_duplicates(docs.limit(0)).count() == 0
     kept = near_duplicates.without_duplicates(docs, 3, 85)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "5", "7", "None"]
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    texts = {"A": "a b c d e", "B": "k l m n o", "C": "u v w x y"}
+    rows = [(1, "A"), (1, "B"), (0, "A"), (5, "B"), (7, "C"), (7, "C"), (8, "C"), (9, None), (9, None), (None, "C"), (2, "z z z")]
+    docs = spark.createDataFrame([(k, texts.get(t, t)) for k, t in rows], "doc_id long, text string")
+    got = sorted(((r.id, r.n_shingles, r.component) for r in near_duplicates.find_duplicates(docs, 3, 85).collect()), key=str)
+    expected = [(0, 3, 0), (1, 3, 0), (1, 3, 0), (5, 3, 0), (7, 3, 7), (7, 3, 7), (8, 3, 7), (9, 0, 9), (9, 0, 9), (None, 3, None), (2, 1, 2)]
+    assert got == sorted(expected, key=str)
+
+
+def test_clashing_columns_and_maps(spark):
+    docs = spark.createDataFrame(
+        [(2, "a b c d", 1, 1, {"k": 1}), (1, "a b c d", 1, 1, {"k": 2})],
+        "doc_id long, text string, dropped_id int, gone int, root map<string,int>",
+    )
+    kept = near_duplicates.without_duplicates(docs, 3, 85)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]

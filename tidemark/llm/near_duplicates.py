@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.binomial import largest_threshold
 from tidemark.llm.components import components
-from tidemark.llm.shared import columns_of, map_rows, written
+from tidemark.llm.shared import columns_of, map_rows, without_ids, written
 
 #: Coordinates of a signature, and how many of them are posted.
 COORDINATES = 64
@@ -272,10 +272,41 @@ def find_duplicates(
     ``similarity`` hundredths of their union. Whole texts; a text without words, or null, is linked
     with nothing. Equal sets are one text from the start, so copies cost a row each and no pairs.
     Links among the rest are found by :func:`candidate_groups` and confirmed on the full sets.
-    Rows that repeat an id are one document; a null id has a null component. Other columns are
-    ignored; an empty table gives no rows.
+
+    Ids are whole numbers, or can be cast to them; others fail the job. Rows that repeat an id are
+    one document: whatever one of its texts is linked with, the others are too. A row with a null
+    id has a null component and links nothing. Other columns are ignored; an empty table gives no
+    rows.
     """
     texts = columns_of(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    repeated = texts.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    repeated = written(repeated, "repeated")
+    if repeated.isEmpty():
+        return linked_texts(texts, words, similarity)
+    return linked_by_id(texts, words, similarity)
+
+
+def linked_by_id(texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The result where ids repeat: rows are numbered and linked, then those of an id are joined."""
+    rows = written(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = linked_texts(rows.select(F.when(F.col("id").isNotNull(), F.col("row")).alias("id"), "text"), words, similarity)
+    found = written(found.filter("id IS NOT NULL").withColumnRenamed("id", "row"), "row-links")
+    named = written(rows.select("id", "row").join(found, "row"), "row-groups")
+    least = named.groupBy("id").agg(F.min("component").alias("first"))
+    edges = named.join(least, "id").select(F.col("component").alias("a"), F.col("first").alias("b"))
+    roots = components(edges).withColumnRenamed("node", "component")
+    whole = written(
+        named.join(roots, "component", "left").select("id", "n_shingles", F.coalesce("root", "component").alias("root")), "whole"
+    )
+    names = whole.groupBy("root").agg(F.min("id").alias("component"))
+    nameless = sign(rows.filter("id IS NULL").select("id", "text"), words)
+    return whole.join(names, "root").select("id", "n_shingles", "component").unionByName(
+        nameless.select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
+    )
+
+
+def linked_texts(texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """:func:`find_duplicates` of (``id``, ``text``) rows whose ids differ or are null."""
     signed = written(sign(texts, words), "signatures")
     distinct = written(
         signed.filter("n > 0 AND id IS NOT NULL")
@@ -302,13 +333,13 @@ def find_duplicates(
         "roots",
     )
     return signed.join(named, F.col("set_key") == F.col("of_set"), "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component")
+        "id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component")
     )
 
 
 def without_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that with the least id; all columns as they
-    were. Rows that repeat an id stay or go together."""
+    were, whatever they are called. Rows that repeat an id stay or go together; those with a null
+    id stay."""
     found = find_duplicates(docs, words, similarity, id_col=id_col)
-    dropped = written(found.filter("id != component").select(F.col("id").alias("dropped_id")).distinct(), "dropped")
-    return docs.join(dropped, docs[f"`{id_col}`"] == F.col("dropped_id"), "left_anti")
+    return without_ids(docs, id_col, written(found.filter("id != component").select("id").distinct(), "dropped"))

@@ -31,6 +31,21 @@ def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until it is no column of ``df``, however columns are spelt."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose id is in the one column of ``gone``; all columns as they were,
+    whatever they are called."""
+    key = unused(df, "gone")
+    return df.join(gone.toDF(key), df[f"`{id_col}`"].eqNullSafe(F.col(key)), "left_anti")
+
+
 def map_rows(
     df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str
 ) -> DataFrame:
