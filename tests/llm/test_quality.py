@@ -85,6 +85,20 @@ def test_filter_keeps_columns(spark):
     assert empty.count() == 0
 
 
+def test_copies_are_one_trial_and_columns_may_clash(spark):
+    rows = [(i, " ".join(f"t{i}w{j}" for j in range(60)), "en") for i in range(400)] + [(1000 + i, "### " * 60, "en") for i in range(400)]
+    docs = spark.createDataFrame([(*r, 1, 2, {"a": 1}) for r in rows], "doc_id long, text string, lang string, rejected_id int, gone int, m map<string,int>")
+    labels = spark.createDataFrame([(k, 1) for k, *_ in rows], "doc_id long, quality int")
+    measured = quality.measure(docs)
+    counted = {r.text_key for r in measured.collect()}
+    assert len(counted) == 401
+    # Four hundred copies of one bad text are one trial among 401, not half of them.
+    cuts = quality.cutoffs(measured, labels, share=0.2).collect()
+    assert [r.cut_symbols for r in cuts] == [quality.RULES["symbols"][1][-1]]
+    kept = quality.without_rejected(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 400
+
+
 def test_query_matches_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     rows = queries.op6_quality(spark, SF_DIR).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.binomial import at_most
-from tidemark.llm.shared import columns_of, map_rows, written
+from tidemark.llm.shared import columns_of, map_rows, without_ids, written
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -56,16 +56,21 @@ def measures(text: str) -> tuple[int, int, int, int, int, int]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``id``, ``stratum`` and the measures of whole texts; a null text has no words, and a null
-    stratum is the stratum ``''``."""
+    """``id``, ``stratum``, ``text_key`` (equal for equal texts) and the measures of whole texts; a
+    null text has no words, and a null stratum is the stratum ``''``. Repeated rows each give a
+    row; other columns are ignored, whatever they are called; an empty table gives none."""
 
     def rows(tuples):
+        import xxhash
+
         for key, stratum, text in tuples:
-            yield key, str(stratum or ""), *measures(text or "")
+            text = text or ""
+            yield key, str(stratum or ""), xxhash.xxh3_128_digest(text.encode()), *measures(text)
 
     kind = dict(docs.dtypes)[id_col]
     return map_rows(
-        columns_of(docs, id=id_col, stratum=stratum_col, text=text_col), rows, f"id {kind}, stratum string, {MEASURES}"
+        columns_of(docs, id=id_col, stratum=stratum_col, text=text_col), rows,
+        f"id {kind}, stratum string, text_key binary, {MEASURES}",
     )
 
 
@@ -100,7 +105,8 @@ def cutoffs(
 ) -> DataFrame:
     """``stratum`` and a cutoff per rule, null where none is proven; a written table.
 
-    All labelled documents are the holdout, as nothing else is fitted on them. The share of good
+    All labelled documents are the holdout, as nothing else is fitted on them; copies of a text are
+    one trial, since the bounds ask for independent ones. The share of good
     documents that may be lost is split evenly over the rules, and the risk over rules and strata
     (Bonferroni), so that with probability ``1 - risk`` no stratum loses more than ``share``. A
     document with several labels is good if one of them says so; null labels say nothing. One row
@@ -113,7 +119,7 @@ def cutoffs(
         .agg(F.max("label").alias("label"))
         .filter("label = 1")
     )
-    rows = measured.join(good, F.col("id") == F.col("of"))
+    rows = measured.join(good, F.col("id") == F.col("of")).dropDuplicates(["stratum", "text_key"])
     counted = rows.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"),
         *[
@@ -149,7 +155,7 @@ def judged(measured: DataFrame, proven: DataFrame) -> DataFrame:
         .withColumn("base_failed", base)
         .withColumn("rejected_by", broken)
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-        .drop(*[f"cut_{rule}" for rule in RULES])
+        .drop("text_key", *[f"cut_{rule}" for rule in RULES])
     )
 
 
@@ -163,9 +169,7 @@ def judge(docs: DataFrame, labels: DataFrame, share: float = FALSE_REJECTIONS, r
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that are rejected; all columns as they were. Rows that share an id
-    go together, if one of them is rejected."""
-    rejected = judge(docs, labels).filter(~F.col("kept")).select(F.col("id").alias("rejected_id")).distinct()
-    return docs.join(
-        written(rejected, "rejected"), docs[f"`{id_col}`"].eqNullSafe(F.col("rejected_id")), "left_anti"
-    )
+    """``docs`` without those that are rejected; all columns as they were, whatever they are
+    called. Rows that share an id go together, if one of them is rejected."""
+    rejected = judge(docs, labels).filter(~F.col("kept")).select("id").distinct()
+    return without_ids(docs, id_col, written(rejected, "rejected"))

@@ -122,7 +122,8 @@ WITH docs AS (
     ('symbols', [2000, 1000, 500, 250, 120, 60, 30, 10]), ('dup_lines', [800, 650, 500, 400, 340, 300, 250, 200, 150, 100]),
     ('repeats', [900, 700, 500, 400, 300, 250, 200, 150, 100]), ('word_chars', [20000, 14000, 11000, 9500, 8500, 7500, 7000])) v(rule, cuts)
 ), good AS (
-  SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
+  SELECT min(doc_id) AS doc_id FROM docs
+  WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) GROUP BY stratum, t
 ), counted AS (
   SELECT stratum, rule, step, cutoff, count(*) AS n, count_if(value > cutoff) AS k
   FROM valued JOIN good USING (doc_id) JOIN steps USING (rule) GROUP BY ALL
@@ -160,9 +161,14 @@ WITH words AS (
   SELECT 'doc' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents
   UNION ALL
   SELECT 'item', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') FROM benchmark
+), spans AS (
+  SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE side = 'item' AND len(w) > 0
+), sided AS (
+  SELECT side, id, w, k FROM words JOIN spans ON side = 'doc' AND len(w) >= k
+  UNION ALL SELECT side, id, w, least(len(w), 5) FROM words WHERE side = 'item' AND len(w) > 0
 ), runs AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run
-  FROM words WHERE len(w) >= 5
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS run
+  FROM sided
 ), sizes AS (
   SELECT id, count(*) AS n FROM runs WHERE side = 'item' GROUP BY id
 ), shared AS (
