@@ -90,6 +90,19 @@ def test_written_shards_in_slot_order_with_buckets_by_bytes(spark, tmp_path):
         assert [x for f in sorted(spans) for x in spans[f]] == sorted(r.slot for r in files)
 
 
+def test_records_with_maps_and_few_files(spark, tmp_path):
+    records = spark.range(300).selectExpr("id", "map('k', id) AS m", "array(map('a', 1)) AS bucket", "id AS place", "id AS shard")
+    dealt = sharding.shard_rows(records, 4, bucket_rows=20)
+    rows = dealt.collect()
+    check(rows, 4, 300)
+    assert all(r.record.m == {"k": r.record.id} for r in rows)
+    plan = dealt._jdf.queryExecution().toString() if hasattr(dealt, "_jdf") else ""
+    assert "SinglePartition" not in plan.split("== Physical Plan ==")[-1]
+    sharding.write_shards(dealt, str(tmp_path / "out"))
+    files = sharding.read_shards(spark, str(tmp_path / "out"), dealt.schema).select("shard", F.input_file_name().alias("f")).distinct().count()
+    assert files <= 4 + dealt.rdd.getNumPartitions()
+
+
 def test_empty_table_of_shards(spark, tmp_path):
     records = spark.createDataFrame([], "doc_id long, text string, size long")
     dealt = sharding.shard_rows(records, 4, size="size")

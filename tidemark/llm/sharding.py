@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.shared import written
+from tidemark.operators.prefix import running_totals
 
 BUCKET_ROWS = 16_384
 BUCKET_BYTES = 32 << 20
@@ -45,20 +46,21 @@ def shuffled(scattered: DataFrame, seed: int) -> DataFrame:
     """Second pass: a Fisher-Yates shuffle of each bucket, and each record's ``place``.
 
     Buckets follow one another by number, so ``place`` counts without gaps from 0 over all
-    records. A bucket is put in ticket order before it is shuffled, and the buckets of a task
-    come in the order of their numbers, so a task that is run again shuffles alike. Buckets go to
-    tasks by ranges of their numbers, so partitions come in the order of their places.
+    records. A bucket is put in ticket order before it is shuffled, so a task that is run again
+    shuffles alike. Buckets go to tasks by ranges of their numbers, so partitions come in the
+    order of their places. The table of first places has a row per bucket; Spark broadcasts it
+    while it is small, and whole records then move once.
     """
     sizes = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    # One row per bucket, so this window is the number of buckets long.
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
-    # Broadcast, so that the whole records move once.
+    starts = written(
+        running_totals(sizes, [], ["bucket"], ["rows"], "buckets").select("bucket", F.col("rows_before").alias("start")), "starts"
+    )
+    earlier = lambda a, b: F.signum(a["ticket"] - b["ticket"]).cast("int")
     decks = (
-        scattered.repartitionByRange("bucket")
-        .groupBy("bucket")
-        .agg(F.array_sort(F.collect_list(F.struct("ticket", "record"))).alias("deck"))
-        .join(F.broadcast(starts), "bucket")
+        scattered.join(starts, "bucket")
+        .repartitionByRange("bucket")
+        .groupBy("bucket", "start")
+        .agg(F.array_sort(F.collect_list(F.struct("ticket", "record")), earlier).alias("deck"))
         .sortWithinPartitions("bucket")
     )
     return decks.select(
@@ -76,15 +78,18 @@ def shard_rows(
 ) -> DataFrame:
     """``record`` (a struct with all columns of the input), ``shard`` and ``slot``.
 
-    Records are dealt round robin in shuffled order: row counts of shards differ by one at most
-    and slots are gapless from 0. Null values, repeated rows and clashing column names do not
-    matter, since a record is never looked into; an empty table gives no rows.
+    Shards are equal ranges of the shuffled order: their row counts differ by one at most, slots
+    are gapless from 0, and a task writes to few shards. Null values, repeated rows, columns of any
+    type and clashing names do not matter, since a record is never looked into; an empty table
+    gives no rows.
     """
-    dealt = shuffled(scatter(records, seed, bucket_rows, bucket_bytes, size), seed)
+    scattered = scatter(records, seed, bucket_rows, bucket_bytes, size)
+    rows = max(1, scattered.count())
+    dealt = shuffled(scattered, seed).withColumn("shard", F.expr(f"place * {shards}L div {rows}L"))
     return dealt.select(
         "record",
-        F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("place") / shards).cast("long").alias("slot"),
+        F.col("shard").cast("int").alias("shard"),
+        F.expr(f"place - (shard * {rows}L + {shards - 1}L) div {shards}L").alias("slot"),
     )
 
 
