@@ -55,4 +55,4 @@ def test_awkward_documents_go_through(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
