@@ -21,6 +21,8 @@ from tidemark.session import materialise
 SOURCES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 UNIVERSE_SQL = "[" + ", ".join(f"'{u}'" for u in UNIVERSE) + "]"
 AS_OF = "2024-06-01"
+# The default of 4000 tokens, in characters.
+BUDGET = 4000 * 4
 
 
 def word_of_brand(ticker: str = "ticker"):
@@ -33,8 +35,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as queries with the tickers they mention and a source type."""
     source = F.element_at(F.array(*[F.lit(s) for s in SOURCES]), (F.col("item_id") % 5 + 1).cast("int"))
     rows = b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), source.alias("source"), "text")
-    mentioned = t.mentioned_tickers(F.col("text"), UNIVERSE, [], UNIVERSE[:5])
-    return once(rows, "tickers", mentioned)
+    return with_tickers(rows)
+
+
+def with_tickers(rows: DataFrame) -> DataFrame:
+    return once(rows, "tickers", t.mentioned_tickers(F.col("text"), UNIVERSE, [], UNIVERSE[:5]))
 
 
 def word_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,15 +61,19 @@ def status_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ep.accuracy_counts(b.table(spark, sf_dir, "orders").select(outcome.alias("was_correct")))
 
 
-QUESTIONS_SQL = f"""
-mention AS (SELECT item_id AS query_id, item_id % 5 AS s, list_filter({UNIVERSE_SQL}, lambda u: list_contains(toks, lower(u))) AS found
-  FROM (SELECT item_id, {TOKEN_SQL.format(text='text')} AS toks FROM benchmark)),
-questions AS (SELECT query_id, list_extract({SOURCES}, s + 1) AS source,
-  CASE WHEN len(found) > 0 THEN found ELSE {UNIVERSE_SQL}[1:5] END AS tickers FROM mention),
+QUESTION_ROWS_SQL = f"SELECT item_id AS query_id, list_extract({SOURCES}, item_id % 5 + 1) AS source, text FROM benchmark"
+
+
+def questions_sql(rows: str) -> str:
+    return f"""
+mention AS (SELECT query_id, source, list_filter({UNIVERSE_SQL}, lambda u: list_contains(toks, lower(u))) AS found
+  FROM (SELECT query_id, source, {TOKEN_SQL.format(text='text')} AS toks FROM ({rows}))),
+questions AS (SELECT query_id, source, CASE WHEN len(found) > 0 THEN found ELSE {UNIVERSE_SQL}[1:5] END AS tickers FROM mention),
 places AS (SELECT query_id, source, u.ticker, u.place FROM questions,
   (SELECT unnest(tickers) AS ticker, unnest(range(len(tickers))) AS place) u),"""
 
-SEMANTIC_SQL = QUESTIONS_SQL + FACTS_SQL + f""",
+
+SEMANTIC_SQL = FACTS_SQL + f""",
 fact_lines AS (SELECT list_extract({UNIVERSE_SQL}, CAST(replace(ticker, 'Brand#', '') AS INTEGER)) AS ticker,
   string_agg(content, ' | ' ORDER BY pos) AS facts FROM ranked WHERE pos <= 3 GROUP BY ticker),
 sig AS (SELECT list_extract({UNIVERSE_SQL}, CAST(replace(ticker, 'Brand#', '') AS INTEGER)) AS ticker, article_idx, date, config,
@@ -81,32 +90,24 @@ semantic AS (SELECT q.query_id, coalesce(string_agg(section, chr(10) ORDER BY p)
   FROM questions q LEFT JOIN running r ON q.query_id = r.query_id AND upto <= {{limit}} GROUP BY q.query_id)"""
 
 
-def semantic_sql(limit: int) -> str:
-    return b.predictions_sql(b.FIVE_BRANDS, "sem_pred") + "," + SEMANTIC_SQL.replace("{limit}", str(limit))
+def semantic_sql(rows: str = QUESTION_ROWS_SQL) -> str:
+    return b.predictions_sql(b.FIVE_BRANDS, "sem_pred") + "," + questions_sql(rows) + SEMANTIC_SQL.replace("{limit}", str(BUDGET))
 
 
-def semantic(spark: SparkSession, sf_dir: str, asked: DataFrame, max_tokens: int = 4000) -> DataFrame:
+def semantic(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     return cx.semantic_context(
-        asked, word_facts(spark, sf_dir), word_signals(spark, sf_dir), status_accuracy(spark, sf_dir),
-        moment(AS_OF), max_tokens,
+        asked, word_facts(spark, sf_dir), word_signals(spark, sf_dir), status_accuracy(spark, sf_dir), moment(AS_OF)
     )
 
 
-@BOOK.add("semantic_context", "WITH " + semantic_sql(400) + "\nSELECT query_id, length(packed) AS chars, md5(packed) AS digest FROM semantic")
+@BOOK.add("semantic_context", "WITH " + semantic_sql() + "\nSELECT query_id, length(packed) AS chars, md5(packed) AS digest FROM semantic")
 def semantic_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = semantic(spark, sf_dir, materialise(questions(spark, sf_dir), "questions"), 100)
-    return packed.select("query_id", F.length("packed").cast("long").alias("chars"), F.md5("packed").alias("digest"))
-
-
-@BOOK.add("semantic_context_whole", "WITH " + semantic_sql(4000 * 4) + "\nSELECT query_id, length(packed) AS chars, md5(packed) AS digest FROM semantic")
-def semantic_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``semantic_context``, at the operator's default budget."""
     packed = semantic(spark, sf_dir, materialise(questions(spark, sf_dir), "questions"))
     return packed.select("query_id", F.length("packed").cast("long").alias("chars"), F.md5("packed").alias("digest"))
 
 
 FULL_SQL = (
-    EPISODE_CTES + "," + b.category_sql() + "," + b.rules_sql("counts") + "," + semantic_sql(4000 * 4) + f""",
+    EPISODE_CTES + "," + b.category_sql() + "," + b.rules_sql("counts") + "," + semantic_sql() + f""",
 rules_text AS (SELECT '[BEHAVIORAL RULES LEARNED FROM EXPERIENCE]' || chr(10) || string_agg(
     '  [' || CASE WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END
     || ' confidence, ' || evidence_count || ' observations] ' || rule_text, chr(10) ORDER BY confidence DESC, rule_id) AS txt
@@ -125,41 +126,29 @@ joined AS (SELECT s.query_id, concat_ws(chr(10) || chr(10), (SELECT txt FROM rul
 )
 
 
-def full_sql(limit: int) -> str:
-    return FULL_SQL + f"""
-SELECT query_id, md5(CASE WHEN length(context) > {limit} THEN left(context, {limit}) || chr(10) || '[... memory truncated to fit context window]' ELSE context END) AS digest,
-       length(context) > {limit} AS was_cut FROM joined"""
-
-
-def built_context(spark: SparkSession, sf_dir: str, **budget: int) -> DataFrame:
+def built_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = materialise(questions(spark, sf_dir), "questions")
     by_brand = materialise(loop_episodes(spark, sf_dir), "episodes")
     seen = by_brand.withColumns({"ticker": word_of_brand(), "lesson": F.lit(None).cast("string")})
     counts = ep.category_counts(by_brand)
     rules = rounded(ru.generate_rules(by_brand, F.current_date()), "confidence")
-    meaning = semantic(spark, sf_dir, asked)
-    return cx.full_context(asked, rules, seen, counts, meaning, [F.asc("article_idx")], **budget)
+    return cx.full_context(asked, rules, seen, counts, semantic(spark, sf_dir, asked), [F.asc("article_idx")])
 
 
-def context_digest(built: DataFrame) -> DataFrame:
+@BOOK.add(
+    "full_context",
+    FULL_SQL + f"""
+SELECT query_id, md5(CASE WHEN length(context) > {BUDGET} THEN left(context, {BUDGET}) || chr(10) || '[... memory truncated to fit context window]' ELSE context END) AS digest,
+       length(context) > {BUDGET} AS was_cut FROM joined""",
+)
+def full_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, experiences, semantic memory and track record for every benchmark text."""
     suffix = "\n[... memory truncated to fit context window]"
-    return built.select(
+    return built_context(spark, sf_dir).select(
         "query_id", F.md5("context").alias("digest"), F.endswith("context", F.lit(suffix)).alias("was_cut")
     )
 
 
-@BOOK.add("full_context", full_sql(600))
-def full_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, experiences, semantic memory and track record for every benchmark text, cut short with the note."""
-    return context_digest(built_context(spark, sf_dir, max_tokens=150))
-
-
-@BOOK.add("full_context_whole", full_sql(4000 * 4))
-def full_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``full_context``, at the operator's default budget."""
-    return context_digest(built_context(spark, sf_dir))
-
-
 @BOOK.add(
     "episode_prompt_lines",
     EPISODE_CTES + """

@@ -246,20 +246,14 @@ def prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "memory_updates",
-    """WITH u AS (SELECT doc_id, unnest([left(text, 30), '  ', right(text, 20)]) AS text FROM documents)
+    """WITH u AS (SELECT doc_id, unnest([text, '  ']) AS text FROM documents)
 SELECT count(*) AS updates, count(DISTINCT """ + strip_sql("text") + """) AS texts FROM u WHERE """ + strip_sql("text") + """ <> ''""",
 )
 def memory_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts and ends of texts an analysis asks to remember; blanks and other kinds are left out."""
-    return update_counts(spark, sf_dir, F.array(F.left("text", F.lit(30)), F.lit("  "), F.right("text", F.lit(20))))
-
-
-def update_counts(spark: SparkSession, sf_dir: str, updates: Column) -> DataFrame:
-    """How many texts, and how many different ones, analyses with these updates ask to remember."""
+    """Texts that analyses ask to remember, and how many differ; blanks and other kinds are left out."""
     parsed = documents(spark, sf_dir).select(
         F.parse_json(F.concat(
-            F.lit('{"event_type": "note", "memory_updates": '),
-            F.to_json(updates), F.lit("}"),
+            F.lit('{"event_type": "note", "memory_updates": '), F.to_json(F.array("text", F.lit("  "))), F.lit("}"),
         )).alias("analysis"),
         F.lit("2024-01-01").alias("observed_at"), "source",
     )
@@ -267,16 +261,6 @@ def update_counts(spark: SparkSession, sf_dir: str, updates: Column) -> DataFram
     return found.agg(F.count("*").alias("updates"), F.countDistinct(t.strip(F.col("text"))).alias("texts"))
 
 
-@BOOK.add(
-    "memory_updates_whole",
-    """WITH u AS (SELECT doc_id, unnest([text, '  ']) AS text FROM documents)
-SELECT count(*) AS updates, count(DISTINCT """ + strip_sql("text") + """) AS texts FROM u WHERE """ + strip_sql("text") + """ <> ''""",
-)
-def memory_updates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``memory_updates``, with whole texts beside the blank."""
-    return update_counts(spark, sf_dir, F.array("text", F.lit("  ")))
-
-
 @BOOK.add(
     "html_strip",
     "SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS chars, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS digest FROM pages",
@@ -303,18 +287,8 @@ def unseen_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "article_text",
-    "SELECT page_id, url || '. ' || coalesce(CASE WHEN page_id % 3 = 0 THEN NULL ELSE left(html, 50) END, '') AS text FROM pages",
-)
-def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    description = F.when(F.col("page_id") % 3 != 0, F.left("html", F.lit(50)))
-    return b.table(spark, sf_dir, "pages").select("page_id", pr.article_text(F.col("url"), description).alias("text"))
-
-
-@BOOK.add(
-    "article_text_whole",
     "SELECT page_id, url || '. ' || coalesce(CASE WHEN page_id % 3 = 0 THEN NULL ELSE html END, '') AS text FROM pages",
 )
-def article_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``article_text``, with the whole html as the description."""
+def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     description = F.when(F.col("page_id") % 3 != 0, F.col("html"))
     return b.table(spark, sf_dir, "pages").select("page_id", pr.article_text(F.col("url"), description).alias("text"))
