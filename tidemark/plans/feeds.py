@@ -274,6 +274,27 @@ def feed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only.groupBy("source_type", "date").agg(F.count("*").alias("events"))
 
 
+@BOOK.add(
+    "newest_events",
+    "WITH " + papers_sql() + f""",
+j AS (SELECT doc_id, ticker, {DAY_SQL} AS date, trim(title || ' hiring') AS title FROM d
+      UNION ALL SELECT doc_id, ticker, {DAY_SQL}, '<b>' || replace(title, ']]>', '') || '</b> layoff' FROM d),
+u AS (SELECT 'arxiv' AS source_type, paper_ticker AS ticker, day AS date, 'arXiv: ' || full_title AS title, 'http://p/' || doc_id AS url FROM papers
+      UNION ALL SELECT 'job', ticker, date, 'Hiring signal: ' || title, 'http://x/' || doc_id FROM j
+        WHERE regexp_matches(lower(title), 'hiring|job|layoff|workforce|engineer|recruit'))
+SELECT CAST(row_number() OVER (ORDER BY date DESC, source_type, ticker, title, url) AS INTEGER) AS place, source_type, ticker, date, md5(title) AS title, url
+FROM u QUALIFY place <= 200""",
+)
+def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two hundred newest events of two sources, numbered as they are listed: a top-k listing."""
+    rows = items(spark, sf_dir)
+    events = feeds.all_events(feeds.arxiv_events(atom(rows)), feeds.job_events(rss(rows), as_of()))
+    listed = feeds.newest_events(events, 200).select("source_type", "ticker", "date", "title", "url")
+    # Two hundred rows, in the order of the listing.
+    numbered = listed.groupBy().agg(F.collect_list(F.struct("*")).alias("rows")).select(F.posexplode("rows").alias("at", "e"))
+    return numbered.select((F.col("at") + 1).alias("place"), "e.*").withColumn("title", F.md5("title"))
+
+
 @BOOK.add(
     "significance",
     "WITH " + ITEMS_SQL + """

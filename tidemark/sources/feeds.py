@@ -102,12 +102,13 @@ def rss_items(payloads: DataFrame, keep: list[str], first: int | None = None) ->
     return _items(payloads, items, keep, first).select(*keep, "pos", "item.*")
 
 
-def rss_articles(payloads: DataFrame, first: int | None = None) -> DataFrame:
-    """RSS items with a title, as articles (``source`` names the feed)."""
-    rows = rss_items(payloads, ["source"], first).filter(t.strip(_or(F.col("title"), "")) != "")
+def rss_articles(payloads: DataFrame, first: int | None = None, keep: list[str] = []) -> DataFrame:
+    """RSS items with a title, as articles (``source`` names the feed), with the columns ``keep`` of
+    their payload."""
+    rows = rss_items(payloads, [*keep, "source"], first).filter(t.strip(_or(F.col("title"), "")) != "")
     clean = lambda name: t.strip(_or(F.col(name), ""))
     return rows.select(
-        "source", "pos", clean("title").alias("title"), clean("link").alias("link"),
+        *keep, "source", "pos", clean("title").alias("title"), clean("link").alias("link"),
         clean("pubDate").alias("published"), clean("description").alias("description"),
     )
 
@@ -207,8 +208,10 @@ def all_events(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 
 
-def newest_events(events: DataFrame) -> DataFrame:
-    return events.orderBy(F.desc("date"))
+def newest_events(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest first; events of a day by source, ticker, title and link. ``limit`` keeps the first."""
+    ordered = events.orderBy(F.desc("date"), "source_type", "ticker", "title", "url")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def recent(events: DataFrame, as_of: Column, days_back: int) -> DataFrame:
