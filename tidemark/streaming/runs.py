@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import facts as fa
-from tidemark.operators.returns import join_as_of
-from tidemark.session import scratch_path
+from tidemark.operators.returns import calendar, join_calendar, panel_start
+from tidemark.session import materialise, scratch_path
 from tidemark.sources import ledger
 
 
@@ -56,18 +56,40 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def run_batches(
-    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
+    state_store: str | None = None,
 ) -> StreamingQuery:
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Process what is available, batch by batch. A ``state_store`` is set for this query alone."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    if state_store:
+        conf.set(name, state_store)
+    try:
+        query = (
+            stream.writeStream.foreachBatch(handle)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set(name, before)
     return query
 
 
+def batch_writer(folder: str) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch to its own folder, so a batch that is run again replaces it."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
 def stream_to_scratch(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     return run_to_table(stream, scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint"))
@@ -109,16 +131,19 @@ def outcome_writer(
 
     The signals that the batch before left open are looked at again with those that arrive, so an
     outcome shows up in the first batch that can know it. Only open signals are carried on, and a
-    batch that is run again reads and writes the same folders.
+    batch that is run again reads and writes the same folders. The calendar of the panel is
+    written once, before the first batch.
     """
     columns = [f"ret_{horizon}", f"end_{horizon}"]
+    start = panel_start(panel)
+    days = materialise(calendar(panel, start).select("ticker", "as_of_day", "start_date", *columns), "calendar")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         signals = batch
         if batch_id > 0:
             waiting = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/open/batch={batch_id - 1}")
             signals = batch.unionByName(waiting)
-        joined = join_as_of(signals, panel, columns, how="left").persist()
+        joined = join_calendar(signals, days, start, how="left").persist()
         known = F.coalesce(F.col(f"end_{horizon}") <= known_until(batch_id), F.lit(False))
         joined.filter(known).write.mode("overwrite").parquet(f"{folder}/known/batch={batch_id}")
         joined.filter(~known).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/open/batch={batch_id}")
