@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.functions.stats import spearman_p_value
-from tidemark.operators.ranks import rank_correlation, weighted_median
+from tidemark.operators.ranks import nested_rank_correlation, rank_correlation, weighted_median
 from tidemark.operators.returns import join_abnormal, join_as_of, unpivot_horizons
 from tidemark.session import materialise
 
@@ -72,6 +72,17 @@ def information_coefficient(
     return by_key.withColumn("ic", F.when(F.col("n") >= min_pairs, F.col("ic")))
 
 
+def batch_information_coefficients(
+    returns: DataFrame, keys: list[str], batch: str = "batch", min_pairs: int = fixed.MIN_PAIRS_RAW
+) -> DataFrame:
+    """``keys, batch, ic, n`` per batch and over all batches of a key (batch null), from one pass
+    over the pairs."""
+    each, whole = nested_rank_correlation(returns, [*keys, batch], keys, "score", "ret")
+    kind = dict(returns.dtypes)[batch]
+    both = each.unionByName(whole.withColumn(batch, F.lit(None).cast(kind)))
+    return both.withColumn("ic", F.when(F.col("n") >= min_pairs, F.col("ic")))
+
+
 def with_significance(ic: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Add the two-sided p-value, its stars and the flag for ``alpha`` to aggregated rows."""
     p = F.col("p_value")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.prefix import running_totals
+from tidemark.operators.prefix import running_totals, sliced_totals
+from tidemark.session import materialise
 
 
-def average_ranks(counts: DataFrame, keys: list[str], value: str, count: str = "n") -> DataFrame:
+def average_ranks(
+    counts: DataFrame, keys: list[str], value: str, count: str = "n", written: bool = False
+) -> DataFrame:
     """Average rank of each distinct value, scaled to (-0.5, 0.5) around the group's middle.
 
     ``counts`` holds one row per (keys, value) with the number of times it occurs. Ties share the
     mean of the positions they take. The scaled form keeps sums exact enough for any group size.
+    ``written`` says that the counts are a written table already.
     """
-    ranked = running_totals(counts, keys, [value], [count], name="ranks")
+    totals = sliced_totals if written else running_totals
+    ranked = totals(counts, keys, [value], [count], name="ranks")
     middle = (F.col(f"{count}_total") + 1) / 2
     rank = F.col(f"{count}_before") + (F.col(count) + 1) / 2
     return ranked.withColumn("rank", (rank - middle) / F.col(f"{count}_total"))
@@ -33,16 +38,43 @@ def rank_correlation(pairs: DataFrame, keys: list[str], x: str, y: str, count: s
     # Counted on the way: few distinct scores are broadcast and the pairs stay where they are,
     # many are shuffled, with AQE splitting a frequent value.
     x_ranks = average_ranks(x_counts, keys, x).select(*keys, x, F.col("rank").alias("x_rank"))
-    by_y = (
-        cells.join(x_ranks, [*keys, x])
-        .groupBy(*keys, y)
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("x_rank")).alias("x_sum"),
-            F.sum(F.col("n") * F.col("x_rank") * F.col("x_rank")).alias("x_square"),
-        )
+    by_y = cells.join(x_ranks, [*keys, x]).groupBy(*keys, y).agg(F.sum("n").alias("n"), *_x_sums("x_rank", "x"))
+    return _correlation(average_ranks(by_y, keys, y), keys)
+
+
+def nested_rank_correlation(
+    pairs: DataFrame, keys: list[str], whole: list[str], x: str, y: str, count: str = "n"
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`rank_correlation` per group of ``keys`` and per group of ``whole``, some of the keys.
+
+    Counts of values add up: those of a whole are the sums of its groups' counts, so a further
+    group only adds its own. Each pair meets the rank that its ``x`` has in its group and in the
+    whole at once and is summed by ``y`` once; the whole is ranked on these sums.
+    """
+    cells = pairs.select(*keys, x, y, F.col(count).alias("n"))
+    x_counts = materialise(cells.groupBy(*keys, x).agg(F.sum("n").alias("n")), "x-counts")
+    in_group = average_ranks(x_counts, keys, x).select(*keys, x, F.col("rank").alias("x_rank"))
+    whole_counts = x_counts.groupBy(*whole, x).agg(F.sum("n").alias("n"))
+    in_whole = average_ranks(whole_counts, whole, x).select(*whole, x, F.col("rank").alias("whole_rank"))
+    by_y = materialise(
+        cells.join(in_group, [*keys, x]).join(in_whole, [*whole, x]).groupBy(*keys, y).agg(
+            F.sum("n").alias("n"), *_x_sums("x_rank", "x"), *_x_sums("whole_rank", "whole")
+        ),
+        "by-y",
+    )
+    of_whole = by_y.groupBy(*whole, y).agg(
+        F.sum("n").alias("n"), F.sum("whole_sum").alias("x_sum"), F.sum("whole_square").alias("x_square")
     )
-    y_ranks = average_ranks(by_y, keys, y)
+    grouped = by_y.drop("whole_sum", "whole_square")
+    return _correlation(average_ranks(grouped, keys, y, written=True), keys), _correlation(average_ranks(of_whole, whole, y), whole)
+
+
+def _x_sums(rank: str, name: str) -> list[Column]:
+    weighted = F.col("n") * F.col(rank)
+    return [F.sum(weighted).alias(f"{name}_sum"), F.sum(weighted * F.col(rank)).alias(f"{name}_square")]
+
+
+def _correlation(y_ranks: DataFrame, keys: list[str]) -> DataFrame:
     return (
         y_ranks.groupBy(*keys)
         .agg(

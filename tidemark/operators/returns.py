@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
+from tidemark.session import materialise
 
 
 def _by_ticker():
@@ -100,6 +101,38 @@ def join_as_of(events: DataFrame, panel: DataFrame, keep: list[str], how: str =
     return join_calendar(events, days, start, how)
 
 
+def scan_as_of(
+    events: DataFrame, prices: DataFrame, keep: list[str], key: str = "ticker", moment: str = "ts", name: str = "as-of"
+) -> DataFrame:
+    """Attach to each event the first price row of its key at or after its moment, as
+    ``start_<moment>`` and the price columns in ``keep``; nulls where there is none.
+
+    For moments of any resolution, where a calendar would be too long. Events and prices are
+    ordered together by key and moment and cut into ranges. A backward scan of a range carries
+    the next price along; where a range has none left, that of the ranges after it is taken, from
+    one row per key and range. Events of one key, or one moment, may fill any number of ranges.
+    """
+    price = F.struct(F.col(moment).alias(f"start_{moment}"), *keep)
+    kind = prices.select(price.alias("price")).schema["price"].dataType
+    asked = events.select(
+        F.col(key).alias("_key"), F.col(moment).alias("_at"), F.lit(0).alias("_order"), F.struct("*").alias("_event"), F.lit(None).cast(kind).alias("_price")
+    )
+    given = prices.select(
+        F.col(key).alias("_key"), F.col(moment).alias("_at"), F.lit(1).alias("_order"),
+        F.lit(None).cast(asked.schema["_event"].dataType).alias("_event"), price.alias("_price"),
+    )
+    salted = asked.unionByName(given).withColumn("_salt", F.xxhash64("_event"))
+    both = materialise(salted.repartitionByRange("_key", "_at", "_order", "_salt").withColumn("_slice", F.spark_partition_id()), name)
+    backward = Window.partitionBy("_key", "_slice").orderBy(F.desc("_at"), F.desc("_order"))
+    carried = F.last("_price", ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # One row per key and range, the first price of each.
+    heads = both.groupBy("_key", "_slice").agg(F.min_by("_price", F.when(F.col("_price").isNotNull(), F.col("_at"))).alias("_head"))
+    later = Window.partitionBy("_key").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_next", F.last("_head", ignorenulls=True).over(later)).select("_key", "_slice", "_next")
+    scanned = both.withColumn("_found", carried).filter("_order = 0").join(heads, ["_key", "_slice"], "left")
+    return scanned.withColumn("_found", F.coalesce("_found", "_next")).select("_event.*", "_found.*")
+
+
 def join_abnormal(
     events: DataFrame, panel: DataFrame, benchmark: DataFrame, horizons: list[int], how: str = "inner"
 ) -> DataFrame:

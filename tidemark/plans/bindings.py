@@ -70,19 +70,17 @@ def market_panel(
 def panels(
     spark: SparkSession, sf_dir: str, brands: list[int], horizons: list[int] = fixed.HORIZONS
 ) -> tuple[DataFrame, DataFrame]:
-    """Written panels of some brands and of the benchmark, from one reading of the lines: both
-    roll up a written table of sums and counts per brand and day."""
-    sums = materialise(
-        priced_lines(spark, sf_dir).groupBy("ticker", "date").agg(F.sum("price").alias("total"), F.count("price").alias("n")),
-        "daily",
-    )
-    close = lambda rows: rows.select("ticker", "date", (F.col("total") / F.col("n")).alias("close"))
-    chosen = close(sums.filter(F.col("ticker").isin([f"Brand#{n}" for n in brands])))
-    whole = close(sums.groupBy(F.lit("ALL").alias("ticker"), "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
-    return (
-        materialise(forward_returns(chosen, horizons), "panel"),
-        materialise(forward_returns(whole, horizons), "benchmark"),
+    """Panels of some brands and of the benchmark, from one reading of the lines and one written
+    table. Other brands fall together before the lines are summed, so the sums are a few rows a
+    day, and these few are added up to the benchmark."""
+    ticker = F.when(F.col("ticker").isin([f"Brand#{n}" for n in brands]), F.col("ticker"))
+    sums = priced_lines(spark, sf_dir).withColumn("ticker", ticker).groupBy("ticker", "date").agg(
+        F.sum("price").alias("total"), F.count("price").alias("n")
     )
+    series = F.explode(F.array_compact(F.array("ticker", F.lit("ALL"))))
+    close = sums.withColumn("ticker", series).groupBy("ticker", "date").agg((F.sum("total") / F.sum("n")).alias("close"))
+    panel = materialise(forward_returns(close, horizons), "panels")
+    return panel.filter("ticker <> 'ALL'"), panel.filter("ticker = 'ALL'")
 
 
 MARKET_SQL = """

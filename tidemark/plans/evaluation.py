@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
 from tidemark.operators import metrics
-from tidemark.operators.returns import forward_returns, join_abnormal, join_as_of
+from tidemark.operators.returns import forward_returns, join_abnormal, join_as_of, scan_as_of
 from tidemark.operators.rules import batch_of
 from tidemark.plans import bindings as b
 from tidemark.plans.book import BOOK
@@ -198,6 +198,24 @@ def asof_next_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joined.withColumn("close", F.col("close") + 1e-9), "close").select("article_idx", "ticker", "date", "start_date", "close")
 
 
+@BOOK.add(
+    "asof_event_time",
+    """WITH e AS (SELECT event_id, ts, user_id % 40 AS ticker, event_type, value FROM events),
+quotes AS (SELECT CAST(ticker AS VARCHAR) AS ticker, ts, max(value) AS price FROM e WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT a.event_id, a.ts, CAST(a.ticker AS VARCHAR) AS ticker, q.ts AS quoted_at, round(q.price, 6) AS price
+FROM (SELECT * FROM e WHERE event_type <> 'purchase') a ASOF LEFT JOIN quotes q ON CAST(a.ticker AS VARCHAR) = q.ticker AND a.ts <= q.ts""",
+)
+def asof_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the first quote at or after their moment; purchases stand in for quotes."""
+    events = b.table(spark, sf_dir, "events").select(
+        "event_id", "ts", (F.col("user_id") % 40).cast("string").alias("ticker"), "event_type", "value"
+    )
+    quotes = events.filter("event_type = 'purchase'").groupBy("ticker", "ts").agg(F.max("value").alias("price"))
+    asked = events.filter("event_type <> 'purchase'").select("event_id", "ts", "ticker")
+    found = scan_as_of(asked, quotes, ["price"], moment="ts").withColumnRenamed("start_ts", "quoted_at")
+    return rounded(found, "price")
+
+
 @BOOK.add(
     "abnormal_return",
     abnormal_sql(b.FIVE_BRANDS, "true", [5]) + """
@@ -224,11 +242,8 @@ UNION ALL SELECT config, NULL, CASE WHEN n >= 10 THEN round(rho, 6) + 0.0 END, n
 def batch_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch, and over the whole run (batch null): ranks of a run do not add up from batches."""
     returns = raw_returns(spark, sf_dir, b.FIVE_BRANDS, [5], ("config", "batch"))
-    # One ranking for both: every pair counts for its batch and for the run, which is batch -1.
-    both = returns.withColumn("batch", F.explode(F.array("batch", F.lit(-1).cast("long"))))
-    ic = metrics.information_coefficient(both, ["config", "batch"])
-    run = ic.withColumn("batch", F.nullif("batch", F.lit(-1)))
-    return rounded(run, "ic").select("config", "batch", "ic", "n")
+    ic = metrics.batch_information_coefficients(returns, ["config"])
+    return rounded(ic, "ic").select("config", "batch", "ic", "n")
 
 
 @BOOK.add(
