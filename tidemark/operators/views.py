@@ -88,3 +88,19 @@ def tickers_found(signals: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_seconds(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("seconds", run_seconds(F.col("time_seconds"), F.col("time_ms")))
+
+
+def first_predictions(
+    predictions: DataFrame, models: list[str], order: list[str], fields: list[str] = ["signal", "seconds"]
+) -> DataFrame:
+    """One row per article with, for each model, the ``fields`` of its first row by ``order`` (that
+    must tell the rows of an article apart), as ``<model>_<field>``; null where it has none.
+
+    The place of the first row is found on narrow columns, and its fields are fetched then.
+    """
+    keys = ["config", "article_idx"]
+    place = F.struct(*order)
+    first = predictions.groupBy(*keys).agg(F.min(place).alias("_first"))
+    rows = predictions.withColumn("_first", place).join(first, [*keys, "_first"])
+    wide = rows.groupBy("article_idx").pivot("config", models).agg(F.first(F.struct(*fields)))
+    return wide.select("article_idx", *[F.col(f"`{m}`.{f}").alias(f"{m}_{f}") for m in models for f in fields])

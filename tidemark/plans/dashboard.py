@@ -156,6 +156,39 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.compare_models(signals, ["model0", "model1", "model2"], keys=["article_idx", "ticker"])
 
 
+@BOOK.add(
+    "article_models",
+    """WITH lines AS (
+  SELECT 'model' || v.v AS config, o_orderkey AS article_idx, CAST(o_orderdate AS DATE) - CAST(r.r AS INTEGER) % 2 AS date, r.r AS place,
+    '{"A":' || (o_orderkey % 7 + r.r) || '}' AS signal,
+    CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 50 / 1000 ELSE (o_totalprice + r.r) / 100000 END AS seconds
+  FROM orders CROSS JOIN (VALUES (0), (1), (2)) v(v) CROSS JOIN (VALUES (0), (1), (2)) r(r)
+  WHERE (o_orderkey + v.v) % 5 <> 0 AND (r.r = 0 OR o_orderkey % 4 = 0)),
+firsts AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY config, article_idx ORDER BY date, place) = 1)
+SELECT article_idx, max(signal) FILTER (config = 'model0') AS model0_signal, max(signal) FILTER (config = 'model1') AS model1_signal,
+  max(signal) FILTER (config = 'model2') AS model2_signal, round(max(seconds) FILTER (config = 'model0'), 9) AS model0_seconds,
+  round(max(seconds) FILTER (config = 'model1'), 9) AS model1_seconds, round(max(seconds) FILTER (config = 'model2'), 9) AS model2_seconds
+FROM firsts GROUP BY article_idx""",
+)
+def article_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first prediction of every model for an article, with its signal and duration; a quarter
+    of the articles have two further rows per model, one of them of an earlier day."""
+    models = F.explode(F.array(*[F.lit(v) for v in range(3)]))
+    repeats = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    rows = b.table(spark, sf_dir, "orders").select("*", models.alias("v")).select("*", F.explode(repeats).alias("place"))
+    rows = rows.filter((F.col("o_orderkey") + F.col("v")) % 5 != 0)
+    timed = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.0)).otherwise((F.col("o_totalprice") + F.col("place")) / 100000)
+    lines = rows.select(
+        F.concat(F.lit("model"), "v").alias("config"), F.col("o_orderkey").alias("article_idx"),
+        F.date_sub(F.col("o_orderdate").cast("date"), F.col("place") % 2).alias("date"), "place",
+        F.concat(F.lit('{"A":'), F.col("o_orderkey") % 7 + F.col("place"), F.lit("}")).alias("signal"),
+        timed.alias("time_seconds"), (F.col("o_totalprice") / 50).alias("time_ms"),
+    )
+    names = ["model0", "model1", "model2"]
+    found = views.first_predictions(views.with_seconds(lines), names, ["date", "place"])
+    return rounded(found, *[f"{name}_seconds" for name in names], digits=9)
+
+
 @BOOK.add(
     "tickers_found",
     "WITH " + b.predictions_sql(b.FIVE_BRANDS) + """

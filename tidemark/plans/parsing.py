@@ -264,8 +264,9 @@ def direction_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.select("article_idx", "ticker", direction(F.col("score")).alias("predicted_direction"))
 
 
-def written_lines(spark: SparkSession, sf_dir: str) -> str:
-    """Prediction lines as files, one folder per model, with blank and broken lines among them."""
+def written_lines(spark: SparkSession, sf_dir: str, broken: bool = True) -> str:
+    """Prediction lines as files, one folder per model, with blank lines and, unless ``broken`` is
+    false, broken ones among them."""
     rows = responses(spark, sf_dir)
     line = F.to_json(F.struct(
         F.when(F.col("o_orderkey") % 5 == 0, "error").otherwise("success").alias("status"),
@@ -275,7 +276,8 @@ def written_lines(spark: SparkSession, sf_dir: str) -> str:
         F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") / 100000).alias("time_seconds"),
         (F.col("o_totalprice") / 50).alias("time_ms"),
     ))
-    text = F.when(F.col("o_orderkey") % 11 == 0, F.concat(line, F.lit("\n\n{broken"))).otherwise(line)
+    extra = F.concat(F.lit("\n\n{broken "), F.col("o_orderkey")) if broken else F.lit("\n\n")
+    text = F.when(F.col("o_orderkey") % 11 == 0, F.concat(line, extra)).otherwise(line)
     path = scratch_path(spark, "prediction-lines")
     rows.select(F.concat(F.lit("predictions_"), F.col("o_orderstatus")).alias("model"), text.alias("value")).write.partitionBy(
         "model"
@@ -300,6 +302,43 @@ def model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing(pr.successful(rows), ["filled"])
 
 
+@BOOK.add(
+    "broken_lines",
+    f"SELECT {MODEL_CASE} AS config, '{{broken ' || o_orderkey AS line FROM orders WHERE o_orderkey % 11 = 0",
+)
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines on which a strict read of the prediction files fails."""
+    return pr.broken_lines(spark, written_lines(spark, sf_dir), MODEL_FILES)
+
+
+@BOOK.add(
+    "strict_predictions",
+    f"""SELECT {MODEL_CASE} AS config, o_orderkey AS article_idx, CASE WHEN o_orderkey % 5 = 0 THEN 'error' ELSE 'success' END AS status,
+  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders""",
+)
+def strict_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction files without a broken line, read so that one would fail the query."""
+    rows = pr.read_models(spark, written_lines(spark, sf_dir, broken=False), MODEL_FILES, strict=True)
+    return rows.select("config", "article_idx", "status", "date")
+
+
+@BOOK.add(
+    "article_files",
+    """SELECT doc_id AS article_idx, md5(source || ' ' || doc_id) AS title, md5(text) AS text,
+  CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS VARCHAR) AS date, CASE WHEN doc_id % 4 <> 0 THEN source END AS source FROM documents""",
+)
+def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article lines, some without a source and with fields nobody asked for, written and read back."""
+    path = scratch_path(spark, "articles")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("string")
+    b.spread_table(spark, sf_dir, "documents", "doc_id").select(
+        F.col("doc_id").alias("article_idx"), F.concat_ws(" ", "source", "doc_id").alias("title"), "text", day.alias("date"),
+        F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source"), F.col("n_chars").alias("other"),
+    ).write.json(path)
+    rows = pr.read_articles(spark, path)
+    return rows.select("article_idx", F.md5("title").alias("title"), F.md5("text").alias("text"), "date", "source")
+
+
 @BOOK.add(
     "run_summary",
     f"""WITH t AS (SELECT {MODEL_CASE} AS config, o_orderkey % 5 <> 0 AS ok,
@@ -362,28 +401,6 @@ def duration_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "metrics_export",
-    "WITH " + b.predictions_sql(b.SEVEN_BRANDS) + """
-SELECT config, count(*) AS predictions, round(avg(score), 6) + 0.0 AS mean_score FROM pred GROUP BY config""",
-)
-def metrics_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics documents of stand-in values, written as JSON and read back."""
-    signals = b.predictions(spark, sf_dir, b.SEVEN_BRANDS)
-    ic = signals.groupBy("config").agg(F.avg("score").alias("ic"), F.count("*").alias("n")).withColumn("horizon", F.lit(5))
-    accuracy = signals.groupBy("config").agg(
-        F.lit(0.5).alias("accuracy"), F.lit(0).alias("correct"), F.count("*").alias("total")
-    )
-    path = scratch_path(spark, "metrics")
-    pr.metrics_documents(ic, accuracy, signals).write.json(path)
-    stored = pr.read_metrics(spark, path)
-    return rounded(stored.select(
-        "config",
-        F.get_json_object("document", "$.predictions").cast("long").alias("predictions"),
-        F.get_json_object("document", "$.ic_by_horizon.5.ic").cast("double").alias("mean_score"),
-    ), "mean_score")
-
-
-@BOOK.add(
-    "metrics_export_evaluated",
     raw_sql(b.SEVEN_BRANDS) + "," + b.SPEARMAN_SQL.format(keys="config, horizon") + "," + P_VALUE_SQL + """,
 counts AS (SELECT config, count(*) AS predictions FROM pred GROUP BY config),
 accuracy AS (SELECT config, CAST(count_if((score > 0) = (ret > 0)) AS BIGINT) AS correct, count(*) AS total FROM pairs WHERE horizon = 5 GROUP BY config)
@@ -391,7 +408,7 @@ SELECT config, predictions, horizon, CASE WHEN n >= 10 THEN round(rho, 6) + 0.0
   round(correct / total, 6) AS accuracy, correct, total
 FROM tail JOIN counts USING (config) JOIN accuracy USING (config)""",
 )
-def metrics_export_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics documents of an evaluation, written as JSON and read back with all their fields."""
     returns = raw_returns(spark, sf_dir, b.SEVEN_BRANDS, fixed.HORIZONS)
     ic = metrics.with_significance(metrics.information_coefficient(returns, ["config", "horizon"]))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.scoring import score_articles
+from tidemark.operators import facts as fa
 from tidemark.plans import bindings as b
 from tidemark.plans.book import BOOK
 from tidemark.plans.evaluation import rounded
 from tidemark.plans.facts import facts, moment
 from tidemark.session import scratch_path
 from tidemark.sources import ledger
-from tidemark.streaming import runs
+from tidemark.streaming import fact_state, runs
 
 TRADE_ID = ["kind", "created_at", "strategy", "symbol", "side", "quantity", "price", "notional", "source"]
 
@@ -95,6 +99,24 @@ def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("ids"))
 
 
+@BOOK.add(
+    "ledger_stored",
+    "WITH " + TRADES_SQL + """
+SELECT 'trade' AS kind, created_at, strategy, symbol, side, quantity, price, round(notional, 4) AS notional, 16 AS id_chars
+FROM checked WHERE reason IS NULL""",
+)
+def ledger_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the ledger as it is read back after two appends."""
+    path = scratch_path(spark, "ledger")
+    valid = ledger.accepted(ledger.with_trade_fields(trades(spark, sf_dir)), TRADE_ID)
+    for strategy in ("F", "O"):
+        ledger.append_ledger(valid.filter(F.col("strategy") == strategy), path)
+    stored = spark.read.schema(valid.schema).json(path)
+    return rounded(stored.withColumn("id_chars", F.length("record_id")), "notional", digits=4).select(
+        "kind", "created_at", "strategy", "symbol", "side", "quantity", "price", "notional", "id_chars"
+    )
+
+
 @BOOK.add(
     "eval_ledger",
     """SELECT status, reject_reason, count(*) AS n FROM (
@@ -141,21 +163,31 @@ def ledger_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streaming --------------------------------------------------------------------------------
 SLICES = 5
+FILE_ROWS = 500_000
 
 
 def landed(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """``rows`` as a stream of files that arrive one after the other, in the order of a column."""
+    """``rows`` as a stream of files that arrive one after the other, in the order of a column.
+
+    The rows are cut into slices in one pass; a slice is several files of bounded size, which are
+    then put down slice by slice, so that the stream sees no file before those of earlier slices.
+    """
     spark = rows.sparkSession
-    path = scratch_path(spark, name)
+    staged, path = scratch_path(spark, f"{name}-staged"), scratch_path(spark, name)
     at = F.col(order)
     if dict(rows.dtypes)[order] in ("date", "timestamp"):
         at = at.cast("timestamp").cast("long")
     shares = [k / SLICES for k in range(1, SLICES)]
-    cuts = rows.agg(F.percentile_approx(at, shares)).first()[0] or []
-    place = sum((F.when(at > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    cuts, count = rows.agg(F.percentile_approx(at, shares), F.count("*")).first()
+    place = sum((F.when(at > cut, 1).otherwise(0) for cut in cuts or []), F.lit(0))
+    files = max(1, math.ceil(count / SLICES / FILE_ROWS))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+    sliced = rows.withColumns({"_slice": place, "_file": spread}).repartition(SLICES * files, "_slice", "_file").drop("_file")
+    sliced.write.partitionBy("_slice").parquet(staged)
+    stored = spark.read.schema(StructType([*rows.schema.fields, StructField("_slice", IntegerType())])).parquet(staged)
     for k in range(SLICES):
-        rows.filter(place == k).coalesce(1).write.mode("append").parquet(path)
-    return runs.file_stream(spark, path, rows.schema, files_per_trigger=1)
+        stored.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(path)
+    return runs.file_stream(spark, path, rows.schema, files_per_trigger=files)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +267,45 @@ def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.current_facts(spark, folder, stream.schema, moment("2024-06-01")).select("id")
 
 
+READS_SQL = """
+f AS (SELECT doc_id AS id, doc_id % 200 AS created, doc_id % 200 + CASE WHEN quality = 1 AND toxic = 0 THEN 90
+    WHEN quality = 0 AND toxic = 1 THEN 30 ELSE 60 END AS expires, doc_id % 3 AS reads, doc_id % 200 + 5 + doc_id % 30 AS r1
+  FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 200 <= 152),
+counted AS (SELECT *, CAST(reads >= 1 AND r1 <= 152 AND r1 <= created + 30 AND r1 <= expires AS BIGINT) AS first_read FROM f),
+totals AS (SELECT *, first_read + CAST(first_read = 1 AND reads = 2 AND r1 + 20 <= 152 AND r1 + 20 <= expires AS BIGINT) AS access_count FROM counted)"""
+
+
+def fact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as they come, and up to two reads of each, until the present day."""
+    stored = facts(spark, sf_dir).select("id", "created_at", "ticker", "fact_type", "content", "source", "confidence", "expires_at")
+    first = F.col("created_at") + fa.days((5 + F.col("id") % 30).cast("int"))
+    reads = F.slice(F.array(first, first + fa.days(20)), F.lit(1), (F.col("id") % 3).cast("int"))
+    texts = ["ticker", "fact_type", "content", "source", "confidence", "expires_at"]
+    used = stored.select("id", F.explode(reads).alias("at"), F.lit("read").alias("kind"), *[F.lit(None).alias(c) for c in texts])
+    both = stored.select("id", F.col("created_at").alias("at"), F.lit("store").alias("kind"), *texts).unionByName(used)
+    known = both.filter(F.col("at") <= moment("2024-06-01"))
+    return known.withColumns({c: F.col(c).cast("timestamp") for c in ("at", "expires_at")})
+
+
+@BOOK.add(
+    "stream_fact_state",
+    "WITH " + READS_SQL + """
+SELECT id, access_count, CASE WHEN access_count > 0 THEN CAST(DATE '2024-01-01' + CAST(r1 + 20 * (access_count - 1) AS INTEGER) AS VARCHAR) END AS last_read
+FROM totals WHERE expires >= 152 AND NOT (access_count = 0 AND created + 30 < 152)""",
+)
+def stream_fact_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and reads arriving as a stream: access counts are state, facts leave it when they
+    expire or lie idle; what stands at the end equals the batch form."""
+    stream = landed(fact_changes(spark, sf_dir), "fact-changes", "at")
+    folder = scratch_path(spark, "fact-versions")
+    versions = fact_state.fact_versions(stream)
+    runs.run_batches(
+        versions, runs.batch_writer(folder), scratch_path(spark, "fact-versions-checkpoint"), "update", fact_state.STATE_STORE
+    )
+    standing = fact_state.standing_facts(runs.batches(spark, folder), F.lit("2024-06-01").cast("timestamp"))
+    return standing.select("id", "access_count", F.col("last_accessed").cast("date").cast("string").alias("last_read"))
+
+
 @BOOK.add(
     "scoring_hook",
     "SELECT doc_id, 'chars:' || length(text) AS response FROM documents",

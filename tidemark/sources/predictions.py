@@ -54,9 +54,21 @@ def served(predictions: DataFrame) -> DataFrame:
     )
 
 
-def read_models(spark: SparkSession, folder: str, files: dict[str, str]) -> DataFrame:
+def read_models(spark: SparkSession, folder: str, files: dict[str, str], strict: bool = False) -> DataFrame:
     """Many model files in one read, labelled by the name of the file, without its ending, or of a
-    folder it is in; files not named are left out and missing ones simply have no rows."""
+    folder it is in; files not named are left out and missing ones simply have no rows. With
+    ``strict`` a broken line of a named file fails the read; :func:`broken_lines` lists them."""
+    return _fields(model_lines(spark, folder, files), strict, F.col("config"))
+
+
+def broken_lines(spark: SparkSession, folder: str, files: dict[str, str]) -> DataFrame:
+    """``config, line``: the lines, blank ones aside, on which a strict read of the files fails."""
+    filled = model_lines(spark, folder, files).filter(F.trim("value") != "")
+    return filled.filter(F.try_parse_json("value").isNull()).select("config", F.col("value").alias("line"))
+
+
+def model_lines(spark: SparkSession, folder: str, files: dict[str, str]) -> DataFrame:
+    """``value, config``: the text lines of the named files."""
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .text(folder)
@@ -69,7 +81,7 @@ def read_models(spark: SparkSession, folder: str, files: dict[str, str]) -> Data
     label = F.lit(None).cast("string")
     for name, part in files.items():
         label = F.when(F.array_contains(names, part), name).otherwise(label)
-    return _fields(lines.withColumn("config", label).filter("config IS NOT NULL"), False, F.col("config"))
+    return lines.withColumn("config", label).filter("config IS NOT NULL")
 
 
 def usable(predictions: DataFrame) -> DataFrame:
