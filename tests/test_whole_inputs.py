@@ -33,7 +33,7 @@ def test_full_context_reaches_every_section(spark):
     built = contexts.built_context(spark, SF_DIR).collect()
     assert built
     for r in built:
-        assert fixed.TRACK_RECORD_PREFIX + fixed.OVERALL_ACCURACY_LABEL in r.context
+        assert fixed.OVERALL_TRACK_RECORD.partition("{")[0] in r.context
         assert "[MEMORY: " in r.context and not r.context.endswith(fixed.TRUNCATION_SUFFIX)
     assert not any(r.was_cut for r in rows(spark, "full_context"))
 

@@ -149,19 +149,16 @@ INACTIVE_PROFILES = [
 TECHNOLOGY_DYNAMICS = [
     (
         "trapped ion",
-        "Bullish for IONQ/QNT/HON when the event validates trapped-ion hardware;"
-        " company-specific wins can be competitive.",
+        "Bullish for IONQ/QNT/HON when the event validates trapped-ion hardware; company-specific wins can be competitive.",
     ),
     (
         "superconducting",
-        "Bullish for RGTI/IBM when the event validates superconducting hardware;"
-        " broad validation can help smaller pure plays.",
+        "Bullish for RGTI/IBM when the event validates superconducting hardware; broad validation can help smaller pure plays.",
     ),
     ("quantum annealing", "Most relevant to QBTS and optimization workflows."),
     (
         "error correction",
-        "Usually validates gate-based approaches broadly, but score magnitude depends on"
-        " commercial proximity.",
+        "Usually validates gate-based approaches broadly, but score magnitude depends on commercial proximity.",
     ),
     ("government funding", "Usually sector-positive unless funding is explicitly zero-sum."),
 ]
@@ -187,40 +184,34 @@ SEED_FACTS = [
 RULE_FAMILIES = [
     (
         "source", "at_least", 0.65, 10, "source_strong_{key}", 0.95, "source_bias",
-        "Predictions from {key} articles have been {pct}% accurate ({n} observations)."
-        " Assign HIGH conviction when analyzing {key} content.",
+        "Predictions from {key} articles have been {pct}% accurate ({n} observations). Assign HIGH conviction when analyzing {key} content.",
     ),
     (
         "source", "at_most", 0.45, 10, "source_weak_{key}", 0.95, "source_bias",
-        "Predictions from {key} articles have been only {pct}% accurate ({n} observations)."
-        " Be CONSERVATIVE and cap conviction at 0.5 when analyzing {key} content.",
+        "Predictions from {key} articles have been only {pct}% accurate ({n} observations). Be CONSERVATIVE and cap conviction at 0.5 when analyzing {key} content.",
     ),
     (
         "ticker", "at_least", 0.65, 10, "ticker_strong_{key}", 0.95, "ticker_bias",
-        "Predictions for {key} have been {pct}% accurate."
-        " The model has good signal for this ticker.",
+        "Predictions for {key} have been {pct}% accurate. The model has good signal for this ticker.",
     ),
     (
         "ticker", "at_most", 0.40, 10, "ticker_weak_{key}", 0.95, "ticker_bias",
-        "Predictions for {key} have been only {pct}% accurate. Reduce conviction for this ticker"
-        " or consider that the stock may be driven by factors not captured in news.",
+        "Predictions for {key} have been only {pct}% accurate. Reduce conviction for this ticker or consider that the stock may be driven by factors not captured in news.",
     ),
     (
         "bullish", "at_least", 0.60, 15, "direction_bullish_reliable", 1.0, "calibration",
-        "Bullish predictions have been {pct}% accurate."
-        " The model is better at identifying positive catalysts than negative ones.",
+        "Bullish predictions have been {pct}% accurate. The model is better at identifying positive catalysts than negative ones.",
     ),
     (
         "bearish", "at_most", 0.40, 15, "direction_bearish_unreliable", 1.0, "calibration",
-        "Bearish predictions have been only {pct}% accurate. Be cautious with negative signals."
-        " Consider that bad news may already be priced in.",
+        "Bearish predictions have been only {pct}% accurate. Be cautious with negative signals. Consider that bad news may already be priced in.",
     ),
 ]
 OVERALL_RULE_ID = "overall_calibration"
 OVERALL_RULE_MIN = 20
 OVERALL_RULE_CONFIDENCE = 0.9
 OVERALL_RULE_CATEGORY = "calibration"
-OVERALL_RULE_TEXT = "Overall prediction accuracy is {pct}% across {n} predictions. "
+OVERALL_RULE_TEXT = "Overall prediction accuracy is {pct}% across {n} predictions. {verdict}"
 OVERALL_WELL_CALIBRATED = (0.55, 0.70, "Model is well-calibrated.")
 OVERALL_OVERCONFIDENT = (0.50, "Model tends to be overconfident.")
 OVERALL_STRONG = "Model has strong predictive power."
@@ -229,17 +220,19 @@ MODEL_RULE_DEFAULTS = {"confidence": 0.6, "category": "pattern"}
 # --- fixed values: context texts --------------------------------------------------------------
 RULES_HEADER = "[BEHAVIORAL RULES LEARNED FROM EXPERIENCE]"
 EXPERIENCES_HEADER = "[PAST EXPERIENCES]"
-TRACK_RECORD_PREFIX = "[YOUR TRACK RECORD] "
+TRACK_RECORD = "[YOUR TRACK RECORD] Accuracy: {percent} ({correct}/{total} correct predictions)"
+OVERALL_TRACK_RECORD = "[YOUR TRACK RECORD] Overall accuracy: {percent}% ({correct}/{total} correct)"
 TRUNCATION_SUFFIX = "\n[... memory truncated to fit context window]"
 NO_MEMORY_TEXT = "No related memory found."
-ACCURACY_LABEL = "Accuracy: "
-OVERALL_ACCURACY_LABEL = "Overall accuracy: "
-PROMPT_PARTS = [
-    "Source type: ",
-    "\n\nRetrieved memory:\n",
-    "\n\nCurrent input:\n",
-    "\n\nAnalyze the current input using the retrieved memory only where relevant.",
-]
+PROMPT = """Source type: {source}
+
+Retrieved memory:
+{memory}
+
+Current input:
+{text}
+
+Analyze the current input using the retrieved memory only where relevant."""
 CHARS_PER_TOKEN = 4
 RULE_CONFIDENCE_LABELS = [(0.8, "HIGH"), (0.6, "MEDIUM")]
 RULE_CONFIDENCE_LOW = "LOW"

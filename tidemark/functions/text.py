@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -171,3 +173,10 @@ def direction(score: Column, band: float = 0.1) -> Column:
 def run_seconds(time_seconds: Column, time_ms: Column) -> Column:
     """Seconds taken: the seconds field unless missing or 0, else milliseconds, else 0."""
     return F.coalesce(F.nullif(time_seconds, F.lit(0.0)), time_ms / 1000, F.lit(0.0))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with a column's text in place of each ``{name}``."""
+    parts = re.split(r"\{(\w+)\}", template)
+    columns = [F.lit(part) if i % 2 == 0 else values[part] for i, part in enumerate(parts) if i % 2 or part]
+    return F.concat(*columns)

@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
-from tidemark.functions.text import signed, whole_percent
+from tidemark.functions.text import filled, signed, whole_percent
 from tidemark.operators.episodes import latest_episodes
 from tidemark.operators.facts import cut, latest_facts, latest_signals
 from tidemark.operators.prefix import running_totals
 from tidemark.operators.rules import rules_text
 from tidemark.operators.topk import joined_text, top_k
+from tidemark.session import materialise
 
 
 def pack_sections(sections: DataFrame, key: str, order: str, text: str, max_chars: int) -> DataFrame:
     """The leading sections of each group that fit ``max_chars`` when joined by line breaks.
 
-    Sections are dropped whole from the end. Lengths are added up as running totals, so a group
-    may have any number of sections; what is kept and joined is at most ``max_chars`` long.
+    Sections are dropped whole from the end. Lengths alone are added up as running totals, so a
+    group may have any number of sections; the texts of those kept are fetched last, and joined
+    they are at most ``max_chars`` long.
     """
-    sized = sections.select(key, order, text).withColumn("_size", F.length(text) + 1)
+    written = materialise(sections.select(key, order, text), "sections")
+    sized = written.select(key, order, (F.length(text) + 1).alias("_size"))
     running = running_totals(sized, [key], [order], ["_size"], "sections")
-    kept = running.filter(F.col("_size_before") + F.col("_size") - 1 <= max_chars)
+    places = running.filter(F.col("_size_before") + F.col("_size") - 1 <= max_chars).select(key, order)
+    kept = written.join(places, [key, order])
     packed = kept.groupBy(key).agg(
         F.count("*").alias("sections"), joined_text(order, text, "\n").alias("packed")
     )
     return (
-        sections.select(key)
+        written.select(key)
         .distinct()
         .join(packed, key, "left")
         .select(key, F.coalesce("sections", F.lit(0)).alias("sections"), F.coalesce("packed", F.lit("")).alias("packed"))
@@ -44,9 +48,12 @@ def query_tickers(queries: DataFrame, tickers: str = "tickers", first: int = 3)
 def fact_sections(queries: DataFrame, facts: DataFrame, as_of: Column, fetched: int = 5, used: int = 3) -> DataFrame:
     """``[MEMORY: T] f1 | f2 | f3`` per query and ticker.
 
-    The facts of a ticker are picked and joined once, not once per query.
+    The facts of a ticker are picked and joined once, not once per query; they are picked without
+    their texts, which are fetched for those that are used.
     """
-    picked = latest_facts(facts, as_of, fetched).filter(F.col("pos") <= used)
+    narrow = facts.select("id", "ticker", "updated_at", "access_count", "expires_at")
+    places = latest_facts(narrow, as_of, fetched).filter(F.col("pos") <= used).select("id", "pos")
+    picked = facts.select("id", "ticker", "content").join(places, "id")
     lines = picked.groupBy("ticker").agg(joined_text("pos", "content", " | ").alias("facts"))
     return query_tickers(queries).join(lines, "ticker").select(
         "query_id",
@@ -72,10 +79,9 @@ def past_signal_sections(queries: DataFrame, signals: DataFrame, fetched: int =
 def track_record(accuracy: DataFrame) -> DataFrame:
     """``[YOUR TRACK RECORD] Accuracy: ..`` from one row of accuracy counts; empty without any."""
     decided = F.col("correct") + F.col("incorrect")
-    percent = F.format_string("%.1f%%", F.bround(F.col("accuracy") * 100, 1))
-    text = F.concat(
-        F.lit(fixed.TRACK_RECORD_PREFIX + fixed.ACCURACY_LABEL), percent, F.lit(" ("), F.col("correct").cast("string"),
-        F.lit("/"), decided.cast("string"), F.lit(" correct predictions)"),
+    text = filled(
+        fixed.TRACK_RECORD, percent=F.format_string("%.1f%%", F.bround(F.col("accuracy") * 100, 1)),
+        correct=F.col("correct").cast("string"), total=decided.cast("string"),
     )
     return accuracy.filter(decided > 0).select(text.alias("section"))
 
@@ -144,10 +150,9 @@ def episode_prompt_lines(episodes: DataFrame, tie: list[Column], limit: int = 30
 
 def overall_record(counts: DataFrame) -> DataFrame:
     """``[YOUR TRACK RECORD] Overall accuracy ..`` from category counts; empty without episodes."""
-    text = F.concat(
-        F.lit(fixed.TRACK_RECORD_PREFIX + fixed.OVERALL_ACCURACY_LABEL),
-        whole_percent(F.try_divide("correct", "total")), F.lit("% ("), F.col("correct").cast("string"),
-        F.lit("/"), F.col("total").cast("string"), F.lit(" correct)"),
+    text = filled(
+        fixed.OVERALL_TRACK_RECORD, percent=whole_percent(F.try_divide("correct", "total")),
+        correct=F.col("correct").cast("string"), total=F.col("total").cast("string"),
     )
     return counts.filter("family = 'overall' AND total > 0").select(text.alias("section"))
 
@@ -198,6 +203,5 @@ def memory_block(hits: DataFrame, records: DataFrame, chars: int | None = None)
 def prompts(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """``query_id, prompt`` with the retrieved memory, or a note that there is none."""
     memory = F.coalesce("memory_block", F.lit(fixed.NO_MEMORY_TEXT))
-    head, before_memory, before_text, closing = [F.lit(part) for part in fixed.PROMPT_PARTS]
-    prompt = F.concat(head, F.col("source"), before_memory, memory, before_text, F.col("text"), closing)
+    prompt = filled(fixed.PROMPT, source=F.col("source"), memory=memory, text=F.col("text"))
     return queries.join(blocks, "query_id", "left").select("query_id", prompt.alias("prompt"))

@@ -63,9 +63,7 @@ def rules_from_counts(counts: DataFrame, keep: list[str] = []) -> DataFrame:
         .select(
             *keep,
             _filled(_chosen([*rule_ids, fixed.OVERALL_RULE_ID])).alias("rule_id"),
-            F.concat(
-                _filled(_chosen([*texts, fixed.OVERALL_RULE_TEXT])), F.when(is_overall, verdict).otherwise("")
-            ).alias("rule_text"),
+            F.replace(_filled(_chosen([*texts, fixed.OVERALL_RULE_TEXT])), F.lit("{verdict}"), verdict).alias("rule_text"),
             F.when(is_overall, fixed.OVERALL_RULE_CONFIDENCE)
             .otherwise(F.least(strength, _chosen([*caps, 1.0])))
             .alias("confidence"),

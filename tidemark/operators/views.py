@@ -10,6 +10,7 @@ from tidemark.functions.text import run_seconds, signed
 from tidemark.operators.prefix import running_totals
 from tidemark.operators.returns import join_as_of
 from tidemark.operators.topk import joined_text
+from tidemark.session import materialise
 
 
 def model_list(predictions: DataFrame, live_models: list[str]) -> DataFrame:
@@ -47,6 +48,25 @@ def event_price_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
     return started.join(windows.withColumnRenamed("date", "start_date"), ["ticker", "start_date"])
 
 
+def window_rows(events: DataFrame, prices: DataFrame, rows: int = fixed.PRICE_WINDOW_ROWS) -> DataFrame:
+    """Each event with its price window in long form: ``start_date``, ``place`` from 0, ``price_date``
+    and ``close``.
+
+    Price rows are numbered and cut into ranges as long as a window, so a window lies in two ranges
+    at most and the rows are found by an equi join on (ticker, range); no arrays are built.
+    """
+    number = F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
+    numbered = materialise(prices.select("ticker", "date", "close", number.alias("_i")), "numbered")
+    started = join_as_of(events, numbered, ["_i"])
+    first = F.floor(F.col("_i") / rows)
+    wanted = started.withColumn("_range", F.explode(F.array(first, first + 1)))
+    given = numbered.select(
+        "ticker", F.floor(F.col("_i") / rows).alias("_range"), F.col("_i").alias("_at"), F.col("date").alias("price_date"), "close"
+    )
+    found = wanted.join(given, ["ticker", "_range"]).filter(F.col("_at").between(F.col("_i"), F.col("_i") + rows - 1))
+    return found.withColumn("place", F.col("_at") - F.col("_i")).drop("_i", "_at", "_range")
+
+
 def compare_models(
     predictions: DataFrame,
     models: list[str],

@@ -202,7 +202,7 @@ def rules_sql(source: str, keep: str = "") -> str:
         "WHEN acc < 0.50 THEN 'Model tends to be overconfident.' ELSE 'Model has strong predictive power.' END"
     )
     arms.append((
-        "family = 'overall' AND total >= 20", "'overall_calibration'", fill(fixed.OVERALL_RULE_TEXT) + " || " + verdict,
+        "family = 'overall' AND total >= 20", "'overall_calibration'", "replace(" + fill(fixed.OVERALL_RULE_TEXT) + ", '{verdict}', " + verdict + ")",
         "0.9", "'calibration'",
     ))
     case = lambda i: "CASE " + " ".join(f"WHEN {arm[0]} THEN {arm[i]}" for arm in arms) + " END"

@@ -33,8 +33,8 @@ def market_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.dayofmonth("Date") != 1, F.col("close")).alias("Adj Close"),
     )
     plain = prices.filter(~even).select("name", "Date", F.col("close").alias("Close"))
-    adjusted.write.partitionBy("name").parquet(f"{path}/adjusted")
-    plain.write.partitionBy("name").parquet(f"{path}/plain")
+    adjusted.repartition("name").write.partitionBy("name").parquet(f"{path}/adjusted")
+    plain.repartition("name").write.partitionBy("name").parquet(f"{path}/plain")
     panel = mk.read_market(spark, path)
     return rounded(panel.groupBy("ticker").agg(
         F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("close").alias("total")
@@ -85,6 +85,25 @@ def event_price_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), "low", "high")
 
 
+@BOOK.add(
+    "event_price_rows",
+    "WITH " + b.MARKET_SQL + """,
+idx AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM market),
+e AS (SELECT o_orderkey AS article_idx, CAST(o_orderdate AS DATE) AS date, 'Brand#' || (o_orderkey % 25 + 1) AS ticker FROM orders WHERE o_orderpriority = '1-URGENT'),
+s AS (SELECT e.article_idx, e.ticker, x.date AS start_date, x.i FROM e ASOF JOIN idx x ON e.ticker = x.ticker AND e.date <= x.date)
+SELECT article_idx, s.ticker, start_date, CAST(p.i - s.i AS INTEGER) AS place, p.date AS price_date, round(p.close + 1e-9, 6) AS close
+FROM s JOIN idx p ON p.ticker = s.ticker AND p.i BETWEEN s.i AND s.i + 20""",
+)
+def event_price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices after each urgent event, a row each: what a chart shows."""
+    events = b.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(
+        F.col("o_orderkey").alias("article_idx"), F.col("o_orderdate").cast("date").alias("date"),
+        F.concat(F.lit("Brand#"), F.col("o_orderkey") % 25 + 1).alias("ticker"),
+    )
+    found = views.window_rows(events, b.market(spark, sf_dir)).drop("date")
+    return rounded(found.withColumn("close", F.col("close") + 1e-9), "close")
+
+
 @BOOK.add(
     "benchmark_window",
     "WITH " + b.BENCHMARK_SQL + """,

@@ -3,44 +3,58 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _named(columns: list[str], wanted: str) -> list[Column]:
+def named(columns: list[str], wanted: str) -> list[str]:
     """Columns called ``wanted``, also as the first level of a flattened two-level name."""
     pattern = re.compile(rf"^\(?'?{re.escape(wanted)}'?(,.*)?\)?$")
-    return [F.col(f"`{c}`").cast("double") for c in columns if pattern.match(c)]
+    return [c for c in columns if pattern.match(c)]
 
 
-def read_market(spark: SparkSession, folder: str, date_column: str = "Date") -> DataFrame:
-    """``ticker, date, close`` from files named after their ticker.
+def read_market(
+    spark: SparkSession, folder: str, date_column: str = "Date", tickers: list[str] | None = None
+) -> DataFrame:
+    """``ticker, date, close`` from files named after their ticker; ``tickers`` keeps other files
+    from being opened.
 
-    A file with adjusted closes uses those, any other its closes; rows without a price are left
-    out. Files may differ in their columns, and their times may have been written in
-    nanoseconds, which Spark reads only as integers.
+    Files are read whole, each by one task and with its own schema, in one pass: a file with adjusted
+    closes uses those, any other its closes; rows without a price are left out. A file of prices is
+    as long as the calendar. Times may have been written in any unit.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    raw = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(folder)
-    pick = lambda name: F.coalesce(*cols) if (cols := _named(raw.columns, name)) else F.lit(None).cast("double")
-    day = F.col(date_column)
-    if dict(raw.dtypes)[date_column] == "bigint":
-        day = F.timestamp_micros(F.floor(day / 1000))
-    rows = raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+?)(\.parquet)?(/part-[^/]*)?$", 1).alias("ticker"),
-        day.cast("date").alias("date"),
-        pick("Adj Close").alias("adjusted"),
-        pick("Close").alias("plain"),
-    )
-    # One row per ticker: which price column its file has.
-    has_adjusted = rows.groupBy("ticker").agg(F.count("adjusted").alias("_adjusted_rows"))
-    close = F.when(F.col("_adjusted_rows") > 0, F.col("adjusted")).otherwise(F.col("plain"))
-    return (
-        rows.join(has_adjusted, "ticker")
-        .select("ticker", "date", close.alias("close"))
-        .filter("close IS NOT NULL")
-    )
+    pattern = "*.parquet" if tickers is None else "{" + ",".join(tickers) + "}.parquet"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    ticker = F.regexp_extract(F.col("path"), r"([^/=]+?)(\.parquet)?(/part-[^/]*)?$", 1)
+
+    def prices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from file_prices(name, pq.ParquetFile(pa.BufferReader(content.as_buffer())).read(), date_column)
+
+    return files.load(folder).select(ticker.alias("ticker"), "content").mapInArrow(prices, "ticker string, date date, close double")
+
+
+def file_prices(ticker: str, table: pa.Table, date_column: str) -> Iterator[pa.RecordBatch]:
+    """The prices of one file."""
+    days = table.column(date_column).cast(pa.timestamp("us"), safe=False).cast(pa.date32(), safe=False)
+    found = None
+    for wanted in ("Adj Close", "Close"):
+        columns = [table.column(c).cast(pa.float64()) for c in named(table.column_names, wanted)]
+        priced = pc.coalesce(*columns) if columns else None
+        if priced is not None and priced.null_count < len(priced):
+            found = priced
+            break
+    if found is None:
+        return
+    names = pa.array([ticker] * len(days), pa.string())
+    rows = pa.table({"ticker": names, "date": days, "close": found})
+    yield from rows.filter(pc.is_valid(rows.column("close"))).combine_chunks().to_batches()
 
 
 def for_display(prices: DataFrame) -> DataFrame:
