@@ -16,7 +16,8 @@ from tidemark.plans.evaluation import rounded
 from tidemark.plans.facts import facts, moment
 from tidemark.session import scratch_path
 from tidemark.sources import ledger
-from tidemark.streaming import fact_state, runs
+from tidemark.sources.manifest import commit, committed, compact
+from tidemark.streaming import fact_state, first_seen, runs
 
 TRADE_ID = ["kind", "created_at", "strategy", "symbol", "side", "quantity", "price", "notional", "source"]
 
@@ -201,6 +202,22 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.stream_to_scratch(unique, "stream-dedup").select("event_type", "user_id")
 
 
+@BOOK.add(
+    "stream_first_seen",
+    """SELECT event_type, user_id, ts, event_id FROM events WHERE event_id % 9 <> 0
+QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1""",
+)
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user and type, from an index of keys; repeats come in every later
+    batch."""
+    stream = event_stream(spark, sf_dir).filter("event_id % 9 <> 0")
+    folder = scratch_path(spark, "first-seen")
+    writer = first_seen.first_seen_writer(folder, ["event_type", "user_id"], ["ts", "event_id"])
+    runs.run_batches(stream, writer, scratch_path(spark, "first-seen-checkpoint"))
+    found = runs.batches(spark, f"{folder}/rows")
+    return found.select("event_type", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+
+
 @BOOK.add(
     "stream_daily_counts",
     """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, round(avg(value), 6) AS mean_value FROM events
@@ -306,6 +323,25 @@ def stream_fact_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standing.select("id", "access_count", F.col("last_accessed").cast("date").cast("string").alias("last_read"))
 
 
+@BOOK.add(
+    "fact_log",
+    """WITH f AS (SELECT doc_id AS id, doc_id % 200 AS created, doc_id % 200 + CASE WHEN quality = 1 AND toxic = 0 THEN 90
+    WHEN quality = 0 AND toxic = 1 THEN 30 ELSE 60 END AS expires, doc_id % 3 AS reads, md5(text) AS content
+  FROM documents LEFT JOIN labels USING (doc_id))
+SELECT id, content FROM f WHERE NOT (expires < 152) AND NOT (reads = 0 AND created < 122)""",
+)
+def fact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts appended in batches to a log that is compacted between them; what was forgotten by
+    then is gone from the log, and a reader sees the facts that a single table would hold."""
+    stored, folder = facts(spark, sf_dir), scratch_path(spark, "fact-log")
+    read = lambda: committed(spark, folder, "facts", stored.schema).select(*stored.columns)
+    for batch in range(6):
+        commit({"facts": stored.filter(F.col("id") % 6 == batch)}, folder, batch)
+        if batch in (2, 4):
+            compact({"facts": fa.survivors(read(), moment("2024-06-01"))}, folder, batch)
+    return fa.survivors(read(), moment("2024-06-01")).select("id", F.md5("content").alias("content"))
+
+
 @BOOK.add(
     "scoring_hook",
     "SELECT doc_id, 'chars:' || length(text) AS response FROM documents",
