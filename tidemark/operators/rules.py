@@ -9,7 +9,7 @@ from tidemark import fixed_values as fixed
 from tidemark.functions.text import whole_percent
 from tidemark.operators.episodes import category_counts
 from tidemark.operators.prefix import running_totals
-from tidemark.operators.topk import joined_text, top_k
+from tidemark.operators.topk import joined_text, ordered_text, top_k
 
 
 def _filled(template: Column) -> Column:
@@ -115,18 +115,21 @@ def rule_lines(rules: DataFrame, min_confidence: float = 0.5) -> DataFrame:
 def rules_text(
     rules: DataFrame, keys: list[str] = [], min_confidence: float = 0.5, most_lines: int | None = None
 ) -> DataFrame:
-    """Header and rule lines as one text per group, best first.
+    """Header and rule lines as one text per group, best first; any number of rules.
 
-    There are at most two rules per source and ticker. A caller with a character budget passes
-    the number of lines that could fit at all, so that no more are gathered.
+    A caller with a character budget passes the number of lines that could fit at all, so that no
+    more are gathered; without one the lines are joined level by level.
     """
-    lines = rule_lines(rules, min_confidence).withColumn("_all", F.lit(1))
-    ranked = top_k(
-        lines, keys or ["_all"], [F.desc("confidence"), F.asc("rule_id")], most_lines or 2**31 - 1
-    )
-    body = joined_text("pos", "line", "\n")
-    return ranked.groupBy(*keys).agg(F.concat(F.lit(fixed.RULES_HEADER + "\n"), body).alias("rules_text")) if keys \
-        else ranked.agg(F.concat(F.lit(fixed.RULES_HEADER + "\n"), body).alias("rules_text"))
+    lines = rule_lines(rules, min_confidence)
+    header = F.lit(fixed.RULES_HEADER + "\n")
+    if most_lines is None:
+        ranked = lines.withColumn("_rank", -F.col("confidence"))
+        texts = ordered_text(ranked, keys, ["_rank", "rule_id"], "line", "\n", name="rule-lines")
+        return texts.select(*keys, F.concat(header, "line").alias("rules_text"))
+    order = [F.desc("confidence"), F.asc("rule_id")]
+    ranked = top_k(lines.withColumn("_all", F.lit(1)), keys or ["_all"], order, most_lines)
+    text = F.concat(header, joined_text("pos", "line", "\n")).alias("rules_text")
+    return ranked.groupBy(*keys).agg(text)
 
 
 def rules_from_responses(responses: DataFrame, as_of: Column, keep: list[str] = ["batch"]) -> DataFrame:

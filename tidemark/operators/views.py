@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fixed
+from tidemark.functions.columns import let
 from tidemark.functions.text import run_seconds, signed
 from tidemark.operators.prefix import running_totals
 from tidemark.operators.returns import join_as_of
-from tidemark.operators.topk import joined_text
 from tidemark.session import materialise
 
 
@@ -79,31 +79,33 @@ def compare_models(
     return predictions.groupBy(*keys).pivot("config", models).agg(F.min_by(value, F.struct(*order, value)))
 
 
-def signal_card(signals: DataFrame, keys: list[str], least: float | None = 0.01) -> DataFrame:
-    """Scores of a signal with their bar width in percent of its largest (at least 1).
+def signal_card(predictions: DataFrame, keep: list[str], least: float | None = 0.01) -> DataFrame:
+    """Scores of each prediction (``scores``, an array of ticker and score) with their bar width in
+    percent of its largest (at least 1), a row each. ``least=None`` keeps all scores (the
+    comparison form). All is worked out within the row, so nothing is shuffled."""
 
-    ``least=None`` keeps all scores (the comparison form). A signal has at most one score per
-    ticker of the universe, so the window holds a few rows.
-    """
-    widest = F.greatest(F.max(F.abs("score")).over(Window.partitionBy(*keys)), F.lit(1.0))
-    card = signals.withColumn("width", F.abs("score") / widest * 100)
-    return card if least is None else card.filter(F.abs("score") > least)
+    def bars(widest: Column) -> Column:
+        shown = F.col("scores") if least is None else F.filter("scores", lambda e: F.abs(e["score"]) > least)
+        return F.transform(shown, lambda e: F.struct(e["ticker"], e["score"], (F.abs(e["score"]) / widest * 100).alias("width")))
 
+    widest = F.greatest(F.array_max(F.transform("scores", lambda e: F.abs(e["score"]))), F.lit(1.0))
+    return predictions.select(*keep, F.inline(let(widest, bars)))
 
-def signal_chips(signals: DataFrame, keys: list[str], least: float = 0.05) -> DataFrame:
-    """Short texts ``T +1.2`` of the scores worth showing, in ticker order, as one line.
 
-    A signal has at most one score per ticker of the universe.
-    """
-    chip = F.concat(F.col("ticker"), F.lit(" "), signed(F.col("score"), 1))
-    return signals.filter(F.abs("score") >= least).groupBy(*keys).agg(
-        joined_text("ticker", chip, ", ").alias("chips")
-    )
+def signal_chips(predictions: DataFrame, keep: list[str], least: float = 0.05) -> DataFrame:
+    """Short texts ``T +1.2`` of the scores worth showing, in ticker order, as one line; predictions
+    without any are left out."""
+    shown = F.array_sort(F.filter("scores", lambda e: F.abs(e["score"]) >= least))
+    chips = F.transform(shown, lambda e: F.concat(e["ticker"], F.lit(" "), signed(e["score"], 1)))
+    return predictions.select(*keep, F.array_join(chips, ", ").alias("chips")).filter("chips <> ''")
 
 
-def tickers_found(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of scored tickers and the best score per prediction."""
-    return signals.groupBy(*keys).agg(F.count("*").alias("tickers_found"), F.max("score").alias("top_score"))
+def tickers_found(predictions: DataFrame, keep: list[str]) -> DataFrame:
+    """Number of scored tickers and the best score per prediction; those without any are left out."""
+    found = F.filter("scores", lambda e: e["score"] != 0)
+    best = F.array_max(F.transform(found, lambda e: e["score"]))
+    counted = predictions.select(*keep, F.size(found).cast("long").alias("tickers_found"), best.alias("top_score"))
+    return counted.filter("tickers_found > 0")
 
 
 def with_seconds(predictions: DataFrame) -> DataFrame:

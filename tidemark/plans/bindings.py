@@ -129,6 +129,14 @@ def predictions(spark: SparkSession, sf_dir: str, brands: list[int]) -> DataFram
     )
 
 
+def score_rows(spark: SparkSession, sf_dir: str, brands: list[int]) -> DataFrame:
+    """One row per order with its ``scores``, an array of ticker and score; those of
+    :func:`predictions`."""
+    score = lambda n: ((F.col("o_orderkey") * 7 + n * 13) % 41 - 20).cast("double") / 10
+    cells = [F.struct(F.lit(f"Brand#{n}").alias("ticker"), score(n).alias("score")) for n in brands]
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_idx"), F.array(*cells).alias("scores"))
+
+
 def predictions_sql(brands: list[int], name: str = "pred") -> str:
     values = ", ".join(f"({b})" for b in brands)
     return f"""

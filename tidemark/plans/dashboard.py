@@ -143,14 +143,12 @@ FROM pred"""
 
 @BOOK.add("signal_card", "WITH " + b.predictions_sql(b.FIVE_BRANDS) + "\nSELECT * FROM (" + CARD_SQL + ") WHERE abs(score) > 0.01")
 def signal_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = b.predictions(spark, sf_dir, b.FIVE_BRANDS).select("article_idx", "ticker", "score")
-    return rounded(views.signal_card(signals, ["article_idx"]), "width")
+    return rounded(views.signal_card(b.score_rows(spark, sf_dir, b.FIVE_BRANDS), ["article_idx"]), "width")
 
 
 @BOOK.add("signal_compare", "WITH " + b.predictions_sql(b.FIVE_BRANDS) + CARD_SQL)
 def signal_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = b.predictions(spark, sf_dir, b.FIVE_BRANDS).select("article_idx", "ticker", "score")
-    return rounded(views.signal_card(signals, ["article_idx"], least=None), "width")
+    return rounded(views.signal_card(b.score_rows(spark, sf_dir, b.FIVE_BRANDS), ["article_idx"], least=None), "width")
 
 
 @BOOK.add(
@@ -160,7 +158,7 @@ SELECT article_idx, string_agg(ticker || ' ' || printf('%+.1f', score), ', ' ORD
 FROM pred WHERE abs(score) >= 0.05 GROUP BY article_idx""",
 )
 def signal_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.signal_chips(b.predictions(spark, sf_dir, b.FIVE_BRANDS), ["article_idx"])
+    return views.signal_chips(b.score_rows(spark, sf_dir, b.FIVE_BRANDS), ["article_idx"])
 
 
 @BOOK.add(
@@ -214,4 +212,4 @@ def article_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT article_idx, count(*) AS tickers_found, max(score) AS top_score FROM pred WHERE score <> 0 GROUP BY article_idx""",
 )
 def tickers_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.tickers_found(b.predictions(spark, sf_dir, b.FIVE_BRANDS).filter("score <> 0"), ["article_idx"])
+    return views.tickers_found(b.score_rows(spark, sf_dir, b.FIVE_BRANDS), ["article_idx"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,10 +142,12 @@ def metrics_documents(ic: DataFrame, accuracy: DataFrame, predictions: DataFrame
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Stored metrics documents as (config, document); no rows where nothing was written."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+    try:
+        return spark.read.schema("config string, document string").option("multiLine", "false").json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "config string, document string")
-    return spark.read.schema("config string, document string").option("multiLine", "false").json(path)
 
 
 def run_summary(predictions: DataFrame, keys: list[str]) -> DataFrame:
