@@ -72,6 +72,41 @@ def test_large_lists_and_groups_lose_nothing(spark, monkeypatch):
     assert got == brute(docs, 3, 85)
 
 
+def test_a_long_list_of_unrelated_rows_never_meets(spark, monkeypatch):
+    """Twenty thousand texts on one list, with two that belong together: rows compared stay few."""
+    import numpy as np
+
+    rng, n = np.random.default_rng(1), 20_000
+    values = rng.integers(0, 1 << 16, (n, near_duplicates.COORDINATES), dtype=np.uint16)
+    values[1] = values[0]
+    values[1][:20] += 1
+    rows = spark.createDataFrame([(1, n, i, v.tobytes()) for i, v in enumerate(values)], "key long, size long, doc long, payload binary")
+    dealt = []
+    blocks = near_duplicates.in_blocks
+    monkeypatch.setattr(near_duplicates, "in_blocks", lambda rows, link: (dealt.append(rows), blocks(rows, link))[1])
+    edges = near_duplicates.joined(
+        rows, lambda *block: near_duplicates.match_rows(*block, 40), 512, near_duplicates.coordinate_groups(40)
+    )
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in edges.collect()} == {(0, 1)}
+    assert sum(d.count() for d in dealt) < 3 * n
+
+
+def test_finer_keys_are_shared_by_all_that_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups, prefixes = near_duplicates.coordinate_groups(40), near_duplicates.set_prefixes(80)
+    for _ in range(300):
+        a = rng.integers(0, 9, near_duplicates.COORDINATES, dtype=np.uint16)
+        b = a.copy()
+        b[rng.permutation(len(a))[:24]] += 1
+        assert set(groups(a.tobytes())) & set(groups(b.tobytes()))
+        whole = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 60), dtype=np.uint64))
+        x, y = (whole[np.sort(rng.permutation(len(whole))[: max(1, int(len(whole) * 0.9))])] for _ in range(2))
+        if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
+            assert set(prefixes(x.tobytes())) & set(prefixes(y.tobytes()))
+
+
 def test_nulls_repeats_and_empty(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (9, "A b c d"), (7, None)], "doc_id int, text string")
     rows = sorted((r.id or -1, r.n_shingles, r.component or -1) for r in near_duplicates.find_duplicates(docs, 3, 85).collect())

@@ -161,14 +161,44 @@ def overlaps(sets: list):
     return total
 
 
-def joined(rows: DataFrame, link: Callable, block_rows: int) -> DataFrame:
+def coordinate_groups(least: int) -> Callable:
+    """Keys of a signature such that two with ``least`` equal coordinates share one: so many groups
+    of coordinates that one of them has no unequal coordinate."""
+
+    def keys(payload: bytes) -> list[int]:
+        import numpy as np
+        import xxhash
+
+        groups = np.array_split(np.frombuffer(payload, np.uint16), COORDINATES - least + 1)
+        return [xxhash.xxh3_64_intdigest(part.tobytes(), seed=i) >> 1 for i, part in enumerate(groups)]
+
+    return keys
+
+
+def set_prefixes(similarity: int) -> Callable:
+    """Keys of a set such that two that share ``similarity`` hundredths of their union share one: its
+    least shingles, as many as it can miss and one more."""
+
+    def keys(payload: bytes) -> list[int]:
+        import numpy as np
+
+        shingles = np.frombuffer(payload, np.uint64)
+        missed = len(shingles) - -(-len(shingles) * similarity // 100)
+        return (shingles[: missed + 1] >> np.uint64(1)).tolist()
+
+    return keys
+
+
+def joined(rows: DataFrame, link: Callable, block_rows: int, finer: Callable | None = None) -> DataFrame:
     """Edges (``a``, ``b``) that connect what ``link`` connects among the rows of each key.
 
     ``rows`` has ``key``, ``size`` (rows of the key), ``doc`` and ``payload``. A key of up to
     ``block_rows`` rows is one block. A larger one is first dealt into blocks twice, at random,
-    which joins most of what belongs together. Then every row that is still apart from its
-    key's largest component meets every block of the key, so that no link is lost; those rows
-    are cut into blocks too. No task ever holds more than two blocks, and no pairs are listed:
+    which joins most of what belongs together. Rows that are still apart from their key's largest
+    component are then looked up by ``finer`` keys of their payload, of which any two rows that
+    ``link`` joins share one: rows of a long list that have nothing else in common never meet.
+    Only where even such a key has more than ``block_rows`` rows, and some of them stay apart, do
+    these meet all of its blocks. No task ever holds more than two blocks, and no pairs are listed:
     a block gives an edge per row at most.
     """
     blocks = F.ceil(F.col("size") / block_rows).cast("long")
@@ -199,6 +229,9 @@ def joined(rows: DataFrame, link: Callable, block_rows: int) -> DataFrame:
         F.max(F.struct("held", "label")).alias("main"), F.sum("held").alias("rows")
     ).filter("main.held < rows").select("key", F.col("main.label").alias("main"), (F.col("rows") - F.col("main.held")).alias("apart"))
     placed = labelled.join(written(main, "main"), "key")
+    stars = known.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if finer is not None:
+        return stars.union(joined(by_finer_keys(placed, finer), link, block_rows))
     parts = F.ceil(F.col("apart") / block_rows).cast("long")
     part = F.pmod(F.xxhash64(F.lit(3), "doc"), parts)
     columns = ["doc", "label", "payload"]
@@ -207,10 +240,27 @@ def joined(rows: DataFrame, link: Callable, block_rows: int) -> DataFrame:
         "key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), part.alias("part"), F.lit(False).alias("home"), *columns
     )
     meeting = at_home.unionByName(visiting).select("key", "block", "part", "doc", "label", "home", "payload")
-    stars = known.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return stars.union(in_blocks(meeting, link))
 
 
+def by_finer_keys(placed: DataFrame, finer: Callable) -> DataFrame:
+    """``key, size, doc, payload`` of the rows that share a finer key with a row that is apart from
+    its main component; a document counts once, however many keys it came by."""
+    each = written(
+        placed.groupBy("doc").agg(F.first("payload").alias("payload"), F.max(F.col("label") != F.col("main")).alias("apart")), "each"
+    )
+
+    def rows(tuples):
+        for doc, apart, payload in tuples:
+            for key in set(finer(payload)):
+                yield key, doc, apart
+
+    keyed = written(map_rows(each.select("doc", "apart", "payload"), rows, "key long, doc long, apart boolean"), "finer")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("apart").alias("wanted")).filter("wanted AND size > 1")
+    chosen = keyed.join(written(sizes.select("key", "size"), "finer-sizes"), "key").select("key", "size", "doc")
+    return written(chosen.join(each.select("doc", "payload"), "doc").select("key", "size", "doc", "payload"), "finer-rows")
+
+
 def in_blocks(dealt: DataFrame, link: Callable) -> DataFrame:
     """Edges within each (key, block, part), from rows that come sorted by it."""
 
@@ -259,7 +309,7 @@ def candidate_groups(signed: DataFrame, similarity: int) -> DataFrame:
         ),
         "prefixes",
     )
-    edges = joined(rows, lambda *block: match_rows(*block, least), LIST_ROWS)
+    edges = joined(rows, lambda *block: match_rows(*block, least), LIST_ROWS, coordinate_groups(least))
     return components(edges).select(F.col("node").alias("doc"), F.col("root").alias("group"))
 
 
@@ -324,7 +374,7 @@ def linked_texts(texts: DataFrame, words: int, similarity: int) -> DataFrame:
 
     grouped = members.join(texts, F.col("doc") == F.col("id")).select("doc", "key", "size", "text")
     rows = written(map_rows(grouped, sets, "key long, size long, doc long, payload binary"), "sets")
-    links = joined(rows, lambda *block: confirm_rows(*block, similarity), GROUP_ROWS)
+    links = joined(rows, lambda *block: confirm_rows(*block, similarity), GROUP_ROWS, set_prefixes(similarity))
     roots = components(links)
     named = written(
         distinct.select("set_key", "doc")
