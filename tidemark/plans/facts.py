@@ -257,7 +257,9 @@ def reasoned_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         (F.col("doc_id") * 10 + F.col("_b")).alias("id"), F.concat(F.lit("Brand#"), F.col("_b")).alias("ticker"),
         ((F.col("doc_id") * 7 + F.col("_b") * 13) % 41 - 20).cast("double").alias("_s"), "source",
-        F.col("text").alias("reasoning"), F.left("text", (F.col("doc_id") % 60 + 1).cast("int")).alias("ticker_reasoning"),
+        F.col("text").alias("reasoning"),
+        # A third has no more to say about a ticker than the name of its source.
+        F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.col("text")).alias("ticker_reasoning"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("date"),
     ).withColumn("score", F.col("_s") / 10).drop("_s")
 
@@ -265,7 +267,7 @@ def reasoned_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 REASONED_SQL = """
 reasoned AS (
   SELECT doc_id * 10 + b.b AS id, 'Brand#' || b.b AS ticker, CAST((doc_id * 7 + b.b * 13) % 41 - 20 AS DOUBLE) / 10 AS score, source,
-         text AS reasoning, left(text, doc_id % 60 + 1) AS ticker_reasoning, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS date
+         text AS reasoning, CASE WHEN doc_id % 3 = 0 THEN source ELSE text END AS ticker_reasoning, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS date
   FROM documents CROSS JOIN (VALUES (1), (2), (3), (4), (5)) b(b))"""
 
 

@@ -55,12 +55,15 @@ def to_records(notes: DataFrame, universe: list[str], as_of: str | None = None)
 
 
 def first_by(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """The first row of each key in the given order, combined on the map side.
+    """The first row of each key in the given order, which must tell the rows of a key apart.
 
-    A key with very many copies shuffles one row per task, not one per copy.
+    First places are found on key and order alone, combined on the map side, so a key with very
+    many copies shuffles one narrow row per task; the rows themselves are fetched by their place.
     """
-    row = F.struct(*[c for c in df.columns if c != key])
-    return df.groupBy(key).agg(F.min_by(row, order).alias("_row")).select(key, "_row.*")
+    # As one struct, null keys are equal too.
+    placed = df.withColumn("_place", F.struct(F.col(key), order.alias("order")))
+    first = placed.groupBy(key).agg(F.min("_place").alias("_place"))
+    return placed.join(first.select("_place"), "_place", "left_semi").drop("_place")
 
 
 def new_records(records: DataFrame, store: DataFrame) -> DataFrame:
