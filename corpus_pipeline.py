@@ -1,4 +1,9 @@
-"""From raw documents to token ids: rules, near duplicates, test items, personal data, pieces."""
+"""From raw documents to token ids: rules, near duplicates, test items, personal data, pieces.
+
+In every stage a null text is an empty one, texts are taken whole, further columns stay as they
+are, whatever they are called, and an empty table gives an empty one. Rows that share an id are
+dropped together; null ids are one id for the rules and the test items, and are never duplicates.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +18,18 @@ from tidemark.llm.shared import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the base rules or a proven cutoff reject."""
+    """Drops what the base rules or a proven cutoff reject; without labels no cutoff is proven."""
     return quality.without_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of texts that share four fifths of their five-word runs."""
+    """Keeps the least id of each group of texts that share four fifths of their five-word runs; all
+    rows of that id stay."""
     return near_duplicates.without_duplicates(docs, words=5, similarity=80)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
+    """Drops documents that hold a test item of at least five words."""
     return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -37,7 +43,7 @@ def personal_data_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the whole texts, and whether they decode to the texts again."""
+    """Ids of the whole texts, and whether they decode to the texts again; a row per row."""
     coded = sentence_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
     return coded.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip"
