@@ -45,9 +45,14 @@ class Merges:
         self.longest = max(map(len, born), default=1)
         self._lasts = Bounded(lambda p: self._lives(p, 1), 1 << 18, NEVER)
         self._firsts = Bounded(lambda p: self._lives(p, 0), 1 << 18, NEVER)
-        self._fits = Bounded(lambda pair: not self.crossed(*pair), 1 << 19, NEVER)
+        #: Whether the second of a pair of pieces may follow the first.
+        self.fitting = Bounded(lambda pair: not self.crossed(*pair), 1 << 19, NEVER)
         #: Usable pieces, each by itself: memos hold these objects, not slices of texts.
         self.pieces = {piece: piece for piece in born if self.known(piece)}
+        #: Length of the longest piece that ends in these two units.
+        self.reach: dict = {}
+        for piece in self.pieces:
+            self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 0))
 
     def _lives(self, piece, side: int) -> list[tuple]:
         """The parts at one end of a piece, from the whole piece inward: (part, born, used up)."""
@@ -87,13 +92,10 @@ class Merges:
         """Whether the encoding of the piece's own text is the piece."""
         return piece in self.born and self.split(piece) is not None
 
-    def fits(self, left, right) -> bool:
-        return self._fits[left, right]
-
     def last_piece(self, text, end: int, lasts: list):
         """The one piece that ends the encoding of ``text[:end]``; ``lasts[i]`` is that of
         ``text[:i]``. A single unit that is in no piece stands alone."""
-        fits, pieces, longest = self._fits, self.pieces, self.longest
+        fits, pieces, longest = self.fitting, self.pieces, self.longest
         for start in range(end - longest if end > longest else 0, end - 1):
             piece = pieces.get(text[start:end])
             if piece is not None and (not start or fits[lasts[start], piece]):

@@ -3,103 +3,75 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.merges import Bounded, Merges
-from tidemark.llm.shared import columns_of, map_rows
+from tidemark.llm.shared import columns_of, map_rows, to_arrow
 
 SPACE = "▁"
+#: Texts that are given out in one batch.
+ROWS = 256
 
 
-def streamed(chars: Iterable[str], merges: Merges) -> Iterator[str]:
-    """Pieces of an endless text, each as soon as it is certain.
+def streamed(parts: Iterable[str], merges: Merges) -> Iterator[str]:
+    """Pieces of an endless text, each as soon as it is certain; the text comes in parts of any size.
 
-    The state is one node per boundary of the last ``merges.longest`` characters, since no piece
-    reaches further back. A node holds the piece that ends the best path to it and the node where
-    that piece starts. Whenever the window has moved on by its own length, the paths of all nodes
-    in it are followed back to the boundary where they meet; the pieces before it are final, are
-    given out, and are forgotten.
+    ``lasts`` holds, for every boundary since the last certain one, the piece that ends the best
+    path to it. Only the boundaries of the last ``merges.longest`` characters survive, since no piece
+    reaches further back. Whenever that window has moved on by its own length, the paths of all
+    its boundaries are followed back to the one where they meet; the pieces before it are final,
+    are given out, and are forgotten.
     """
-    longest, pieces, fits = merges.longest, merges.pieces, merges.fits
-    root = (0, "", None)
-    window, recent, end, checked = [root], "", 0, 0
-    for char in chars:
-        end += 1
-        recent = (recent + char)[-longest:]
-        node = None
-        # window[i] is the boundary before recent[i], counted from the last of both.
-        for start in range(max(0, len(recent) - len(window)), len(recent) - 1):
-            piece = pieces.get(recent[start:])
-            if piece is not None:
-                before = window[start - len(recent)]
-                if not before[1] or fits(before[1], piece):
-                    node = (end, piece, before)
+    longest, known, fits, reach = merges.longest, merges.pieces.get, merges.fitting, merges.reach.get
+    text, lasts, checked = "", [""], 0
+    for part in parts:
+        text += part
+        end, size = len(lasts), len(text)
+        while end <= size:
+            # No piece that ends in these two characters is longer than ``reach``.
+            low = end - reach(text[end - 2 : end], 1)
+            for start in range(low if low > 0 else 0, end - 1):
+                piece = known(text[start:end])
+                if piece is not None and (not lasts[start] or fits[lasts[start], piece]):
                     break
-        window.append(node or (end, char, window[-1]))
-        if len(window) > longest:
-            del window[0]
-        if end - checked >= longest:
-            checked = end
-            meeting = met(window)
-            if meeting is not root:
-                yield from path(meeting, root)
-                root = (meeting[0], meeting[1], None)
-                window = rebased(window, meeting, root)
-    yield from path(window[-1], root)
-
-
-def pieces_of(text: str, merges: Merges) -> list[str]:
-    """The pieces of a text; one that fits the window needs no window."""
-    if len(text) > merges.longest:
-        return list(streamed(text, merges))
-    lasts = [""]
-    for end in range(1, len(text) + 1):
-        lasts.append(merges.last_piece(text, end, lasts))
-    pieces, end = [], len(text)
-    while end:
+            else:
+                piece = text[end - 1 : end]
+            lasts.append(piece)
+            if end - checked >= longest:
+                meeting = met(lasts, longest)
+                if meeting:
+                    yield from path(lasts, meeting)
+                    text, lasts = text[meeting:], lasts[meeting:]
+                    end, size = end - meeting, size - meeting
+                checked = end
+            end += 1
+    yield from path(lasts, len(text))
+
+
+def met(lasts: list[str], longest: int) -> int:
+    """The last boundary that the paths to all surviving boundaries go through."""
+    alive = set(range(max(0, len(lasts) - longest), len(lasts)))
+    while len(alive) > 1:
+        last = max(alive)
+        alive.remove(last)
+        alive.add(last - len(lasts[last]))
+    return alive.pop()
+
+
+def path(lasts: list[str], end: int) -> list[str]:
+    pieces = []
+    while end > 0:
         pieces.append(lasts[end])
         end -= len(lasts[end])
     return pieces[::-1]
 
 
-def met(nodes: list[tuple]) -> tuple:
-    """The last node that the paths of all nodes go through."""
-    open_nodes = {id(n): n for n in nodes}
-    while len(open_nodes) > 1:
-        last = max(open_nodes.values(), key=lambda n: n[0])
-        del open_nodes[id(last)]
-        open_nodes[id(last[2])] = last[2]
-    return next(iter(open_nodes.values()))
-
-
-def path(node: tuple, root: tuple) -> list[str]:
-    pieces = []
-    while node[0] > root[0]:
-        pieces.append(node[1])
-        node = node[2]
-    return pieces[::-1]
-
-
-def rebased(window: list[tuple], meeting: tuple, root: tuple) -> list[tuple]:
-    """The nodes of the window with their paths cut at ``meeting``, which ``root`` replaces."""
-    copies = {id(meeting): root}
-
-    def copied(node: tuple) -> tuple:
-        trail = []
-        while id(node) not in copies:
-            trail.append(node)
-            node = node[2]
-        for node in reversed(trail):
-            copies[id(node)] = (node[0], node[1], copies[id(node[2])])
-        return copies[id(trail[0])] if trail else copies[id(node)]
-
-    return [copied(n) for n in window]
-
-
 def unit_pattern(pieces: Iterable[str]) -> str:
     """A pattern that cuts a text where no piece of the vocabulary reaches across, so that each
     part can be encoded, and remembered, alone: before white space, at line ends, and between a
@@ -141,9 +113,10 @@ class Codec:
         self.units = re.compile(unit_pattern(self.ids)).findall
         self.memo = Bounded(self.unit_ids, memo)
 
-    def unit_ids(self, unit: str) -> list[int]:
-        out = []
-        for piece in pieces_of(unit, self.merges):
+    def unit_ids(self, unit: str) -> bytes:
+        """Ids of a unit, four bytes each, which keeps the memo small."""
+        out = array("i")
+        for piece in streamed((unit,), self.merges):
             known = self.ids.get(piece)
             if known is not None:
                 out.append(known)
@@ -151,13 +124,16 @@ class Codec:
                 out.extend(self.bytes[b] for b in piece.encode())
             else:
                 out.append(self.unknown)
-        return out
+        return out.tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
         if not text:
-            return []
+            return b""
         units = self.units((SPACE + text).replace(" ", SPACE))
-        return list(chain.from_iterable(map(self.memo.__getitem__, units)))
+        return b"".join(map(self.memo.__getitem__, units))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         joined = "".join(map(self.shown.__getitem__, ids)).replace(SPACE, " ")
@@ -177,17 +153,25 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     Repeated rows each give a row; other columns are ignored.
     """
 
-    def rows(tuples):
-        coder = codec(model_path)
-        for key, text in tuples:
-            text = text or ""
-            ids = coder.encode(text)
-            yield key, ids, coder.decode(ids) == text.replace(SPACE, " ")
-
     kind = dict(docs.dtypes)[id_col]
-    return map_rows(
-        columns_of(docs, id=id_col, text=text_col), rows, f"id {kind}, ids array<int>, round_trip boolean"
-    )
+    texts = columns_of(docs, id=id_col, text=text_col)
+    schema = docs.sparkSession.createDataFrame([], f"id {kind}, ids array<int>, round_trip boolean").schema
+    arrow = to_arrow(schema)
+
+    def run(batches):
+        coder = codec(model_path)
+        for batch in batches:
+            keys, column = batch.columns
+            for low in range(0, batch.num_rows, ROWS):
+                texts = [text or "" for text in column.slice(low, ROWS).to_pylist()]
+                coded = [array("i", coder.packed(text)) for text in texts]
+                same = [coder.decode(ids) == text.replace(SPACE, " ") for ids, text in zip(coded, texts)]
+                ends = pa.array([0, *accumulate(map(len, coded))], pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(coded))])
+                lists = pa.ListArray.from_arrays(ends, values)
+                yield pa.RecordBatch.from_arrays([keys.slice(low, ROWS), lists.cast(arrow.field(1).type), pa.array(same)], schema=arrow)
+
+    return texts.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
