@@ -76,15 +76,16 @@ def map_rows(
 
 
 def map_arrays(df: DataFrame, arrays: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Like :func:`map_rows` for many small rows: ``arrays`` yields a tuple of numpy arrays, one per
-    column, for as many rows at a time as it likes."""
+    """Like :func:`map_rows` for many small rows: ``arrays`` yields a tuple of numpy or Arrow arrays,
+    one per column, for as many rows at a time as it likes."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tuples = (row for batch in batches for row in zip(*[column.to_pylist() for column in batch.columns]))
         for columns in arrays(tuples):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)]
+            yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
     return df.mapInArrow(run, fields)
 

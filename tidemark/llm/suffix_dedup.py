@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import columns_of, map_arrays, map_rows, packed, to_arrow, written
+from tidemark.llm.shared import columns_of, map_arrays, map_rows, to_arrow, written
 
 SPAN = 100
 GRAM = 24
 #: Neighbouring suffixes in one stretch, at most, and bytes that are anchored at once.
 STRETCH = 128
-BLOCK = 1 << 20
-#: Stretches of a bucket (a task sorts half as many at once, unless one anchor has more), sampled stretches for each splitter, and buckets, at most.
+BLOCK = 1 << 15
+PLACE_BITS = 20
+#: Stretches of a bucket (a task sorts a quarter of that at once, unless one anchor has more), sampled stretches for each splitter, and buckets, at most.
 BUCKET_ROWS = 100_000
 SAMPLE = 32
 MOST_BUCKETS = 65_536
@@ -56,31 +57,35 @@ def gram_hashes(data):
 
     def beside(left, right, apart: int):
         size = len(right) - apart
-        both = left[:size] * np.uint64(0x9E3779B97F4A7C15) + right[apart:]
-        both ^= both >> np.uint64(29)
-        both *= np.uint64(0xBF58476D1CE4E5B9)
-        both ^= both >> np.uint64(32)
+        both = left[:size] * np.uint64(0x9E3779B97F4A7C15)
+        both += right[apart:]
         return both
 
     by_size, size = {1: byte_codes()[data]}, 1
     while size < 16:
         by_size[2 * size] = beside(by_size[size], by_size[size], size)
         size *= 2
-    return beside(by_size[16], by_size[GRAM - 16], 16) >> np.uint64(1)
+    mixed = beside(by_size[16], by_size[GRAM - 16], 16)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(1)).astype(np.int64)
 
 
 def least_ahead(values, width: int):
-    """For each place, the least of the ``width`` values from there on, and its first place."""
+    """For each place, the least of the ``width`` values from there on, and its place: the first of
+    those whose upper bits are least. Upper bits and place share a number, so that one minimum
+    finds both."""
     import numpy as np
 
-    least, at, size = values, np.arange(len(values), dtype=np.int32), 1
+    low = np.int64((1 << PLACE_BITS) - 1)
+    least = (values & ~low) | np.arange(len(values))
+    size = 1
     while size < width:
         step = min(size, width - size)
-        later = least[step:] < least[: len(least) - step]
-        least = np.where(later, least[step:], least[: len(least) - step])
-        at = np.where(later, at[step:], at[: len(at) - step])
+        least = np.minimum(least[step:], least[: len(least) - step])
         size += step
-    return least, at
+    at = least & low
+    return values[at], at
 
 
 def stretches_of(data, ends):
@@ -89,25 +94,26 @@ def stretches_of(data, ends):
     more than once in the stretch."""
     import numpy as np
 
-    none = np.zeros(0, np.int64)
     if len(data) < SPAN:
-        return none, none, none.astype(np.uint64), none.astype(bool)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(bool)
     least, at = least_ahead(gram_hashes(data), SPAN - GRAM + 1)
-    sizes = np.diff(ends, prepend=0)
-    text = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
-    inside = np.arange(len(least)) + SPAN <= np.repeat(ends, sizes)[: len(least)]
     new = np.ones(len(least), bool)
-    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
-    moved = np.zeros(len(least), bool)
-    moved[1:] = at[1:] != at[:-1]
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    # A text's suffixes end where fewer than SPAN bytes are left, and the next text begins anew.
+    for border in (ends, ends - SPAN + 1):
+        new[border[(border >= 0) & (border < len(least))]] = True
     first = np.flatnonzero(new)
-    place = np.arange(len(least)) - np.repeat(first, np.diff(np.append(first, len(least))))
-    first = np.flatnonzero(place % STRETCH == 0)
-    moved[first] = False
-    counts = np.diff(np.append(first, len(least)))
-    multi = np.add.reduceat(moved, first) > 0
-    keep = inside[first]
-    return first[keep], counts[keep], least[first][keep], multi[keep]
+    counts = np.diff(first, append=len(least))
+    pieces = -(-counts // STRETCH)
+    if (pieces > 1).any():
+        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + STRETCH * place
+        counts = np.diff(first, append=len(least))
+    keep = first + SPAN <= ends[np.searchsorted(ends, first, side="right")]
+    first, counts = first[keep], counts[keep]
+    # The first place of the anchor only moves to the right.
+    return first, counts, least[first], at[first] != at[first + counts - 1]
 
 
 def anchored(texts: Iterator[tuple]) -> Iterator[tuple]:
@@ -184,7 +190,7 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
 
         for _, _, _, _, anchors, multi, _, _ in anchored((None, text.encode()) for _, _, text in tuples):
             values, place = np.unique(anchors, return_inverse=True)
-            yield values.astype(np.int64), np.bincount(place, weights=1 + multi).astype(np.int64)
+            yield values, np.bincount(place, weights=1 + multi).astype(np.int64)
 
     counted = map_arrays(texts, arrays, "v long, times long").groupBy("v").agg(F.sum("times").alias("times"))
     return counted.filter("times > 1")
@@ -199,7 +205,7 @@ def anchors_by_document(texts: DataFrame, repeated: DataFrame) -> DataFrame:
 
         for keys, of, _, _, anchors, _, _, _ in anchored(((doc, twin), text.encode()) for doc, twin, text in tuples):
             known = np.array(keys, np.int64)
-            yield anchors.astype(np.int64), known[of, 0], known[of, 1]
+            yield anchors, known[of, 0], known[of, 1]
 
     held = map_arrays(texts, arrays, "v long, doc long, twin long")
     return held.join(repeated.select("v"), "v").groupBy("doc", "twin").agg(F.collect_set("v").alias("anchors"))
@@ -211,16 +217,34 @@ def stretch_rows(texts: DataFrame, by_document: DataFrame, cuts: list[tuple]) ->
     held = by_document.select(F.col("doc").alias("of_doc"), F.col("twin").alias("of_twin"), "anchors")
     wanted = pack(texts).join(held, (F.col("doc") == F.col("of_doc")) & (F.col("twin") == F.col("of_twin")))
 
-    def rows(tuples):
+    def arrays(tuples):
+        import numpy as np
+
+        values = np.array([cut[0] for cut in cuts], np.int64)
         for keys, of, places, counts, anchors, multi, data, first in anchored(unpacked(tuples)):
-            raw, known = data.tobytes(), [set(key[2]) for key in keys]
-            for number, place, n, v, more, at in zip(*(x.tolist() for x in (of, places, counts, anchors, multi, first))):
-                if v in known[number]:
-                    doc, twin, _ = keys[number]
-                    part = raw[at : at + n + SPAN - 1]
-                    yield bisect_left(cuts, (v, part, doc, twin, place)), v, doc, twin, place, n, more, part
+            # An anchor that any text of the block lists is repeated for all of them.
+            kept = np.flatnonzero(np.isin(anchors, np.concatenate([np.asarray(key[2], np.int64) for key in keys])))
+            if not len(kept):
+                continue
+            raw, known = data.tobytes(), np.array([key[:2] for key in keys], np.int64)
+            v, place, n, begin = anchors[kept], places[kept], counts[kept], first[kept]
+            doc, twin = known[of[kept], 0], known[of[kept], 1]
+            sizes = n + SPAN - 1
+            parts = [raw[a:z] for a, z in zip(begin.tolist(), (begin + sizes).tolist())]
+            bucket = np.searchsorted(values, v, side="left")
+            for i in np.flatnonzero(np.isin(v, values)).tolist():
+                bucket[i] = bisect_left(cuts, (int(v[i]), parts[i], int(doc[i]), int(twin[i]), int(place[i])))
+            yield bucket.astype(np.int32), v, doc, twin, place, n.astype(np.int32), multi[kept], binary(parts, sizes)
 
-    return map_rows(wanted.select("doc", "twin", "blob", "anchors"), rows, STRETCHES)
+    return map_arrays(wanted.select("doc", "twin", "blob", "anchors"), arrays, STRETCHES)
+
+
+def binary(parts: list[bytes], sizes) -> pa.Array:
+    """A column of bytes."""
+    import numpy as np
+
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(parts))])
 
 
 def splitters(texts: DataFrame, by_document: DataFrame, rows: int, buckets: int) -> list[tuple]:
@@ -252,8 +276,9 @@ def multikey_sort(words, starts, lengths, keys, ties):
     """Order of strings by ``keys``, then their bytes, then ``ties`` (first one first), and for each
     place of the order whether key and bytes are those of the place before.
 
-    Multikey quicksort, eight bytes at a time: rows are parted by one word, and only those that tie
-    on it go on to the next. All parts of a depth are sorted together.
+    Multikey quicksort, eight bytes at a time. The first row of a part is its pivot: where all rows
+    have its word, the part goes on to the next word as it is; other parts are parted by the word.
+    All parts of a depth are taken together.
     """
     import numpy as np
 
@@ -270,19 +295,26 @@ def multikey_sort(words, starts, lengths, keys, ties):
         open_rows = open_rows[(sizes[part[open_rows]] > 1) & (lengths[order[open_rows]] >= depth)]
         if not len(open_rows):
             break
-        rows = order[open_rows]
-        left = lengths[rows] - depth
+        rows, of = order[open_rows], part[open_rows]
+        # Of strings that agree so far, one that ends here is before those that go on.
+        left = np.minimum(lengths[rows] - depth, 9)
         word = words[np.minimum(starts[rows] + depth, len(words) - 1)]
         short = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
         word = word >> short << short
-        # Of strings that agree so far, one that ends here is before those that go on.
-        left = np.minimum(left, 9)
-        now = np.lexsort((left, word, part[open_rows]))
-        order[open_rows] = rows[now]
-        word, left, before = word[now], left[now], part[open_rows]
-        head = np.ones(len(open_rows), bool)
-        head[1:] = (word[1:] != word[:-1]) | (left[1:] != left[:-1]) | (before[1:] != before[:-1])
-        part[open_rows] = np.maximum.accumulate(np.where(head, open_rows, 0))
+        head = np.ones(len(of), bool)
+        head[1:] = of[1:] != of[:-1]
+        group = np.cumsum(head) - 1
+        pivot = np.flatnonzero(head)[group]
+        other = (word != word[pivot]) | (left != left[pivot])
+        mixed = np.flatnonzero((np.bincount(group, weights=other) > 0)[group])
+        if len(mixed):
+            now = mixed[np.lexsort((left[mixed], word[mixed], of[mixed]))]
+            places = open_rows[mixed]
+            order[places] = rows[now]
+            word, left, of = word[now], left[now], of[now]
+            head = np.ones(len(now), bool)
+            head[1:] = (word[1:] != word[:-1]) | (left[1:] != left[:-1]) | (of[1:] != of[:-1])
+            part[places] = np.maximum.accumulate(np.where(head, places, 0))
         depth += 8
     order = order[np.lexsort((*[t[order] for t in reversed(ties)], part))]
     same = np.zeros(total, bool)
@@ -291,14 +323,14 @@ def multikey_sort(words, starts, lengths, keys, ties):
 
 
 def sorted_stretches(columns: dict, lower: tuple | None, upper: tuple | None) -> Iterator[tuple]:
-    """What a bucket finds in a slice of its stretches, all those of an anchor together: ranges of
-    bytes (document, place, end, None) to remove, and, for anchors on a boundary, one row for each
-    different suffix (document, place, None, bytes)."""
+    """What a bucket finds in a slice of its stretches, all those of an anchor together: arrays of
+    ranges of bytes (document, twin, place, end, None) to remove, and, for anchors on a boundary, of
+    each different suffix (document, twin, place, None, bytes)."""
     import numpy as np
 
     v, doc, twin, start, n, multi = (columns[name] for name in ("v", "doc", "twin", "start", "n", "multi"))
     data, lengths = columns["data"], n.astype(np.int64) + SPAN - 1
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    begins = np.cumsum(lengths) - lengths
     words = words_of(data)
     order, same = multikey_sort(words, begins, lengths, v, (doc, twin, start))
     top = order[0]
@@ -306,36 +338,42 @@ def sorted_stretches(columns: dict, lower: tuple | None, upper: tuple | None) ->
         # The splitter itself is the row before the bucket's first one.
         same[0] = True
     found = order[same]
-    yield from zip(doc[found].tolist(), twin[found].tolist(), start[found].tolist(), (start[found] + lengths[found]).tolist(), [None] * len(found))
+    if len(found):
+        yield doc[found], twin[found], start[found], start[found] + lengths[found], None
 
     rows = order[~same]
     if not len(rows):
         return
     # Anchors with one stretch, found once in it, have no other equal suffixes.
-    _, group, sizes = np.unique(v[rows], return_inverse=True, return_counts=True)
+    head = np.ones(len(rows), bool)
+    head[1:] = v[rows][1:] != v[rows][:-1]
+    group = np.cumsum(head) - 1
     border = np.zeros(len(rows), bool)
     for key in (lower, upper):
         if key is not None:
             border |= v[rows] == key[0]
-    several = (sizes[group] > 1) | (np.bincount(group, weights=multi[rows]) > 0)[group] | border
+    several = (np.bincount(group) > 1)[group] | (np.bincount(group, weights=multi[rows]) > 0)[group] | border
     rows, border = rows[several], border[several]
     if not len(rows):
         return
     counts = n[rows].astype(np.int64)
     of = np.repeat(np.arange(len(rows)), counts)
     inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    row, at = rows[of], begins[rows][of] + inner
-    place = start[row] + inner
+    row = rows[of]
+    at, place = begins[row] + inner, start[row] + inner
     order, same = multikey_sort(words, at, np.full(len(at), SPAN), v[row], (doc[row], twin[row], place))
     ended = np.zeros(len(at), bool)
     ended[order] = same
     # Neighbours that are removed together are one range.
-    runs = ended & ~np.concatenate([[False], ended[:-1] & (of[1:] == of[:-1])])
-    last = ended & ~np.concatenate([ended[1:] & (of[1:] == of[:-1]), [False]])
-    a, b = np.flatnonzero(runs), np.flatnonzero(last)
-    yield from zip(doc[row[a]].tolist(), twin[row[a]].tolist(), place[a].tolist(), (place[b] + SPAN).tolist(), [None] * len(a))
-    for i in np.flatnonzero(border[of] & ~ended).tolist():
-        yield int(doc[row[i]]), int(twin[row[i]]), int(place[i]), None, data[at[i] : at[i] + SPAN].tobytes()
+    together = ended[1:] & ended[:-1] & (of[1:] == of[:-1])
+    a = np.flatnonzero(ended & ~np.concatenate([[False], together]))
+    b = np.flatnonzero(ended & ~np.concatenate([together, [False]]))
+    if len(a):
+        yield doc[row[a]], twin[row[a]], place[a], place[b] + SPAN, None
+    left = np.flatnonzero(border[of] & ~ended)
+    for low in range(0, len(left), 65_536):
+        i = left[low : low + 65_536]
+        yield doc[row[i]], twin[row[i]], place[i], None, [data[k : k + SPAN].tobytes() for k in at[i].tolist()]
 
 
 def sorted_buckets(stretches: DataFrame, cuts: list[tuple], slice_rows: int) -> DataFrame:
@@ -377,9 +415,10 @@ def sorted_buckets(stretches: DataFrame, cuts: list[tuple], slice_rows: int) ->
                 number = int(buckets[low])
                 below = cuts[number - 1] if number else None
                 above = cuts[number] if number < len(cuts) else None
-                rows = list(sorted_stretches(columns, below, above))
-                for at in range(0, len(rows), 65_536):
-                    yield packed(rows[at : at + 65_536], arrow)
+                for found in sorted_stretches(columns, below, above):
+                    size = len(found[0])
+                    filled = [pa.nulls(size, f.type) if c is None else pa.array(c, f.type) for c, f in zip(found, arrow)]
+                    yield pa.RecordBatch.from_arrays(filled, schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
@@ -390,7 +429,7 @@ def repeated_ranges(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFra
     rows = repeated.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     by_document = written(anchors_by_document(texts, repeated), "held")
     cuts = splitters(texts, by_document, rows, min(MOST_BUCKETS, math.ceil(rows / bucket_rows)))
-    found = written(sorted_buckets(stretch_rows(texts, by_document, cuts), cuts, bucket_rows // 2), "found")
+    found = written(sorted_buckets(stretch_rows(texts, by_document, cuts), cuts, bucket_rows // 4), "found")
     # A bucket gives each different suffix of an anchor on its boundary once.
     order = Window.partitionBy("suffix").orderBy("doc", "twin", "start")
     later = found.filter("suffix IS NOT NULL").withColumn("turn", F.row_number().over(order)).filter("turn > 1")
