@@ -49,10 +49,12 @@ class Merges:
         self.fitting = Bounded(lambda pair: not self.crossed(*pair), 1 << 19, NEVER)
         #: Usable pieces, each by itself: memos hold these objects, not slices of texts.
         self.pieces = {piece: piece for piece in born if self.known(piece)}
-        #: Length of the longest piece that ends in these two units.
+        #: The pieces of two units, and the length of the longest piece that ends in these three.
+        self.pairs = {piece: piece for piece in self.pieces if len(piece) == 2}
         self.reach: dict = {}
         for piece in self.pieces:
-            self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 0))
+            if len(piece) > 2:
+                self.reach[piece[-3:]] = max(len(piece), self.reach.get(piece[-3:], 0))
 
     def _lives(self, piece, side: int) -> list[tuple]:
         """The parts at one end of a piece, from the whole piece inward: (part, born, used up)."""

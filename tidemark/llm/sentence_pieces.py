@@ -29,19 +29,22 @@ def streamed(parts: Iterable[str], merges: Merges) -> Iterator[str]:
     are given out, and are forgotten.
     """
     longest, known, fits, reach = merges.longest, merges.pieces.get, merges.fitting, merges.reach.get
+    pairs = merges.pairs
     text, lasts, checked = "", [""], 0
     for part in parts:
         text += part
         end, size = len(lasts), len(text)
         while end <= size:
-            # No piece that ends in these two characters is longer than ``reach``.
-            low = end - reach(text[end - 2 : end], 1)
-            for start in range(low if low > 0 else 0, end - 1):
+            # No piece that ends in these three characters is longer than ``reach``.
+            low = end - reach(text[end - 3 : end], 2) if end > 2 else 0
+            for start in range(low if low > 0 else 0, end - 2):
                 piece = known(text[start:end])
                 if piece is not None and (not lasts[start] or fits[lasts[start], piece]):
                     break
             else:
-                piece = text[end - 1 : end]
+                piece = pairs.get(text[end - 2 : end]) if end > 1 else None
+                if piece is None or lasts[end - 2] and not fits[lasts[end - 2], piece]:
+                    piece = text[end - 1 : end]
             lasts.append(piece)
             if end - checked >= longest:
                 meeting = met(lasts, longest)
