@@ -175,32 +175,21 @@ def coordinate_groups(least: int) -> Callable:
     return keys
 
 
-def set_prefixes(similarity: int) -> Callable:
-    """Keys of a set such that two that share ``similarity`` hundredths of their union share one: its
-    least shingles, as many as it can miss and one more."""
-
-    def keys(payload: bytes) -> list[int]:
-        import numpy as np
-
-        shingles = np.frombuffer(payload, np.uint64)
-        missed = len(shingles) - -(-len(shingles) * similarity // 100)
-        return (shingles[: missed + 1] >> np.uint64(1)).tolist()
-
-    return keys
-
-
 def joined(rows: DataFrame, link: Callable, block_rows: int, finer: Callable | None = None) -> DataFrame:
     """Edges (``a``, ``b``) that connect what ``link`` connects among the rows of each key.
 
-    ``rows`` has ``key``, ``size`` (rows of the key), ``doc`` and ``payload``. A key of up to
+    ``rows`` has ``key``, ``size`` (rows of the key), ``doc``, ``payload`` and, where a document is known
+    to be connected with another, that one as ``label``; labels are what edges connect. A key of up to
     ``block_rows`` rows is one block. A larger one is first dealt into blocks twice, at random,
     which joins most of what belongs together. Rows that are still apart from their key's largest
     component are then looked up by ``finer`` keys of their payload, of which any two rows that
     ``link`` joins share one: rows of a long list that have nothing else in common never meet.
-    Only where even such a key has more than ``block_rows`` rows, and some of them stay apart, do
-    these meet all of its blocks. No task ever holds more than two blocks, and no pairs are listed:
+    Where there are no finer keys, or even such a key has more than ``block_rows`` rows, those that
+    stay apart meet all of its blocks. No task ever holds more than two blocks, and no pairs are listed:
     a block gives an edge per row at most.
     """
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", F.col("doc"))
     blocks = F.ceil(F.col("size") / block_rows).cast("long")
     first = F.pmod(F.xxhash64(F.lit(1), "doc"), blocks)
     second = blocks + F.pmod(F.xxhash64(F.lit(2), "doc"), blocks)
@@ -209,7 +198,7 @@ def joined(rows: DataFrame, link: Callable, block_rows: int, finer: Callable | N
         F.explode(F.when(F.col("size") > block_rows, F.array(first, second)).otherwise(F.array(F.lit(0).cast("long")))).alias("block"),
         F.lit(0).cast("long").alias("part"),
         "doc",
-        F.col("doc").alias("label"),
+        "label",
         F.lit(True).alias("home"),
         "payload",
     )
@@ -219,8 +208,8 @@ def joined(rows: DataFrame, link: Callable, block_rows: int, finer: Callable | N
         return edges
     known = written(components(edges), "known")
     labelled = written(
-        large.join(known, F.col("doc") == F.col("node"), "left").select(
-            "key", "size", "doc", "payload", F.coalesce("root", "doc").alias("label")
+        large.join(known, F.col("label") == F.col("node"), "left").select(
+            "key", "size", "doc", "payload", F.coalesce("root", "label").alias("label")
         ),
         "labelled",
     )
@@ -244,10 +233,13 @@ def joined(rows: DataFrame, link: Callable, block_rows: int, finer: Callable | N
 
 
 def by_finer_keys(placed: DataFrame, finer: Callable) -> DataFrame:
-    """``key, size, doc, payload`` of the rows that share a finer key with a row that is apart from
+    """``key, size, doc, label, payload`` of the rows that share a finer key with a row that is apart from
     its main component; a document counts once, however many keys it came by."""
     each = written(
-        placed.groupBy("doc").agg(F.first("payload").alias("payload"), F.max(F.col("label") != F.col("main")).alias("apart")), "each"
+        placed.groupBy("doc").agg(
+            F.first("payload").alias("payload"), F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("apart")
+        ),
+        "each",
     )
 
     def rows(tuples):
@@ -258,7 +250,7 @@ def by_finer_keys(placed: DataFrame, finer: Callable) -> DataFrame:
     keyed = written(map_rows(each.select("doc", "apart", "payload"), rows, "key long, doc long, apart boolean"), "finer")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("apart").alias("wanted")).filter("wanted AND size > 1")
     chosen = keyed.join(written(sizes.select("key", "size"), "finer-sizes"), "key").select("key", "size", "doc")
-    return written(chosen.join(each.select("doc", "payload"), "doc").select("key", "size", "doc", "payload"), "finer-rows")
+    return written(chosen.join(each.select("doc", "label", "payload"), "doc").select("key", "size", "doc", "label", "payload"), "finer-rows")
 
 
 def in_blocks(dealt: DataFrame, link: Callable) -> DataFrame:
@@ -269,13 +261,10 @@ def in_blocks(dealt: DataFrame, link: Callable) -> DataFrame:
             members = list(group)
             if len(members) < 2:
                 continue
-            _, _, _, docs, before, homes, payloads = zip(*members)
+            _, _, _, _, before, homes, payloads = zip(*members)
             after = link(list(payloads), list(before), list(homes))
-            seen = set()
-            for doc, label in (*zip(docs, after), *zip(before, after)):
-                if doc != label and (doc, label) not in seen:
-                    seen.add((doc, label))
-                    yield doc, label
+            # How a document came by its label is known already.
+            yield from {(old, new) for old, new in zip(before, after) if old != new}
 
     at = ["key", "block", "part"]
     return map_rows(dealt.repartition(*at).sortWithinPartitions(*at), rows, "a long, b long")
@@ -374,7 +363,7 @@ def linked_texts(texts: DataFrame, words: int, similarity: int) -> DataFrame:
 
     grouped = members.join(texts, F.col("doc") == F.col("id")).select("doc", "key", "size", "text")
     rows = written(map_rows(grouped, sets, "key long, size long, doc long, payload binary"), "sets")
-    links = joined(rows, lambda *block: confirm_rows(*block, similarity), GROUP_ROWS, set_prefixes(similarity))
+    links = joined(rows, lambda *block: confirm_rows(*block, similarity), GROUP_ROWS)
     roots = components(links)
     named = written(
         distinct.select("set_key", "doc")
