@@ -14,6 +14,11 @@ from tidemark.operators.rules import rules_text
 from tidemark.operators.topk import joined_text, top_k
 from tidemark.session import materialise
 
+#: Tickers of a query that its sections are made from.
+LEADING_TICKERS = 3
+#: Characters of packed texts that every task may hold.
+BROADCAST_CHARS = 1 << 22
+
 
 def pack_sections(sections: DataFrame, key: str, order: str, text: str, max_chars: int) -> DataFrame:
     """The leading sections of each group that fit ``max_chars`` when joined by line breaks.
@@ -26,7 +31,8 @@ def pack_sections(sections: DataFrame, key: str, order: str, text: str, max_char
     sized = written.select(key, order, (F.length(text) + 1).alias("_size"))
     running = running_totals(sized, [key], [order], ["_size"], "sections")
     places = running.filter(F.col("_size_before") + F.col("_size") - 1 <= max_chars).select(key, order)
-    kept = written.join(places, [key, order])
+    # Files of repeated texts are far smaller than the texts, so their size must not get them broadcast.
+    kept = written.hint("merge").join(places, [key, order])
     packed = kept.groupBy(key).agg(
         F.count("*").alias("sections"), joined_text(order, text, "\n").alias("packed")
     )
@@ -38,7 +44,7 @@ def pack_sections(sections: DataFrame, key: str, order: str, text: str, max_char
     )
 
 
-def query_tickers(queries: DataFrame, tickers: str = "tickers", first: int = 3) -> DataFrame:
+def query_tickers(queries: DataFrame, tickers: str = "tickers", first: int = LEADING_TICKERS) -> DataFrame:
     """One row per query and mentioned ticker, the first few, with its place in the list."""
     return queries.select(
         "query_id", "source", F.posexplode(F.slice(tickers, 1, first)).alias("place", "ticker")
@@ -102,11 +108,24 @@ def semantic_context(
     queries: DataFrame, facts: DataFrame, signals: DataFrame, accuracy: DataFrame, as_of: Column,
     max_tokens: int = 4000,
 ) -> DataFrame:
-    """``query_id, packed``: the semantic sections that fit the budget."""
-    sections = semantic_sections(queries, facts, signals, accuracy, as_of)
-    packed = pack_sections(sections, "query_id", "priority", "section", max_tokens * fixed.CHARS_PER_TOKEN)
-    return queries.select("query_id").join(packed, "query_id", "left").select(
-        "query_id", F.coalesce("packed", F.lit("")).alias("packed")
+    """``query_id, packed``: the semantic sections that fit the budget.
+
+    Beside the memory they depend on a query's leading tickers only, so they are built and packed
+    once per list of tickers, and the texts are attached to the queries last.
+    """
+    leading = F.struct(F.slice("tickers", 1, LEADING_TICKERS).alias("tickers"))
+    lists = queries.filter("query_id IS NOT NULL").groupBy("query_id").agg(F.array_sort(F.collect_list(leading)).alias("lists"))
+    asked = materialise(lists.withColumn("list_id", F.sha2(F.to_json("lists"), 256)), "ticker-lists")
+    different = materialise(asked.groupBy("list_id").agg(F.first("lists").alias("lists")), "different-lists")
+    each = different.select(F.col("list_id").alias("query_id"), F.lit("").alias("source"), F.explode("lists").alias("_list"))
+    sections = semantic_sections(each.select("query_id", "source", "_list.tickers"), facts, signals, accuracy, as_of)
+    max_chars = max_tokens * fixed.CHARS_PER_TOKEN
+    packed = pack_sections(sections, "query_id", "priority", "section", max_chars).select(F.col("query_id").alias("list_id"), "packed")
+    if different.count() * max_chars <= BROADCAST_CHARS:
+        packed = F.broadcast(packed)
+    return (
+        queries.select("query_id").join(asked.select("query_id", "list_id"), "query_id", "left")
+        .join(packed, "list_id", "left").select("query_id", F.coalesce("packed", F.lit("")).alias("packed"))
     )
 
 
