@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -165,13 +163,22 @@ def ledger_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming --------------------------------------------------------------------------------
 SLICES = 5
 FILE_ROWS = 500_000
+FILE_BYTES = 128 << 20
+
+
+def row_bytes(rows: DataFrame) -> Column:
+    """What a row takes: its texts, and eight bytes for each other column."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(8) for c, kind in rows.dtypes]
+    return sum(sizes, F.lit(0).cast("long"))
 
 
 def landed(rows: DataFrame, name: str, order: str) -> DataFrame:
     """``rows`` as a stream of files that arrive one after the other, in the order of a column.
 
-    The rows are cut into slices in one pass; a slice is several files of bounded size, which are
-    then put down slice by slice, so that the stream sees no file before those of earlier slices.
+    The rows are cut into slices in one pass, where they are read. The slices are then put down one
+    after the other, so that the stream sees no file before those of earlier slices. A slice is the
+    same number of files as any other and is read as one batch; its rows are dealt out to them one
+    by one, so a file holds a bounded number of rows and bytes, however the slices fall.
     """
     spark = rows.sparkSession
     staged, path = scratch_path(spark, f"{name}-staged"), scratch_path(spark, name)
@@ -179,15 +186,19 @@ def landed(rows: DataFrame, name: str, order: str) -> DataFrame:
     if dict(rows.dtypes)[order] in ("date", "timestamp"):
         at = at.cast("timestamp").cast("long")
     shares = [k / SLICES for k in range(1, SLICES)]
-    cuts, count = rows.agg(F.percentile_approx(at, shares), F.count("*")).first()
+    (cuts,) = rows.agg(F.percentile_approx(at, shares)).first()
     place = sum((F.when(at > cut, 1).otherwise(0) for cut in cuts or []), F.lit(0))
-    files = max(1, math.ceil(count / SLICES / FILE_ROWS))
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
-    sliced = rows.withColumns({"_slice": place, "_file": spread}).repartition(SLICES * files, "_slice", "_file").drop("_file")
-    sliced.write.partitionBy("_slice").parquet(staged)
+    rows.withColumn("_slice", place).write.partitionBy("_slice").parquet(staged)
     stored = spark.read.schema(StructType([*rows.schema.fields, StructField("_slice", IntegerType())])).parquet(staged)
+    sizes = stored.groupBy("_slice").agg(F.count("*").alias("n"), F.sum(row_bytes(rows)).alias("bytes"))
+    needed = F.greatest(F.ceil(F.col("n") / FILE_ROWS), F.ceil(F.col("bytes") / FILE_BYTES))
+    files = sizes.agg(F.coalesce(F.max(needed), F.lit(1))).first()[0]
+    empty = spark.createDataFrame([], rows.schema)
     for k in range(SLICES):
-        stored.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(path)
+        stored.filter(F.col("_slice") == k).drop("_slice").repartition(files).write.mode("append").parquet(path)
+        # A slice of few rows has fewer files, which empty ones make up for.
+        for _ in range(files * (k + 1) - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            empty.write.mode("append").parquet(path)
     return runs.file_stream(spark, path, rows.schema, files_per_trigger=files)
 
 
