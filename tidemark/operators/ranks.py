@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prefix import running_totals, sliced_totals
 from tidemark.session import materialise
 
+#: Pairs of a group that one task may rank.
+GROUP_ROWS = 1 << 17
+
 
 def average_ranks(
     counts: DataFrame, keys: list[str], value: str, count: str = "n", written: bool = False
@@ -31,9 +36,12 @@ def rank_correlation(pairs: DataFrame, keys: list[str], x: str, y: str, count: s
     ``pairs`` holds counted (x, y) pairs; it is read twice, so pass a written or cheap frame.
     Only distinct values are ranked: the ranks of ``x`` are joined once, and ``y`` is ranked in
     its already summed form, so both sides shuffle partial sums per value and a frequent value
-    weighs no more than a rare one. ``ic`` is null when either side is constant.
+    weighs no more than a rare one. ``ic`` is null when either side is constant. Where every group
+    is small, its pairs are ranked together instead.
     """
     cells = pairs.select(*keys, x, y, F.col(count).alias("n"))
+    if small_groups(cells, keys):
+        return grouped_correlation(cells, keys, x, y)
     x_counts = cells.groupBy(*keys, x).agg(F.sum("n").alias("n"))
     # Counted on the way: few distinct scores are broadcast and the pairs stay where they are,
     # many are shuffled, with AQE splitting a frequent value.
@@ -49,9 +57,14 @@ def nested_rank_correlation(
 
     Counts of values add up: those of a whole are the sums of its groups' counts, so a further
     group only adds its own. Each pair meets the rank that its ``x`` has in its group and in the
-    whole at once and is summed by ``y`` once; the whole is ranked on these sums.
+    whole at once and is summed by ``y`` once; the whole is ranked on these sums. Where every group
+    of ``keys`` is small, its pairs are ranked together, and the whole alone is counted by value.
     """
     cells = pairs.select(*keys, x, y, F.col(count).alias("n"))
+    if small_groups(cells, keys):
+        # Only pairs that a group holds count for the whole.
+        held = cells.filter(_known(keys))
+        return grouped_correlation(cells, keys, x, y), rank_correlation(held, whole, x, y)
     x_counts = materialise(cells.groupBy(*keys, x).agg(F.sum("n").alias("n")), "x-counts")
     in_group = average_ranks(x_counts, keys, x).select(*keys, x, F.col("rank").alias("x_rank"))
     whole_counts = x_counts.groupBy(*whole, x).agg(F.sum("n").alias("n"))
@@ -69,6 +82,34 @@ def nested_rank_correlation(
     return _correlation(average_ranks(grouped, keys, y, written=True), keys), _correlation(average_ranks(of_whole, whole, y), whole)
 
 
+def _known(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+
+
+def small_groups(cells: DataFrame, keys: list[str]) -> bool:
+    """Whether no group has more than ``GROUP_ROWS`` pairs; groups alone are counted for that."""
+    largest = cells.groupBy(*keys).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0]
+    return (largest or 0) <= GROUP_ROWS
+
+
+def grouped_correlation(cells: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """:func:`rank_correlation` of small groups: one shuffle brings the pairs of a group together,
+    where they are ranked by ``x`` and by ``y``."""
+
+    def ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(value)
+        total = F.sum("n").over(order.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        upto = F.sum("n").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.sum("n").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        sums = rows.withColumns({"_total": total, "_upto": upto, "_ties": ties})
+        rank = F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2
+        return sums.withColumn(name, (rank - (F.col("_total") + 1) / 2) / F.col("_total")).drop("_total", "_upto", "_ties")
+
+    both = ranked(ranked(cells.filter(_known([*keys, x])), x, "_x_rank"), y, "rank")
+    sums = both.withColumns({"x_sum": F.col("n") * F.col("_x_rank"), "x_square": F.col("n") * F.col("_x_rank") * F.col("_x_rank")})
+    return _correlation(sums, keys)
+
+
 def _x_sums(rank: str, name: str) -> list[Column]:
     weighted = F.col("n") * F.col(rank)
     return [F.sum(weighted).alias(f"{name}_sum"), F.sum(weighted * F.col(rank)).alias(f"{name}_square")]
