@@ -22,6 +22,28 @@ def test_memory_updates_tells_whole_texts_apart(spark):
     assert len({(x[:30], x[-20:]) for x in texts}) < len(set(texts))
 
 
+def test_memory_updates_holds_several_notes_of_an_analysis(spark, tmp_path):
+    same = "x" * 30 + "{}" + "y" * 20
+    texts = ["one\n two \n\nthree", "one", "one", " \n\t\n", "", None, "four\r\nfour", same.format(1), same.format(2)]
+    rows = [(i, x, "en", "src0", len(x or "")) for i, x in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = [x.strip() for x in texts if x and x.strip()]
+    lines = [x.strip() for text in texts if text for x in text.split("\n") if x.strip()]
+    (found,) = entry.queries()["memory_updates"](spark, str(tmp_path)).collect()
+    assert found.asDict() == {
+        "updates": len(whole), "texts": len(set(whole)), "lines": len(lines), "line_texts": len(set(lines)),
+    }
+    assert (len(whole), len(lines), len(set(lines))) == (6, 9, 6)
+
+
+def test_memory_updates_of_no_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    (found,) = entry.queries()["memory_updates"](spark, str(tmp_path)).collect()
+    assert tuple(found) == (0, 0, 0, 0)
+
+
 def test_article_text_holds_the_whole_html(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
     for r in rows(spark, "article_text"):

@@ -246,19 +246,32 @@ def prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "memory_updates",
-    """WITH u AS (SELECT doc_id, unnest([text, '  ']) AS text FROM documents)
-SELECT count(*) AS updates, count(DISTINCT """ + strip_sql("text") + """) AS texts FROM u WHERE """ + strip_sql("text") + """ <> ''""",
+    """WITH u AS (SELECT 'note' AS kind, unnest([text, '  ']) AS text FROM documents
+  UNION ALL SELECT 'lines', unnest(list_append(string_split(text, chr(10)), '  ')) FROM documents),
+n AS (SELECT kind, """ + strip_sql("text") + """ AS text FROM u)
+SELECT count(*) FILTER (WHERE kind = 'note') AS updates, count(DISTINCT text) FILTER (WHERE kind = 'note') AS texts,
+  count(*) FILTER (WHERE kind = 'lines') AS lines, count(DISTINCT text) FILTER (WHERE kind = 'lines') AS line_texts
+FROM n WHERE text <> ''""",
 )
 def memory_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that analyses ask to remember, and how many differ; blanks and other kinds are left out."""
-    parsed = documents(spark, sf_dir).select(
-        F.parse_json(F.concat(
-            F.lit('{"event_type": "note", "memory_updates": '), F.to_json(F.array("text", F.lit("  "))), F.lit("}"),
-        )).alias("analysis"),
-        F.lit("2024-01-01").alias("observed_at"), "source",
+    """Texts that analyses ask to remember, and how many differ; blanks and other kinds are left out.
+
+    One analysis of each document holds its whole text, another all of its lines, and both a blank.
+    """
+    asked = {"note": F.array("text"), "lines": F.split("text", "\n")}
+    answers = F.array(*(
+        F.struct(F.lit(kind).alias("event_type"), F.concat(updates, F.array(F.lit("  "))).alias("memory_updates"))
+        for kind, updates in asked.items()
+    ))
+    parsed = documents(spark, sf_dir).select(F.explode(answers).alias("answer"), "source").select(
+        F.parse_json(F.to_json("answer")).alias("analysis"), F.lit("2024-01-01").alias("observed_at"), "source",
+    )
+    found = me.memory_updates(parsed).select("title", t.strip(F.col("text")).alias("text"))
+    of_whole, of_lines = F.col("title") == "note", F.col("title") == "lines"
+    return found.agg(
+        F.count_if(of_whole).alias("updates"), F.countDistinct(F.when(of_whole, F.col("text"))).alias("texts"),
+        F.count_if(of_lines).alias("lines"), F.countDistinct(F.when(of_lines, F.col("text"))).alias("line_texts"),
     )
-    found = me.memory_updates(parsed)
-    return found.agg(F.count("*").alias("updates"), F.countDistinct(t.strip(F.col("text"))).alias("texts"))
 
 
 @BOOK.add(
